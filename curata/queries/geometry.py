@@ -97,11 +97,11 @@ FROM (SELECT vec_id, atom, copy, CAST(embedding[3 * atom + 1] AS DOUBLE) AS x, C
     "wave_features": f"""
 WITH points AS (
   SELECT vec_id AS sample_id, i AS pos, (label + i) % {LABELS} AS label,
-    {', '.join(f"CAST(embedding[3 * i + {j + 1}] AS DOUBLE) * 30 AS {a}, CAST(embedding[{RESIDUES * 3} + 3 * i + {j + 1}] AS DOUBLE) AS b{a}" for j, a in enumerate('xyz'))}
+    {', '.join(f"CAST(embedding[3 * i + {j + 1}] AS DOUBLE) * 30 AS {a}, CAST(embedding[{RESIDUES * 3} + 3 * i + {j + 1}] AS DOUBLE) AS q{a}" for j, a in enumerate('xyz'))}
   FROM embeddings, range({RESIDUES}) AS r(i)),
 pairs AS (
-  SELECT *, ((ax - x) * bx + (ay - y) * by + (az - z) * bz) / d AS proj FROM (
-    SELECT a.sample_id, a.pos, a.x AS ax, a.y AS ay, a.z AS az, b.x, b.y, b.z, b.bx, b.by, b.bz, b.label,
+  SELECT *, ((ax - x) * qx + (ay - y) * qy + (az - z) * qz) / d AS proj FROM (
+    SELECT a.sample_id, a.pos, a.x AS ax, a.y AS ay, a.z AS az, b.x, b.y, b.z, b.qx, b.qy, b.qz, b.label,
       sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d
     FROM points a JOIN points b ON a.sample_id = b.sample_id) WHERE d > 0)
 SELECT sample_id, CAST(pos AS INTEGER) AS pos, CAST(f AS INTEGER) AS f, round(value, 5) AS value FROM ({_sum('cos')} UNION ALL {_sum('sin')})""",

@@ -67,7 +67,7 @@ def best_residues(spark, folder):
         F.col("l_returnflag").alias("resname"),
         F.col("l_linestatus").alias("atom"),
         F.col("l_quantity").alias("occ"),
-        (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("atom_no"),
+        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("atom_no"),
     )
     return C.best_atoms(C.best_residues(lines)).select("pdb", "resname", "atom", "occ", "atom_no")
 
