@@ -165,7 +165,7 @@ def mmcif_file_round_trip(spark, folder):
     files = files.withColumn("pdb", F.regexp_extract("path", "pdb=([^/]+)", 1))
     rows = mmcif.atom_rows(files)
     return rows.groupBy("pdb", "chain").agg(
-        F.count(F.lit(1)).alias("atoms"), F.max("seq_id").alias("residues"), F.round(F.sum("x"), 2).alias("x_sum")
+        F.count(F.lit(1)).alias("atoms"), F.max("seq_id").alias("residues"), F.round(F.sum("x"), 3).alias("x_sum")
     )
 
 
@@ -256,7 +256,7 @@ FROM (SELECT *, {_letters_sql}[(vec_id + r) % {len(NAMES)} + 1] AS letter FROM (
 SELECT CAST(vec_id AS VARCHAR) AS pdb, 2 AS assemblies, '1,1' AS generators, 'C' || label AS chain, 2 AS copies, 2.5::DOUBLE AS shift
 FROM embeddings WHERE {_ok}""",
     "mmcif_file_round_trip": f"""
-SELECT pdb, chain, count(*) AS atoms, max(seq_id) AS residues, round(sum(x), 2) AS x_sum FROM ({_all_atoms}) GROUP BY pdb, chain""",
+SELECT pdb, chain, count(*) AS atoms, max(seq_id) AS residues, round(sum(x), 3) AS x_sum FROM ({_all_atoms}) GROUP BY pdb, chain""",
     "metric_log": """
 SELECT step, split, 'train/' || event_type AS key, round(avg(value), 6) AS value
 FROM events, (VALUES (CAST(10 AS BIGINT), 'train'), (CAST(20 AS BIGINT), 'val')) AS s(step, split) GROUP BY step, split, event_type""",

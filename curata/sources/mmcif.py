@@ -55,77 +55,91 @@ def _tokens(line: Column) -> Column:
     )
 
 
-def _lines(block) -> Column:
-    return F.filter(F.split(block, "\n"), lambda ln: F.btrim(ln) != "")
-
-
 def _blocks(content: str = "content") -> Column:
     return F.split(F.regexp_replace(content, "\r", ""), _CUT)
 
 
-def _block_of(blocks: str, category: str) -> Column:
-    """The block that holds a category, or null."""
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Spark merges projections and would repeat an array expression for every
+    element of a later ``transform``; it does not merge across a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _with_block(df: DataFrame, category: str) -> DataFrame:
+    """Add ``_loop``, the ``_lines`` and the item names ``_heads`` of a category."""
     mark = F.lit(f"\n_{category}.")
-    return F.get(F.filter(blocks, lambda b: F.contains(F.concat(F.lit("\n"), b), mark)), F.lit(0))
+    block = F.get(F.filter("_blocks", lambda b: F.contains(F.concat(F.lit("\n"), b), mark)), F.lit(0))
+    df = _once(df, _block=block)
+    keep = lambda ln: (F.btrim(ln) != "") & ~F.startswith(ln, F.lit("loop_"))
+    df = _once(df, _lines=F.filter(F.split("_block", "\n"), keep), _loop=F.startswith("_block", F.lit("loop_")))
+    heads = F.filter("_lines", lambda ln: F.startswith(ln, F.lit(f"_{category}.")))
+    names = F.transform(heads, lambda ln: F.substring_index(F.regexp_replace(ln, r"\s+", " "), " ", 1))
+    return _once(df, _heads=names).drop("_block")
 
 
-def _names(block: str, category: str) -> Column:
-    heads = F.filter(_lines(block), lambda ln: F.startswith(ln, F.lit(f"_{category}.")))
-    return F.transform(heads, lambda ln: F.substring_index(F.get(F.split(ln, r"\s+"), F.lit(0)), ".", -1))
+def _place(names: str, category: str, item: str) -> Column:
+    """Position of an item counted from 1, 0 when it is absent."""
+    return F.array_position(names, F.lit(f"_{category}.{item}")).cast("int")
 
 
-def _rows(block: str, names: str, category: str, wrapped: bool) -> Column:
-    """The rows of a block, each an array of fields in the order of ``names``.
+def _known(value: Column) -> Column:
+    """``?`` and ``.`` mean that there is no value."""
+    return F.nullif(F.nullif(value, F.lit("?")), F.lit("."))
 
-    Outside a loop every name has one value, which may stand on the next line.
-    In a loop, ``wrapped`` allows rows that run over several lines.
-    """
-    body = F.filter(_lines(block), lambda ln: ~F.startswith(ln, F.lit("_")) & ~F.startswith(ln, F.lit("loop_")))
-    looped = F.transform(body, _tokens)
-    if wrapped:
-        width = F.size(names)
-        flat = F.flatten(looped)
-        starts = F.sequence(F.lit(0), F.greatest(F.floor(F.size(flat) / width) - 1, F.lit(0)).cast("int"))
-        looped = F.when(F.size(flat) >= width, F.transform(starts, lambda i: F.slice(flat, i * width + 1, width)))
-    words = F.flatten(F.transform(_lines(block), _tokens))
-    single = F.array(
-        F.transform(
-            names,
-            lambda n: F.get(words, F.array_position(words, F.concat(F.lit(f"_{category}."), n)).cast("int")),
-        )
-    )
-    return F.when(F.startswith(F.col(block), F.lit("loop_")), looped).otherwise(single)
 
+def _value(category: str, item: str, row: Column) -> Column:
+    """A value from ``_words``: by row number (from 1) in a loop, after its name elsewhere."""
+    at = _place("_heads", category, item)
+    looped = F.get("_words", row * F.size("_heads") + at - 1)
+    single = F.get("_words", _place("_words", category, item))
+    return _known(F.when(at > 0, F.when(F.col("_loop"), looped).otherwise(single)))
 
-def _field(row: Column, names: str, item: str) -> Column:
-    """One field of a row by item name; ``?``, ``.`` and absent items are null."""
-    at = F.array_position(F.col(names), F.lit(item)).cast("int")
-    value = F.when(at > 0, F.get(row, at - 1))
-    return F.when(~value.isin("?", "."), value)
 
+def _row_count() -> Column:
+    rows = F.floor(F.size("_words") / F.greatest(F.size("_heads"), F.lit(1))).cast("int") - 1
+    return F.when(F.col("_loop"), rows).otherwise(F.lit(1))
 
-def with_category(df: DataFrame, category: str, wrapped: bool = True, out: str | None = None) -> DataFrame:
-    """Add ``<out>_names`` and ``<out>_rows`` of a category from ``_blocks``."""
-    out = out or f"_{category}"
-    return (
-        df.withColumn(f"{out}_block", _block_of("_blocks", category))
-        .withColumn(f"{out}_names", _names(f"{out}_block", category))
-        .withColumn(f"{out}_rows", _rows(f"{out}_block", f"{out}_names", category, wrapped))
-        .drop(f"{out}_block")
+
+def _with_words(df: DataFrame, category: str) -> DataFrame:
+    df = _with_block(df, category)
+    return _once(df, _words=F.flatten(F.transform("_lines", _tokens))).drop("_lines")
+
+
+def category_rows(files: DataFrame, category: str, items: dict[str, str], keep=("pdb",)) -> DataFrame:
+    """Rows of a small category: ``keep``, ``row_no`` and a column per item.
+
+    The rows of a loop may run over several lines, and the value of a single
+    item may stand on the line after its name.
+    """
+    df = _with_words(files.select(*keep, _blocks().alias("_blocks")), category)
+    df = df.filter(_row_count() > 0).select(
+        *keep, "_heads", "_words", "_loop", F.explode(F.sequence(F.lit(1), _row_count())).alias("_row")
     )
+    fields = [_value(category, item, F.col("_row")).alias(c) for c, item in items.items()]
+    return df.select(*keep, (F.col("_row") - 1).alias("row_no"), *fields)
 
 
-def category_rows(
-    files: DataFrame, category: str, items: dict[str, str], keep=("pdb",), wrapped: bool = True
+def loop_rows(
+    files: DataFrame, category: str, items: dict[str, str], first: str, keep=("pdb",)
 ) -> DataFrame:
-    """Rows of one category: ``keep``, ``row_no``, ``first_row`` and a column per item."""
-    df = with_category(files.select(*keep, _blocks().alias("_blocks")), category, wrapped, "_c")
-    rows = df.select(
-        *keep, "_c_names", F.get("_c_rows", F.lit(0)).alias("first_row"), F.posexplode("_c_rows").alias("row_no", "_t")
-    )
-    return rows.select(
-        *keep, "row_no", "_c_names", "first_row", *[_field(F.col("_t"), "_c_names", i).alias(c) for c, i in items.items()]
-    )
+    """Rows of a long loop with one line per row.
+
+    Adds ``first_value``, the value of item ``first`` in the first row.  Lines
+    become rows before they are cut into fields.
+    """
+    df = _with_block(files.select(*keep, _blocks().alias("_blocks")), category)
+    df = _once(df, _body=F.filter("_lines", lambda ln: ~F.startswith(ln, F.lit("_"))))
+    places = F.array(*[_place("_heads", category, i) - 1 for i in items.values()])
+    top = F.get(_tokens(F.get("_body", F.lit(0))), _place("_heads", category, first) - 1)
+    df = _once(df, _at=places, first_value=_known(top))
+    df = df.select(*keep, "_at", "first_value", F.posexplode("_body").alias("row_no", "_line"))
+    df = _once(df, _t=_tokens(F.col("_line")))
+    at = lambda i: F.get("_at", F.lit(i))
+    fields = [_known(F.when(at(i) >= 0, F.get("_t", at(i)))).alias(c) for i, c in enumerate(items)]
+    return df.select(*keep, "row_no", "first_value", *fields)
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -134,20 +148,21 @@ def entries(files: DataFrame) -> DataFrame:
     A file without a resolution gets 0, which the resolution gate rejects.
     """
     df = files.withColumn("_blocks", _blocks())
-    for category, _ in (("exptl", None), *RESOLUTION_ITEMS, DATE_ITEM):
-        df = with_category(df, category)
-    methods = F.transform("_exptl_rows", lambda r: _field(r, "_exptl_names", "method"))
-
-    def first(category, item):
-        return _field(F.get(f"_{category}_rows", F.lit(0)), f"_{category}_names", item)
-
-    resolution = F.coalesce(*[first(c, i).try_cast("double") for c, i in RESOLUTION_ITEMS], F.lit(0.0))
+    items = {"exptl": "method", **dict(RESOLUTION_ITEMS), **dict([DATE_ITEM])}
+    for category, item in items.items():
+        df = _with_words(df, category)
+        found = F.transform(
+            F.sequence(F.lit(1), F.greatest(_row_count(), F.lit(1))), lambda i: _value(category, item, i)
+        )
+        df = _once(df, **{f"_{category}": F.when(F.size("_heads") > 0, found)}).drop("_heads", "_words", "_loop")
+    first = lambda category: F.get(f"_{category}", F.lit(0))
+    resolution = F.coalesce(*[first(c).try_cast("double") for c, _ in RESOLUTION_ITEMS], F.lit(0.0))
     return df.select(
         "path",
         F.lower(F.regexp_extract("content", r"(?m)^data_(\S+)", 1)).alias("pdb"),
-        F.coalesce(F.array_join(methods, ", "), F.lit("")).alias("raw_method"),
+        F.coalesce(F.array_join("_exptl", ", "), F.lit("")).alias("raw_method"),
         resolution.alias("resolution"),
-        F.coalesce(first(*DATE_ITEM), F.lit("")).alias("deposit_date"),
+        F.coalesce(first(DATE_ITEM[0]), F.lit("")).alias("deposit_date"),
         "content",
     )
 
@@ -157,10 +172,9 @@ def atom_rows(files: DataFrame) -> DataFrame:
 
     Only polymer atoms have a residue number; others are left out.
     """
-    raw = category_rows(files, "atom_site", ATOM_ITEMS, wrapped=False)
-    model = _field(F.col("first_row"), "_c_names", ATOM_ITEMS["model"])
+    raw = loop_rows(files, "atom_site", ATOM_ITEMS, ATOM_ITEMS["model"])
     return (
-        raw.filter(F.equal_null("model", model))
+        raw.filter(F.equal_null("model", "first_value"))
         .select(
             "pdb",
             F.coalesce("auth_chain", "label_chain").alias("chain"),
