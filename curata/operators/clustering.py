@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.functions.hashing import digest, sort_hash
+from curata.functions.hashing import col, digest, sort_hash
 from curata.operators.ordered import top_per_group
 from curata.schema import cluster_column
 from curata.session import stage, stage_once
@@ -24,25 +24,20 @@ SET_COVER, COMPONENTS, BY_LENGTH = "set_cover", "components", "by_length"
 # --- candidates -----------------------------------------------------------
 
 
-def selected_tokens(tokens: str, m: int, mode: str = "xxhash64") -> Column:
-    """The ``m`` tokens of a set with the lowest hash."""
-    if mode == "md5":
-        return F.slice(F.sort_array(F.transform(tokens, lambda t: F.md5(t))), 1, m)
-    return F.slice(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))), 1, m)
+def selected_tokens(tokens, m: int, mode: str = "xxhash64") -> Column:
+    """The ``m`` lowest hashes of a set of tokens."""
+    hashed = F.transform(col(tokens), lambda t: F.md5(t) if mode == "md5" else F.xxhash64(t))
+    return F.slice(F.sort_array(hashed), 1, m)
 
 
-def star_candidates(
-    df: DataFrame, item: str, tokens: str, size: str, m: int = 20, mode: str = "xxhash64"
-) -> DataFrame:
-    """Pairs ``(member, centre)``: items that select a common token, with the largest of them.
+def star_candidates(df: DataFrame, item: str, selected: str, size: str) -> DataFrame:
+    """Pairs ``(a, b)``: each item with the largest item of every token it selects.
 
-    Each item selects ``m`` tokens, and each token's items meet only its
-    centre (largest size, then smallest id), so there are at most ``m`` pairs
-    per item however many items share a token.
+    ``selected`` holds the few tokens from ``selected_tokens``.  The items of a
+    token meet only its centre (largest size, then smallest id), so an item has
+    at most as many pairs as selected tokens, however many items share one.
     """
-    rows = df.select(
-        F.col(item).alias("a"), F.col(size).alias("_size"), F.explode(selected_tokens(tokens, m, mode)).alias("_token")
-    )
+    rows = df.select(F.col(item).alias("a"), F.col(size).alias("_size"), F.explode(selected).alias("_token"))
     largest = F.min(F.struct((-F.col("_size")).alias("s"), F.col("a").alias("b")))
     centres = rows.groupBy("_token").agg(largest.alias("_c")).select("_token", F.col("_c.b").alias("b"))
     return rows.join(centres, "_token").filter("a != b").select("a", "b").distinct()

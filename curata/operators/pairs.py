@@ -16,18 +16,32 @@ from curata.functions.hashing import col
 from curata.session import stage
 
 
+def bind(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A column named inside a ``transform`` may be expanded there and computed
+    for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(parts: Column, k: int, join: str) -> Column:
+    """Distinct runs of ``k`` consecutive parts; fewer parts are one run."""
+    def build(p):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(p) - (k - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(p, i, k), join)))
+
+    return bind(parts, build)
+
+
 def kmers(sequence, k: int) -> Column:
     """Distinct substrings of length ``k``; a shorter text is one token."""
-    s = col(sequence)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, F.lit(k))))
+    return _runs(F.split(col(sequence), ""), k, "")
 
 
 def word_shingles(text, k: int) -> Column:
     """Distinct runs of ``k`` lower-case words; a shorter text is one token."""
-    words = F.split(F.btrim(F.lower(col(text))), r"\s+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " ")))
+    return _runs(F.split(F.btrim(F.lower(col(text))), r"\s+"), k, " ")
 
 
 def token_hashes(tokens) -> Column:
@@ -139,21 +153,33 @@ def score_rows(directed: DataFrame, by) -> DataFrame:
     )
 
 
-def dense_matrix(rows: DataFrame, chain_ids: str = "chain_ids", by=("pdb",)) -> DataFrame:
-    """The full matrix of a record in its chain order, 0 where no score is listed.
+def record_matrix(directed: DataFrame, members: DataFrame, by) -> DataFrame:
+    """The full score matrix of each record in its chain order.
 
-    ``rows`` has ``chain_ids`` and one row of scores per chain; meant for
-    records, whose chain count is that of one molecule.
+    ``members`` has ``chain_no`` and ``rep``, the entity that stands for a
+    chain and its copies; ``directed`` has scores between entities.  Copies
+    score 1, pairs that are not listed 0.  The matrix is built inside the row
+    of its record from the listed pairs.
     """
-    entry = F.map_from_entries(F.transform("scores", lambda s: F.struct(s["b"], s["score"])))
-    full = rows.withColumn("_m", entry).withColumn(
-        "_row",
-        F.transform(chain_ids, lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(0.0)).cast("float")),
+    by = list(by)
+    key = lambda a, b: F.concat_ws("|", a.cast("string"), b.cast("string"))
+    listed = directed.groupBy(*by).agg(
+        F.collect_list(F.struct(key(F.col("a"), F.col("b")), F.col("score").cast("float"))).alias("_pairs")
     )
-    position = F.array_position(chain_ids, F.col("a"))
-    return full.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(position.alias("i"), "_row"))).alias("_rows")
-    ).select(*by, F.col("_rows")["_row"].alias("matrix"))
+    chains = members.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("chain_no", "rep"))).alias("_c"))
+    one, zero = F.lit(1.0).cast("float"), F.lit(0.0).cast("float")
+
+    def build(m):
+        def cell(x, y):
+            return F.when(x["rep"] == y["rep"], one).otherwise(
+                F.coalesce(F.try_element_at(m, key(x["rep"], y["rep"])), zero)
+            )
+
+        return F.transform("_c", lambda x: F.transform("_c", lambda y: cell(x, y)))
+
+    joined = chains.join(listed, by, "left")
+    pairs = F.map_from_entries(F.coalesce("_pairs", F.array().cast(listed.schema["_pairs"].dataType)))
+    return joined.select(*by, bind(pairs, build).alias("matrix"))
 
 
 def lddt_kernel(radius: float = 15.0, block: int = 512):

@@ -12,6 +12,7 @@ from curata.session import stage, staging_path
 WORDS = 3
 SELECT = 20
 LINK = 0.5
+OVERLAP = 0.3
 SWEEP = (0.3, 0.5, 0.8)
 POINTS = 21
 SCALE = 20.0
@@ -19,26 +20,31 @@ RADIUS = 6.0
 SKIP = 0.6
 
 
-def _shingled(spark, folder):
-    """Documents with their word shingles as strings."""
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", "source", S.word_shingles("text", WORDS).alias("tokens"))
+def _prepared(spark, folder):
+    """Documents with hashed word shingles and the selected ones, shingled once."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", S.word_shingles("text", WORDS).alias("_t"))
+    rows = docs.select(
+        "doc_id",
+        "source",
+        S.token_hashes("_t").alias("tokens"),
+        F.size("_t").alias("size"),
+        C.selected_tokens("_t", SELECT, "md5").alias("selected"),
+    )
+    return stage(rows, "shingles")
 
 
-def _hashed(spark, folder):
-    """The same with 64-bit token hashes, which is what large runs should move."""
-    rows = _shingled(spark, folder)
-    return rows.withColumn("tokens", S.token_hashes("tokens")).withColumn("size", F.size("tokens"))
+def _star_pairs(docs):
+    return C.star_candidates(docs, "doc_id", "selected", "size")
 
 
 def star_candidates(spark, folder):
     """Each document with the largest document of every shingle it selects."""
-    docs = _shingled(spark, folder).withColumn("size", F.size("tokens"))
-    return C.star_candidates(docs, "doc_id", "tokens", "size", SELECT, mode="md5")
+    return _star_pairs(_prepared(spark, folder))
 
 
 def _scored(spark, folder):
-    return C.shared_tokens(star_candidates(spark, folder), _hashed(spark, folder), "doc_id", "tokens")
+    docs = _prepared(spark, folder)
+    return C.shared_tokens(_star_pairs(docs), docs, "doc_id", "tokens")
 
 
 def candidate_scores(spark, folder):
@@ -102,9 +108,10 @@ def collapse_copies(spark, folder):
 
 
 def similar_pairs(spark, folder):
-    """Distinct documents of one source whose shingle sets overlap by half."""
-    docs = _hashed(spark, folder).join(collapse_copies(spark, folder), "doc_id").filter("doc_id = rep")
-    pairs = S.similar_pairs(docs, ["source"], "doc_id", "tokens", LINK)
+    """Distinct documents of one language whose shingle sets overlap."""
+    docs = _prepared(spark, folder).join(collapse_copies(spark, folder), "doc_id").filter("doc_id = rep")
+    lang = table(spark, folder, "documents").select("doc_id", "lang")
+    pairs = S.similar_pairs(docs.join(lang, "doc_id"), ["lang"], "doc_id", "tokens", OVERLAP)
     return pairs.withColumn("score", F.round("score", 6))
 
 
@@ -133,14 +140,23 @@ def chain_matrix(spark, folder):
     """The similarity matrix of every record in chain order, with unit diagonal."""
     chains = _vector_tokens(spark, folder)
     pairs = S.similar_pairs(chains, ["pdb"], "vec_id", "tokens", 0.2)
-    full = S.with_diagonal(S.both_directions(pairs, ["pdb"]), chains, ["pdb"], "vec_id")
-    ids = chains.groupBy("pdb").agg(F.sort_array(F.collect_list("vec_id")).alias("chain_ids"))
-    rows = S.score_rows(full, ["pdb"]).join(ids, "pdb")
-    matrix = S.dense_matrix(rows)
+    members = chains.select("pdb", F.col("vec_id").alias("chain_no"), F.col("vec_id").alias("rep"))
+    matrix = S.record_matrix(S.both_directions(pairs, ["pdb"]), members, ["pdb"])
     text = F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.4f", x)), " "))
     return matrix.select("pdb", F.array_join(text, ";").alias("matrix"))
 
 
+def score_rows(spark, folder):
+    """The scored partners of every vector, itself included."""
+    chains = _vector_tokens(spark, folder)
+    pairs = S.similar_pairs(chains, ["pdb"], "vec_id", "tokens", 0.2)
+    full = S.with_diagonal(S.both_directions(pairs, ["pdb"]), chains, ["pdb"], "vec_id")
+    rows = S.score_rows(full, ["pdb"])
+    return rows.select(
+        "pdb", "a", F.size("scores").alias("partners"), F.round(F.array_max("scores.score"), 6).alias("best")
+    )
+
+
 def lddt_pairs(spark, folder):
     """Every vector against the first of its label as traces, both ways round.
 
@@ -173,6 +189,7 @@ QUERIES = {
     "similar_pairs": similar_pairs,
     "seq_similarity": seq_similarity,
     "chain_matrix": chain_matrix,
+    "score_rows": score_rows,
     "lddt_pairs": lddt_pairs,
 }
 
@@ -214,6 +231,11 @@ pr AS (SELECT f.a, v.vec_id AS b, list_cosine_similarity(list_transform(f.ea, la
 _near = lambda one, two: f"""(SELECT sum((abs(s.d - t.d) < 0.5)::INT + (abs(s.d - t.d) < 1)::INT + (abs(s.d - t.d) < 2)::INT + (abs(s.d - t.d) < 4)::INT) / (4.0::DOUBLE * count(*))
   FROM ds s JOIN ds t ON t.vec_id = pr.{two} AND t.i = s.i AND t.j = s.j WHERE s.vec_id = pr.{one} AND s.d < {RADIUS})"""
 
+_vectors = """
+WITH v AS (SELECT vec_id // 5 AS pdb, vec_id, list_transform(range(1, 65), lambda i: (i - 1) || ':' || CAST(floor((embedding[i] * 8::FLOAT)::FLOAT + 0.5::DOUBLE) AS BIGINT)) AS t FROM embeddings),
+p AS (SELECT x.pdb, x.vec_id AS a, y.vec_id AS b, CASE WHEN x.vec_id = y.vec_id THEN 1.0::DOUBLE ELSE len(list_intersect(x.t, y.t)) / (128 - len(list_intersect(x.t, y.t))) END AS s
+  FROM v x JOIN v y ON x.pdb = y.pdb)"""
+
 SQL = {
     "star_candidates": f"WITH {_stars} SELECT a, b FROM cand",
     "candidate_scores": f"""WITH {_scores}
@@ -233,20 +255,22 @@ SELECT member, CASE WHEN member = rep THEN rep ELSE coalesce(best.b, rep) END AS
     + ", ".join([_scores, *[_components(f"c{round(t * 100)}", t) for t in SWEEP]])
     + " SELECT c30.member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80 FROM c30 JOIN c50 USING (member) JOIN c80 USING (member)",
     "collapse_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM documents",
-    "similar_pairs": f"""WITH {_docs}, one AS (SELECT docs.* FROM docs WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)),
-pairs AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, len(x.tokens) AS n, len(y.tokens) AS m, len(list_intersect(x.tokens, y.tokens)) AS shared
-  FROM one x JOIN one y ON x.source = y.source AND x.doc_id < y.doc_id)
-SELECT source, a, b, round(shared / (n + m - shared), 6) AS score FROM pairs WHERE shared / (n + m - shared) >= {LINK}::DOUBLE""",
+    "similar_pairs": f"""WITH {_docs},
+one AS MATERIALIZED (SELECT d.lang, t.doc_id, len(t.tokens) AS n, t.tokens FROM docs t JOIN documents d USING (doc_id)
+  WHERE t.doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)),
+tok AS MATERIALIZED (SELECT lang, doc_id, n, unnest(tokens) AS tok FROM one),
+pairs AS (SELECT x.lang, x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS shared
+  FROM tok x JOIN tok y ON x.lang = y.lang AND x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY x.lang, x.doc_id, y.doc_id)
+SELECT lang, a, b, round(shared / (n + m - shared), 6) AS score FROM pairs WHERE shared / (n + m - shared) >= {OVERLAP}::DOUBLE""",
     "seq_similarity": f"""
 WITH u AS (SELECT url, {_kmers('url', 4)} AS k FROM (SELECT DISTINCT url FROM pages)),
 p AS (SELECT x.url AS a, y.url AS b, len(list_intersect(x.k, y.k)) AS s, len(x.k) + len(y.k) AS n FROM u x JOIN u y ON x.url < y.url)
 SELECT a, b, round(s / (n - s), 6) AS kmer_similarity,
   round(CASE WHEN levenshtein(a, b) <= floor(0.5::DOUBLE * greatest(length(a), length(b)) + 1e-9) THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) ELSE -1.0::DOUBLE END, 6) AS edit_similarity
 FROM p WHERE s / (n - s) >= {LINK}::DOUBLE""",
-    "chain_matrix": """
-WITH v AS (SELECT vec_id // 5 AS pdb, vec_id, list_transform(range(1, 65), lambda i: (i - 1) || ':' || CAST(floor((embedding[i] * 8::FLOAT)::FLOAT + 0.5::DOUBLE) AS BIGINT)) AS t FROM embeddings),
-p AS (SELECT x.pdb, x.vec_id AS a, y.vec_id AS b, CASE WHEN x.vec_id = y.vec_id THEN 1.0::DOUBLE ELSE len(list_intersect(x.t, y.t)) / (128 - len(list_intersect(x.t, y.t))) END AS s
-  FROM v x JOIN v y ON x.pdb = y.pdb),
+    "score_rows": f"""{_vectors}
+SELECT pdb, a, CAST(count(*) AS INTEGER) AS partners, 1.0::DOUBLE AS best FROM p WHERE s >= 0.2::DOUBLE GROUP BY pdb, a""",
+    "chain_matrix": f"""{_vectors},
 r AS (SELECT pdb, a, string_agg(printf('%.4f', CASE WHEN s >= 0.2::DOUBLE THEN s ELSE 0 END::FLOAT::DOUBLE), ' ' ORDER BY b) AS line FROM p GROUP BY pdb, a)
 SELECT pdb, string_agg(line, ';' ORDER BY a) AS matrix FROM r GROUP BY pdb""",
     "lddt_pairs": f"""WITH {_points}

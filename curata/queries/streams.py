@@ -52,7 +52,7 @@ def stream_activity(spark, folder):
     """Active intervals per second and type, as far as the watermark has passed."""
     path = staging_path(spark, "activity")
     spans = _timed(spark, folder).withColumn(
-        "until", F.timestamp_seconds(F.unix_seconds("ts") + F.floor("value"))
+        "until", F.timestamp_micros(F.unix_micros("ts") + F.floor("value") * F.lit(1_000_000))
     )
     I.run_available(I.start_append(I.stage_activity(spans, "event_type", "ts", "until", f"{DELAY} seconds"), path))
     rows = spark.read.parquet(f"{path}/data")
@@ -112,8 +112,8 @@ WHERE second + 1 <= (SELECT max(second) FROM s) - {DELAY} GROUP BY event_type, s
 SELECT user_id, count(*) AS n, min(t) // 1000000 AS first_at, max(t) // 1000000 AS last_at FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS burst FROM (
     SELECT user_id, event_id, {_us} AS t,
-      CASE WHEN {_us} - lag({_us}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {GAP} * 1000000 THEN 0 ELSE 1 END AS new FROM events))
-GROUP BY user_id, burst HAVING max(t) + {GAP} * 1000000 <= (SELECT max({_us}) // 1000 * 1000 FROM events) - {DELAY} * 1000000""",
+      CASE WHEN {_us} - lag({_us}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {GAP} * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events))
+GROUP BY user_id, burst HAVING max(t) + {GAP} * 1000000::BIGINT <= (SELECT max({_us}) // 1000 * 1000 FROM events) - {DELAY} * 1000000::BIGINT""",
     "resume_state": f"""
 WITH p AS ({_plan}), saved AS (SELECT split, max(o_orderkey) // 2000 AS e FROM p WHERE split <> 'test' GROUP BY split)
 SELECT p.split, epoch, o_orderkey, worker_id, step FROM p LEFT JOIN saved USING (split)
