@@ -143,7 +143,7 @@ def loop_rows(
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """``path, pdb, raw_method, resolution, deposit_date, content`` per file.
+    """The columns of ``files`` and ``pdb, raw_method, resolution, deposit_date`` per file.
 
     A file without a resolution gets 0, which the resolution gate rejects.
     """
@@ -158,12 +158,11 @@ def entries(files: DataFrame) -> DataFrame:
     first = lambda category: F.get(f"_{category}", F.lit(0))
     resolution = F.coalesce(*[first(c).try_cast("double") for c, _ in RESOLUTION_ITEMS], F.lit(0.0))
     return df.select(
-        "path",
+        *files.columns,
         F.lower(F.regexp_extract("content", r"(?m)^data_(\S+)", 1)).alias("pdb"),
         F.coalesce(F.array_join("_exptl", ", "), F.lit("")).alias("raw_method"),
         resolution.alias("resolution"),
         F.coalesce(first(DATE_ITEM[0]), F.lit("")).alias("deposit_date"),
-        "content",
     )
 
 
