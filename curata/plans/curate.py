@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.functions.text import chain_key
 from curata.operators import catalog, clustering, curate, layout, pairs
 from curata.schema import INDEX, cluster_column
 from curata.session import stage, stage_once, table_exists
@@ -156,14 +157,17 @@ def index_of(records: DataFrame, placed: DataFrame) -> DataFrame:
 def cluster_chains(chains: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """``member`` and one representative column per clustering and threshold.
 
-    Candidates come from shared rare k-mers and are scored once; thresholds
-    filter the scored pairs.
+    Chains of equal sequence are one entity for the sequence clustering, so
+    copies always stay together and cost nothing.  Entities meet through
+    shared rare k-mers and are scored once; thresholds filter the scored pairs.
+    The structure clustering scores the same pairs, and each copy against its
+    entity, by their coordinates.
     """
-    ids = F.concat_ws("_", "pdb", "chain")
     tokens = pairs.kmers("sequence", cfg.kmer)
     prepared = stage(
         ca_trace(chains).select(
-            ids.alias("member"),
+            chain_key().alias("member"),
+            clustering.content_key("sequence").alias("content"),
             F.length("sequence").alias("len"),
             pairs.token_hashes(tokens).alias("tokens"),
             clustering.selected_tokens(tokens, cfg.selected).alias("selected"),
@@ -171,22 +175,30 @@ def cluster_chains(chains: DataFrame, cfg: ClusterConfig) -> DataFrame:
         ),
         "cluster-input",
     )
-    items = prepared.select("member")
-    candidates = clustering.star_candidates(prepared, "member", "selected", "len")
-    shared = clustering.shared_tokens(candidates, prepared, "member", "tokens").filter(
+    named = pairs.collapse_copies(prepared.select("member", "content", "len"), [], "member", "content")
+    named = stage(named.select("member", "rep", "len"), "cluster-entities")
+    entities = prepared.join(named.filter("member = rep").select("member"), "member", "left_semi")
+    candidates = clustering.star_candidates(entities, "member", "selected", "len")
+    shared = clustering.shared_tokens(candidates, entities, "member", "tokens").filter(
         clustering.covered(cfg.coverage, cfg.cov_mode, cfg.min_aln_len)
     )
     edges = stage(
         shared.select("a", "b", clustering.identity_score(mode=cfg.identity_mode).alias("score")), "cluster-edges"
     )
-    lengths = prepared.select(F.col("member").alias("v"), "len")
-    out = clustering.threshold_sweep(edges, items, cfg.seq_thresholds, "mmseqs", cfg.cluster_mode, lengths)
+    lengths = named.select(F.col("member").alias("v"), "len")
+    swept = clustering.threshold_sweep(
+        edges, named.filter("member = rep").select("member"), cfg.seq_thresholds, "mmseqs", cfg.cluster_mode, lengths
+    )
+    out = named.select("member", "rep").join(swept.withColumnRenamed("member", "rep"), "rep").drop("rep")
     if cfg.structure_thresholds:
+        copies = named.filter("member <> rep").select(
+            F.col("member").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score")
+        )
         scored = pairs.structure_scores(
-            edges, prepared, [], "member", "trace", skip_at=2.0, radius=cfg.radius
+            edges.unionByName(copies), prepared, [], "member", "trace", skip_at=2.0, radius=cfg.radius
         ).select("a", "b", F.least("score_ab", "score_ba").alias("score"))
         by_structure = clustering.threshold_sweep(
-            stage(scored, "structure-edges"), items, cfg.structure_thresholds, "foldseek", cfg.cluster_mode, lengths
+            stage(scored, "structure-edges"), named.select("member"), cfg.structure_thresholds, "foldseek", cfg.cluster_mode, lengths
         )
         out = out.join(by_structure, "member")
     return out
