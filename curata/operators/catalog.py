@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.text import chain_key
+from curata.functions.hashing import col
+from curata.functions.text import chain_key, trailing_number
 
 
 def reconcile(listed: DataFrame, refined: DataFrame, id_col: str = "pdb", max_entries: int = -1) -> DataFrame:
@@ -47,7 +48,7 @@ def union_sources(parts: dict[str, DataFrame], label: str = "source") -> DataFra
 
 def source_label(is_refined="is_refined") -> Column:
     # The two source labels.
-    return F.when(F.col(is_refined), F.lit("pdb_redo")).otherwise(F.lit("rcsb"))
+    return F.when(col(is_refined), F.lit("pdb_redo")).otherwise(F.lit("rcsb"))
 
 
 def ordered_distinct(array_col) -> Column:
@@ -78,8 +79,6 @@ def remaining(work: DataFrame, done: DataFrame, id_col: str = "pdb") -> DataFram
 
 def next_shard(rows: DataFrame, shard: str = "shard_id") -> DataFrame:
     """The first free shard number after the checkpointed rows; 0 when there are none."""
-    from curata.functions.text import trailing_number
-
     return rows.agg((F.coalesce(F.max(trailing_number(shard)), F.lit(-1)) + 1).alias("next_shard"))
 
 

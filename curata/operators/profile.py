@@ -124,6 +124,12 @@ def peak_topk(df: DataFrame, name: str, value: str, k: int = 10) -> DataFrame:
     return peaks.orderBy(F.col("peak").desc(), name).limit(k)
 
 
+def top_processes(log: DataFrame, k: int = 10) -> DataFrame:
+    """The other processes with the highest CPU peak in a profile log."""
+    seen = log.select(F.inline("top_other_procs"))
+    return peak_topk(seen, "name", "cpu_pct", k)
+
+
 def stage_intervals(log: DataFrame) -> DataFrame:
     """Stage intervals ``(stage, t0, t1)`` of a stage log."""
     fetched = F.col("wall") + F.col("fetch")

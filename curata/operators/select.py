@@ -116,7 +116,10 @@ def limit_clusters(
 
 
 def limit_splits(df: DataFrame, cluster_col: str, order, limits: dict[str, tuple[int, int]]) -> DataFrame:
-    """``limit_clusters`` with its own limits per split: ``{split: (clusters, samples)}``."""
+    """``limit_clusters`` with its own limits per split: ``{split: (clusters, samples)}``.
+
+    Every split reads ``df`` for itself, so give a written table (``stage``).
+    """
     parts = []
     for name in (TRAIN, VAL, TEST):
         part = df.filter(F.col("split") == name)

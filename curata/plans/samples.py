@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import residues as R
 from curata.operators import assembly, packing, sampling
+from curata.operators.ordered import dense_index
 from curata.session import stage
 
 
@@ -30,11 +31,9 @@ class SampleConfig:
 
 
 def chain_table(chains: DataFrame) -> DataFrame:
-    """``pdb, chain, chain_idx, len`` from chain records; chains count from 0 in name order."""
-    listed = chains.groupBy("pdb").agg(
-        F.sort_array(F.collect_list(F.struct("chain", F.length("sequence").cast("bigint").alias("len")))).alias("_c")
-    )
-    return listed.select("pdb", F.posexplode("_c").alias("chain_idx", "_c")).select("pdb", "chain_idx", "_c.*")
+    """``pdb, chain, chain_idx, len`` from chain records; ``chain_idx`` numbers a record's chains."""
+    listed = chains.select("pdb", "chain", F.length("sequence").cast("bigint").alias("len"))
+    return dense_index(listed, 0, ["chain"], "chain_idx", by=["pdb"])
 
 
 def residue_table(chains: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ class Selection:
             good, list(cfg.split_cols), cfg.ratios, mode=cfg.hash_mode, on_conflict=cfg.on_conflict
         )
         order = ["pdb", "chain", "shard_id", "offset"]
-        limited = select.limit_splits(split, cfg.cluster_col, order, cfg.limits) if cfg.limits else split
-        self.index = stage(limited, "selection")
+        self.index = stage(split, "selection")
+        if cfg.limits:
+            self.index = stage(select.limit_splits(self.index, cfg.cluster_col, order, cfg.limits), "limited")
 
     def split(self, name: str) -> DataFrame:
         return self.index.filter(self.index["split"] == name)

@@ -8,7 +8,6 @@ record, its lines are chains, parts and suppliers are two clusterings.
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 MODULES = (
     "selection",
@@ -29,7 +28,6 @@ MODULES = (
 def collect() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for name in MODULES:
-        if importlib.util.find_spec(f"curata.queries.{name}") is None: continue
         module = importlib.import_module(f"curata.queries.{name}")
         queries.update(module.QUERIES)
         sql.update(module.SQL)

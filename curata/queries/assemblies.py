@@ -8,8 +8,9 @@ from curata.functions import residues as R
 from curata.operators import assembly as A
 from curata.operators import packing as K
 from curata.operators import sampling as P
-from curata.queries.common import md5_of, table
+from curata.queries.common import md5_of, packing_of, table, wide_table
 from curata.queries.residues import label_sql
+from curata.session import stage
 
 SEED = 11
 MAX_SIZE = 400
@@ -20,7 +21,7 @@ TURN = [0.0, -1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0, 3.0, 0.0, 0.0, 0
 def _chains(spark, folder):
     """Turns with text as chains; the fourth turn of a conversation has no data."""
     return (
-        table(spark, folder, "conversations")
+        wide_table(spark, folder, "conversations")
         .filter("turn <> 4 and length(text) > 0")
         .select(
             F.col("conv_id").cast("string").alias("pdb"),
@@ -72,7 +73,8 @@ def assembly_choice(spark, folder):
 def _cropped(spark, folder):
     members, transforms = _members(spark, folder), _transforms(spark, folder)
     parts = A.expand_members(_chosen(spark, folder), members, _chains(spark, folder).drop("text"))
-    lengths = A.sample_lengths(parts, members, transforms, MAX_SIZE)
+    parts = stage(parts, "parts")
+    lengths = stage(A.sample_lengths(parts, members, transforms, MAX_SIZE), "lengths")
     return A.crop_chains(parts, lengths, MAX_SIZE, SEED, mode="md5"), lengths
 
 
@@ -267,7 +269,32 @@ SELECT sample_id, count(*) AS residues, CAST(sum(idx * label) AS BIGINT) AS labe
   round(sum((dx + 2 * dy + 3 * dz) / greatest(sqrt(dx * dx + dy * dy + dz * dz), 1e-8)), 3) AS unit_sum
 FROM cbs GROUP BY sample_id"""
 
+
+
+def _dealt(source: str, workers: int) -> str:
+    order = f"{md5_of(SEED, 'sample_id')}, sample_id"
+    return f"""SELECT CAST(i % {workers} AS INTEGER) AS worker_id, CAST(i // {workers} AS BIGINT) AS step, sample_id, len
+FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM ({source}))"""
+
+
+_base_recursive = BASE.replace("WITH", "WITH RECURSIVE", 1)
+_sample_pack = packing_of(_dealt("SELECT sample_id, sample_len AS len FROM sized", 2), 2048, 8)
+_document_pack = packing_of(_dealt("SELECT doc_id AS sample_id, length(text) AS len FROM documents", 4), 65_536 * 4, 32)
+_sample_pack_all = f"{BASE.strip().removeprefix('WITH')}, {_sample_pack}"
+
 SQL = {
+    "pack_batches": f"{_base_recursive}, {_sample_pack} SELECT * FROM packed",
+    "pack_documents": f"""WITH RECURSIVE {_document_pack}
+SELECT batch_id, max(len) AS max_seqlen, count(*) AS samples, CAST(sum(len) AS BIGINT) AS tokens, CAST(sum(len) AS BIGINT) AS loss_tokens
+FROM packed GROUP BY batch_id""",
+    "collate_batches": f"""WITH RECURSIVE {_sample_pack_all},
+built AS MATERIALIZED ({_construct}),
+kept AS (SELECT batch_id, sample_idx, residues, loss_tokens,
+  sum(residues) OVER (PARTITION BY batch_id ORDER BY sample_idx ROWS UNBOUNDED PRECEDING) AS upto
+  FROM packed JOIN built USING (sample_id))
+SELECT batch_id, CAST(count(*) AS INTEGER) AS samples, CAST(max(residues) AS INTEGER) AS max_seqlen, CAST(sum(residues) AS INTEGER) AS tokens,
+  CAST(sum(loss_tokens) AS INTEGER) AS loss_tokens, '0,' || string_agg(CAST(upto AS VARCHAR), ',' ORDER BY sample_idx) AS cu_seqlens,
+  CAST(count(*) - 1 AS INTEGER) AS last_sample_idx FROM kept GROUP BY batch_id""",
     "assembly_choice": f"{BASE} SELECT sample_id, pdb, target, asmb_id FROM chosen",
     "sample_lengths": f"{BASE} SELECT * FROM sized",
     "asymmetric_lengths": f"""{BASE}

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from curata.functions import text as X
 from curata.operators import catalog as C
+from curata.operators.select import quality_filter
 from curata.queries.common import table
+from curata.schema import cluster_column
 from curata.session import staging_path
 from curata.sinks import writers
 from curata.sources import catalogs as R
+from curata.sources.index import read_index
 
 
 def _listed(spark, folder):
@@ -146,7 +149,32 @@ def outcome_counts(spark, folder):
     return C.outcome_counts(table(spark, folder, "events").withColumn("status", status))
 
 
+def index_scan(spark, folder):
+    """An index with two cluster columns written, checked on reading, and filtered at the scan."""
+    lines = table(spark, folder, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").cast("string").alias("pdb"),
+        F.col("l_linenumber").cast("string").alias("chain"),
+        C.source_label(F.col("l_returnflag") == "R").alias("source"),
+        F.lit("experimental/000000").alias("shard_id"),
+        F.col("l_partkey").alias("offset"),
+        F.col("l_suppkey").alias("size"),
+        (F.col("l_quantity") / 10).alias("resolution"),
+        F.lit("X-RAY DIFFRACTION").alias("method"),
+        F.lit("").alias("deposit_date"),
+        F.lit(float("nan")).alias("mean_plddt"),
+        F.lit(float("nan")).alias("ptm"),
+        F.col("l_partkey").cast("string").alias(cluster_column("foldseek", 0.7)),
+        F.col("l_suppkey").cast("string").alias(cluster_column("mmseqs", 0.3)),
+    )
+    path = staging_path(spark, "index")
+    writers.write_index(rows, path)
+    index = read_index(spark, path, "foldseek_70", ["foldseek_70", "mmseqs_30"])
+    return quality_filter(index).select("pdb", "chain", "source", "offset", "size", "resolution", "mmseqs_30")
+
+
 QUERIES = {
+    "index_scan": index_scan,
     "reconcile_sources": reconcile_sources,
     "reconcile_capped": reconcile_capped,
     "set_operations": set_operations,
@@ -180,6 +208,10 @@ _refined_sql = "SELECT DISTINCT o_custkey * 3 AS pdb FROM orders"
 _both_sql = f"SELECT c_custkey AS pdb, c_custkey IN ({_refined_sql}) AS is_refined FROM customer"
 
 SQL = {
+    "index_scan": """
+SELECT CAST(l_orderkey AS VARCHAR) AS pdb, CAST(l_linenumber AS VARCHAR) AS chain,
+  CASE WHEN l_returnflag = 'R' THEN 'pdb_redo' ELSE 'rcsb' END AS source, l_partkey AS "offset", l_suppkey AS size,
+  l_quantity / 10 AS resolution, CAST(l_suppkey AS VARCHAR) AS mmseqs_30 FROM lineitem WHERE l_quantity / 10 <= 3.5::DOUBLE""",
     "reconcile_sources": f"""
 SELECT pdb, is_refined, CASE WHEN is_refined THEN 'pdb_redo' ELSE 'rcsb' END AS source FROM ({_both_sql})""",
     "reconcile_capped": f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import residues as R
 from curata.operators import curate as C
-from curata.queries.common import table
+from curata.queries.common import table, wide_table
 from curata.session import staging_path
 from curata.sinks import writers
 from curata.sources import catalogs, mmcif
@@ -46,7 +46,7 @@ def _atoms(spark, folder):
     """Vectors as chains of twelve residues with five atoms each."""
     v = F.col("vec_id")
     names = F.array(*[F.lit(n) for n in NAMES])
-    rows = table(spark, folder, "embeddings").select(
+    rows = wide_table(spark, folder, "embeddings").select(
         v.cast("string").alias("pdb"),
         F.concat(F.lit("C"), F.col("label").cast("string")).alias("chain"),
         "vec_id",

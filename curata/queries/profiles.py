@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from curata.functions.text import epoch_seconds
 from curata.operators import profile as O
 from curata.queries.common import table
+from curata.session import staging_path
+from curata.sources import catalogs
 
 STAGES = ["click", "error", "purchase", "signup", "view"]
 EPOCH = 1_704_067_200  # the first second of 2024
@@ -86,7 +88,39 @@ def rate_fixed_interval(spark, folder):
     return rates.select("event_id", F.round("rate", 6).alias("rate"))
 
 
+def _profile_log(spark, folder):
+    """Events as a profile log in JSON lines, written and read back."""
+    v, n = F.col("value"), F.col("event_id")
+    other = F.struct(n.cast("int").alias("pid"), F.concat(F.lit("u"), F.col("user_id")).alias("name"), v.alias("cpu_pct"))
+    log = table(spark, folder, "events").select(
+        n.cast("double").alias("elapsed_s"),
+        F.col("event_type").alias("phase"),
+        (v % 100).alias("sys_cpu_pct"),
+        (n % 8).cast("int").alias("cores_active"),
+        F.lit(8).alias("cores_total"),
+        *[(v * i).alias(c) for i, c in enumerate(("sys_mem_pct", "sys_mem_used_mb", "proc_rss_mb", "proc_cpu_pct"), 1)],
+        (n % 32).cast("int").alias("proc_threads"),
+        *[(v + i).alias(c) for i, c in enumerate(("proc_io_read_mb", "proc_io_write_mb", "net_recv_mbps", "net_send_mbps"))],
+        F.array(other).alias("top_other_procs"),
+    )
+    path = staging_path(spark, "profile")
+    log.write.json(path)
+    return catalogs.read_profile_log(spark, path)
+
+
+def profile_log_summary(spark, folder):
+    """Minimum, average and maximum of every profiled metric of a log file."""
+    return O.profile_summary(_profile_log(spark, folder)).withColumn("avg_value", F.round("avg_value", 5))
+
+
+def top_processes(spark, folder):
+    """The busiest other processes of a log file."""
+    return O.top_processes(_profile_log(spark, folder), 10)
+
+
 QUERIES = {
+    "profile_log_summary": profile_log_summary,
+    "top_processes": top_processes,
     "stage_summary": stage_summary,
     "stage_summary_small_groups": small_group_summary,
     "profile_summary": profile_summary,
@@ -117,7 +151,19 @@ SELECT 'fetch' AS stage, wall AS t0, wall + f AS t1 FROM log UNION ALL
 SELECT 'cpu', wall + f, wall + f + value FROM log UNION ALL
 SELECT 'write', wall + f + value, wall + f + value + (0.5::DOUBLE + w) FROM log"""
 
+_metric_sql = {
+    "sys_cpu_pct": "value % 100", "proc_cpu_pct": "value * 4", "proc_threads": "event_id % 32", "proc_rss_mb": "value * 3",
+    "sys_mem_pct": "value * 1", "proc_io_read_mb": "value + 0", "proc_io_write_mb": "value + 1", "net_recv_mbps": "value + 2",
+    "net_send_mbps": "value + 3", "cores_active": "event_id % 8",
+}
+
 SQL = {
+    "profile_log_summary": " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, min(v) AS min_value, round(avg(v), 5) AS avg_value, max(v) AS max_value FROM (SELECT ({e})::DOUBLE AS v FROM events)"
+        for m, e in _metric_sql.items()
+    ),
+    "top_processes": """
+SELECT 'u' || user_id AS name, max(value) AS peak FROM events GROUP BY user_id ORDER BY peak DESC, name LIMIT 10""",
     "stage_summary": _summary("event_type"),
     "stage_summary_small_groups": _summary("grp", "(SELECT *, CAST(floor(sqrt(event_id)) AS BIGINT) AS grp FROM events)").replace(
         "SELECT grp AS grp, n", "SELECT grp, n", 1

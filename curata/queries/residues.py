@@ -8,7 +8,7 @@ from curata.functions import residues as R
 from curata.functions import text as X
 from curata.operators import corruption as N
 from curata.operators import curate as C
-from curata.queries.common import table, uniform_of
+from curata.queries.common import table, uniform_of, wide_table
 
 NAMES = [n for n, _, _ in R.RESIDUES] + ["HOH", "ZZZ"]
 SEED = 7
@@ -17,7 +17,7 @@ MAX_T = 10
 
 def label_counts(spark, folder):
     """Labels of every character of every document."""
-    documents = table(spark, folder, "documents")
+    documents = wide_table(spark, folder, "documents")
     letters = documents.select(F.explode(F.split("text", "")).alias("letter")).groupBy("letter").count()
     return letters.groupBy(R.letter_label("letter").alias("label")).agg(F.sum("count").alias("n"))
 
@@ -108,7 +108,7 @@ def method_gate(spark, folder):
 
 
 def _residue_rows(spark, folder):
-    turns = table(spark, folder, "conversations").select(
+    turns = wide_table(spark, folder, "conversations").select(
         F.concat_ws("_", "conv_id", "turn").alias("sample_id"), "text"
     )
     return R.label_rows(turns, "text", "sample_id")

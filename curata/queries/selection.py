@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curata.functions.hashing import TEST_SEED, VAL_SEED, union_share
 from curata.operators import select as S
 from curata.queries.common import LINE_INDEX, LINE_KEYS, below_of, line_index, table
+from curata.session import stage
 
 CLUSTERS = ["l_partkey", "l_suppkey"]
 RATIOS = (0.9, 0.05, 0.05)
@@ -65,7 +66,7 @@ def limit_clusters(spark, folder):
 
 
 def limit_splits(spark, folder):
-    return S.limit_splits(split(spark, folder), "l_partkey", LINE_KEYS, LIMITS)
+    return S.limit_splits(stage(split(spark, folder), "split"), "l_partkey", LINE_KEYS, LIMITS)
 
 
 def _limited(name):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import clustering as C
 from curata.operators import pairs as S
-from curata.queries.common import table
+from curata.queries.common import table, wide_table
 from curata.session import stage, staging_path
 
 WORDS = 3
@@ -22,7 +22,7 @@ SKIP = 0.6
 
 def _prepared(spark, folder):
     """Documents with hashed word shingles and the selected ones, shingled once."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", S.word_shingles("text", WORDS).alias("_t"))
+    docs = wide_table(spark, folder, "documents").select("doc_id", "source", S.word_shingles("text", WORDS).alias("_t"))
     rows = docs.select(
         "doc_id",
         "source",
@@ -236,7 +236,32 @@ WITH v AS (SELECT vec_id // 5 AS pdb, vec_id, list_transform(range(1, 65), lambd
 p AS (SELECT x.pdb, x.vec_id AS a, y.vec_id AS b, CASE WHEN x.vec_id = y.vec_id THEN 1.0::DOUBLE ELSE len(list_intersect(x.t, y.t)) / (128 - len(list_intersect(x.t, y.t))) END AS s
   FROM v x JOIN v y ON x.pdb = y.pdb)"""
 
+_linked = f"""
+e AS MATERIALIZED (SELECT a, b FROM sc WHERE shared / (size_a + size_b - shared) >= {LINK}::DOUBLE
+  UNION SELECT b, a FROM sc WHERE shared / (size_a + size_b - shared) >= {LINK}::DOUBLE)"""
+
+
+def _greedy(order: str) -> str:
+    """SQL for the sequential rule: the best uncovered item takes its uncovered neighbours, one per step.
+
+    An item is picked only while it has uncovered neighbours; all others stand alone.
+    """
+    return f"""
+run AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST(-1 AS BIGINT) AS rep, []::BIGINT[] AS taken, []::BIGINT[] AS done
+  UNION ALL
+  SELECT step + 1, rep, taken, list_concat(done, taken) FROM (
+    SELECT run.step, run.done, e.a AS rep, list_append(list(e.b), e.a) AS taken,
+      row_number() OVER (PARTITION BY run.step ORDER BY {order}) AS place
+    FROM run JOIN e ON NOT list_contains(run.done, e.a) AND NOT list_contains(run.done, e.b)
+    JOIN documents d ON d.doc_id = e.a GROUP BY run.step, run.done, e.a, d.n_chars) WHERE place = 1)
+SELECT doc_id AS member, coalesce(rep, doc_id) AS rep FROM documents
+LEFT JOIN (SELECT rep, unnest(taken) AS member FROM run WHERE step > 0) ON member = doc_id"""
+
+
 SQL = {
+    "set_cover": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy('count(*) DESC, e.a')}",
+    "greedy_by_length": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy('d.n_chars DESC, e.a')}",
     "star_candidates": f"WITH {_stars} SELECT a, b FROM cand",
     "candidate_scores": f"""WITH {_scores}
 SELECT a, b, CAST(shared AS INTEGER) AS shared, round(shared / (size_a + size_b - shared), 6) AS identity_0,

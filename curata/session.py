@@ -68,6 +68,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, up_to: int = 64) -> DataFrame:
+    """Give a small input as many partitions as there are cores.
+
+    For steps that compute much per row: a file with one row group is one
+    task.  Inputs that already have ``up_to`` partitions, or one per core, are
+    left alone, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, up_to) else df
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds a committed output (its success marker is there)."""
     jvm = spark.sparkContext._jvm

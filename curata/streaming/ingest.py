@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators.ordered import top_per_group
-from curata.session import table_exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -28,18 +27,12 @@ def run_available(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _finished(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The id tables of earlier batches; only committed ones are listed."""
-    done = [f"{path}/batch={i}" for i in range(number) if table_exists(spark, f"{path}/batch={i}")]
-    return spark.read.parquet(*done) if done else None
-
-
 def start_ingest(records: DataFrame, path: str, key: str, index_columns) -> object:
     """A writer that stores arriving records once and logs them after they are stored.
 
-    Each micro-batch keeps the first record per key (``order`` is the key
-    itself plus all index columns), drops keys that earlier batches logged,
-    writes the records, and only then their index rows.  Both go to a folder
+    Each micro-batch keeps one record per key, the first in order of the index
+    columns, drops keys that earlier batches logged, writes the records, and
+    only then their index rows.  Both go to a folder
     of that batch, so a batch that runs again replaces its own output.
     """
     index_columns = list(index_columns)
@@ -47,8 +40,8 @@ def start_ingest(records: DataFrame, path: str, key: str, index_columns) -> obje
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = top_per_group(batch, [key], [F.col(c) for c in index_columns], 1)
-        done = _finished(spark, f"{path}/index", number)
-        if done is not None:
+        if number:
+            done = spark.read.parquet(f"{path}/index").filter(F.col("batch") < number)
             first = first.join(done.select(key), key, "left_anti")
         first.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         stored = spark.read.parquet(f"{path}/data/batch={number}")
