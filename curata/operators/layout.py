@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curata.functions.hashing import digest
+from curata.functions.hashing import sort_hash
 from curata.functions.text import shard_name
 from curata.operators.ordered import prefix_sum
 from curata.session import stage
@@ -27,24 +27,31 @@ def padded_size(size) -> Column:
 
 
 def byte_layout(
-    df: DataFrame, key: str, size: str = "size", source: str = "source", target: int = TARGET, seed: int = 0
+    df: DataFrame,
+    key: str,
+    size: str = "size",
+    source: str = "source",
+    target: int = TARGET,
+    seed: int = 0,
+    mode: str = "xxhash64",
 ) -> DataFrame:
     """Shard number and byte offset per entry, computed fully in parallel.
 
     Entries of a source follow the seeded hash order of their keys.  A shard
     takes the entries that start within its ``target`` stretch of the source's
-    byte stream, so shards exceed the target by less than one entry.
+    byte stream, so shards exceed the target by less than one entry.  Pass keys
+    and sizes only and join payloads afterwards.
     """
     placed = prefix_sum(
-        df.withColumn("_padded", padded_size(size)), seed, [source], [key], "_padded", "_start"
+        df.withColumn("_padded", padded_size(size)), seed, [source], [key], "_padded", "_start", mode=mode
     )
     placed = placed.withColumn("shard_no", F.floor(F.col("_start") / F.lit(target)))
-    first = placed.groupBy(source, "shard_no").agg(F.min("_start").alias("_first"))
+    # An entry takes two blocks at least, so a shard has at most target / 1024 rows.
+    shard = W.partitionBy(source, "shard_no")
     return (
-        placed.join(first, [source, "shard_no"])
-        .withColumn("offset", F.col("_start") - F.col("_first") + BLOCK)
+        placed.withColumn("offset", F.col("_start") - F.min("_start").over(shard) + BLOCK)
         .withColumn("shard_id", shard_name(source, "shard_no"))
-        .drop("_padded", "_start", "_first")
+        .drop("_padded", "_start")
     )
 
 
@@ -78,6 +85,7 @@ def exact_shards(
     lanes: int = 1,
     first_shard: int = 0,
     seed: int = 0,
+    mode: str = "xxhash64",
 ) -> DataFrame:
     """Shards that close as soon as they reach the target, then start from zero.
 
@@ -91,8 +99,10 @@ def exact_shards(
         F.col(key).alias("_key"),
         F.col(source).alias("_source"),
         padded_size(size).alias("_padded"),
-        digest(seed, key).alias("_hash"),
-    ).withColumn("_lane", F.pmod(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint"), F.lit(lanes)))
+        sort_hash(seed, key, mode=mode).alias("_hash"),
+    )
+    number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint") if mode == "md5" else F.col("_hash")
+    hashed = hashed.withColumn("_lane", F.pmod(number, F.lit(lanes)).cast("bigint"))
     columns = "_key, _source, _padded, _hash, _lane, _lane_shard, offset"
     fields = dict(hashed.dtypes) | {"_lane_shard": "bigint", "offset": "bigint"}
     schema = ", ".join(f"{c} {fields[c]}" for c in columns.split(", "))

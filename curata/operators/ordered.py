@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curata.functions.hashing import col, digest
+from curata.functions.hashing import col, sort_hash
 
 # Spark limits each group before the shuffle when the wanted rank is at most
 # spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
@@ -90,22 +90,25 @@ def previous_value(df: DataFrame, by, axis: str, tie, value: str, out: str, widt
     )
 
 
-def hash_order(df: DataFrame, seed, keys, digits: int = 3) -> DataFrame:
-    """Add ``_hash`` and its leading digits ``_piece``: a seeded order whose
+def hash_order(df: DataFrame, seed, keys, digits: int = 3, mode: str = "xxhash64") -> DataFrame:
+    """Add ``_hash`` and its leading hex digits ``_piece``: a seeded order whose
     pieces have equal expected size whatever the keys are."""
-    return df.withColumn("_hash", digest(seed, *keys)).withColumn(
-        "_piece", F.substring("_hash", 1, digits)
-    )
+    hashed = df.withColumn("_hash", sort_hash(seed, *keys, mode=mode))
+    if mode == "md5":
+        return hashed.withColumn("_piece", F.substring("_hash", 1, digits))
+    return hashed.withColumn("_piece", F.shiftrightunsigned("_hash", 64 - 4 * digits))
 
 
-def dense_index(df: DataFrame, seed, keys, out: str, by=(), digits: int = 3) -> DataFrame:
+def dense_index(
+    df: DataFrame, seed, keys, out: str, by=(), digits: int = 3, mode: str = "xxhash64"
+) -> DataFrame:
     """Position 0, 1, 2, … of each row in the seeded hash order of its keys.
 
     Only the piece counts (at most ``16 ** digits`` per group) meet in one
     window; rows are numbered inside their piece.
     """
     by, keys = list(by), list(keys)
-    df = hash_order(df, seed, keys, digits)
+    df = hash_order(df, seed, keys, digits, mode)
     counts = df.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     starts = carry(counts, by, "_piece", F.sum("_n"), "_before").drop("_n")
     local = W.partitionBy(*by, "_piece").orderBy("_hash", *keys)
@@ -116,10 +119,12 @@ def dense_index(df: DataFrame, seed, keys, out: str, by=(), digits: int = 3) ->
     )
 
 
-def prefix_sum(df: DataFrame, seed, by, keys, value: str, out: str, digits: int = 3) -> DataFrame:
+def prefix_sum(
+    df: DataFrame, seed, by, keys, value: str, out: str, digits: int = 3, mode: str = "xxhash64"
+) -> DataFrame:
     """Exclusive prefix sum of ``value`` per group in the seeded hash order of the keys."""
     by, keys = list(by), list(keys)
-    df = hash_order(df, seed, keys, digits)
+    df = hash_order(df, seed, keys, digits, mode)
     totals = df.groupBy(*by, "_piece").agg(F.sum(value).alias("_total"))
     starts = carry(totals, by, "_piece", F.sum("_total"), "_before").drop("_total")
     local = (

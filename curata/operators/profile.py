@@ -162,7 +162,8 @@ def concurrency_timeline(
             )
         ),
     )
-    deltas = edges.groupBy(stage, "second").agg(F.sum("_d").alias("_d"))
+    # At most one row per stage and second; written, as four passes read it.
+    deltas = stage_table(edges.groupBy(stage, "second").agg(F.sum("_d").alias("_d")), "edges")
     levels = running_total(deltas, [stage], "second", "_d", "active", width)
     # The level holds until the next edge; segments make the lookahead bounded.
     backwards = levels.withColumn("_back", -F.col("second"))
@@ -186,11 +187,11 @@ def rate_per_second(
     Divides by ``interval`` if it is given, otherwise by the time between the
     samples.  The first sample of a series has no rate.
     """
-    df = previous_value(df, by, time, tie, value, "_last_value", width)
-    change = F.col(value) - F.col("_last_value")
+    now = F.struct(F.col(value).alias("value"), F.col(time).alias("time"))
+    df = previous_value(df.withColumn("_now", now), by, time, tie, "_now", "_last", width)
+    change = F.col(value) - F.col("_last.value")
     if interval is None:
-        df = previous_value(df, by, time, tie, time, "_last_time", width)
-        span = F.nullif(F.col(time) - F.col("_last_time"), F.lit(0))
+        span = F.nullif(F.col(time) - F.col("_last.time"), F.lit(0))
     else:
         span = F.lit(interval)
-    return df.withColumn("rate", change / span / F.lit(scale)).drop("_last_value", "_last_time")
+    return df.withColumn("rate", change / span / F.lit(scale)).drop("_now", "_last")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.hashing import epoch_seed, sort_hash
 from curata.operators.ordered import carry, dense_index, top_per_group
+from curata.session import stage
 
 GAP = 64 * 1024
 SEGMENT = 1 << 20
@@ -37,8 +38,8 @@ def _read_points(df: DataFrame, by, offset: str, size: str) -> DataFrame:
     )
 
 
-def _read_starts(points: DataFrame, by, offset: str, gap: int, segment: int) -> DataFrame:
-    """Add ``byte_start``, the start of the read that each point belongs to.
+def _read_starts(df: DataFrame, by, offset: str, size: str, gap: int, segment: int) -> DataFrame:
+    """Points with ``byte_start``, the start of the read that each belongs to.
 
     A point opens a read when it lies more than ``gap`` past the furthest end
     before it.  Offsets are cut into segments, so one window partition holds
@@ -46,18 +47,20 @@ def _read_starts(points: DataFrame, by, offset: str, gap: int, segment: int) ->
     furthest end so far and the last opened read.
     """
     piece = [*by, "_segment"]
-    points = points.withColumn("_segment", F.floor(F.col(offset) / F.lit(segment)))
-    ends = points.groupBy(*piece).agg(F.max("_end").alias("_segment_end"))
+    place = F.floor(F.col(offset) / F.lit(segment))
+    ends = df.groupBy(*by, place.alias("_segment")).agg(F.max(F.col(offset) + F.col(size)).alias("_segment_end"))
     ends = carry(ends, by, "_segment", F.max("_segment_end"), "_end_before").drop("_segment_end")
     inside = W.partitionBy(*piece).orderBy(offset)
     before = F.greatest(
         F.max("_end").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_end_before")
     )
     opened = F.when(before.isNull() | (F.col(offset) - before > gap), F.col(offset))
+    points = _read_points(df, by, offset, size).withColumn("_segment", place)
     points = points.join(ends, piece, "left").withColumn("_opened", opened).drop("_end_before")
     points = points.withColumn(
         "_local_start", F.max("_opened").over(inside.rowsBetween(W.unboundedPreceding, 0))
     )
+    points = stage(points, "read-points")  # read twice below
     starts = points.groupBy(*piece).agg(F.max("_opened").alias("_last_opened"))
     starts = carry(starts, by, "_segment", F.max("_last_opened"), "_start_before").drop("_last_opened")
     return (
@@ -81,7 +84,7 @@ def coalesce_ranges(
     ``entry_bytes``.
     """
     by = list(by)
-    points = _read_starts(_read_points(df, by, offset, size), by, offset, gap, segment)
+    points = _read_starts(df, by, offset, size, gap, segment)
     return points.groupBy(*by, "byte_start").agg(
         F.max("_end").alias("byte_end"),
         F.sum("_entries").alias("n_entries"),
@@ -99,16 +102,18 @@ def assign_reads(
 ) -> DataFrame:
     """Each entry with the ``byte_start`` of its read."""
     by = list(by)
-    points = _read_starts(_read_points(df, by, offset, size), by, offset, gap, segment)
+    points = _read_starts(df, by, offset, size, gap, segment)
     return df.join(points.select(*by, offset, "byte_start"), [*by, offset])
 
 
-def assign_workers(df: DataFrame, keys, seed, num_workers: int, digits: int = 3) -> DataFrame:
+def assign_workers(
+    df: DataFrame, keys, seed, num_workers: int, digits: int = 3, mode: str = "xxhash64"
+) -> DataFrame:
     """Shuffle rows by a seeded hash and deal them to workers in turn.
 
     Adds ``worker_id`` and ``step``, the position in that worker's order.
     """
-    indexed = dense_index(df, seed, keys, "_index", digits=digits)
+    indexed = dense_index(df, seed, keys, "_index", digits=digits, mode=mode)
     return indexed.withColumns(
         {
             "worker_id": F.pmod("_index", F.lit(num_workers)).cast("int"),
@@ -138,7 +143,7 @@ def epoch_plan(
     )
     reads = coalesce_ranges(sampled, gap=gap)
     seed = epoch_seed(base_seed, epoch, fixed)
-    return assign_workers(reads, ["shard_id", "byte_start"], seed, num_workers)
+    return assign_workers(reads, ["shard_id", "byte_start"], seed, num_workers, mode=mode)
 
 
 def read_once(entries: DataFrame, blobs: DataFrame, keys=("pdb", "offset")) -> DataFrame:

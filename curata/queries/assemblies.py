@@ -150,7 +150,7 @@ def construct_samples(spark, folder):
 
 def _packed(spark, folder):
     lengths = sample_lengths(spark, folder).select("sample_id", F.col("sample_len").alias("len"))
-    plan = P.assign_workers(lengths, ["sample_id"], SEED, 2)
+    plan = P.assign_workers(lengths, ["sample_id"], SEED, 2, mode="md5")
     return K.pack_batches(plan, batch_tokens=2048, buffer_size=8)
 
 
@@ -164,7 +164,7 @@ def pack_documents(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("sample_id"), F.length("text").cast("bigint").alias("len")
     )
-    plan = P.assign_workers(docs, ["sample_id"], SEED, 4)
+    plan = P.assign_workers(docs, ["sample_id"], SEED, 4, mode="md5")
     packed = K.pack_batches(plan, batch_tokens=65_536 * 4, buffer_size=32)
     return K.batch_summary(packed)
 

@@ -19,7 +19,7 @@ def _documents(spark, folder):
 
 
 def byte_layout(spark, folder):
-    return L.byte_layout(_documents(spark, folder), "doc_id", target=TARGET)
+    return L.byte_layout(_documents(spark, folder), "doc_id", target=TARGET, mode="md5")
 
 
 def index_rows(spark, folder):
@@ -30,7 +30,7 @@ def index_rows(spark, folder):
 
 
 def exact_shards(spark, folder):
-    return L.exact_shards(_documents(spark, folder), "doc_id", target=TARGET, lanes=LANES, first_shard=5)
+    return L.exact_shards(_documents(spark, folder), "doc_id", target=TARGET, lanes=LANES, first_shard=5, mode="md5")
 
 
 def shard_round_trip(spark, folder):

@@ -44,7 +44,7 @@ def assign_reads(spark, folder):
 
 def assign_workers(spark, folder):
     reads = coalesce_ranges(spark, folder)
-    return P.assign_workers(reads, ["user_id", "byte_start"], SEED, WORKERS).select(
+    return P.assign_workers(reads, ["user_id", "byte_start"], SEED, WORKERS, mode="md5").select(
         "user_id", "byte_start", "worker_id", "step"
     )
 

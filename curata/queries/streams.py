@@ -75,7 +75,7 @@ def resume_state(spark, folder):
         F.floor(F.col("o_orderkey") / 1000).alias("epoch"),
         "o_orderkey",
     )
-    plan = P.assign_workers(orders, ["o_orderkey"], 5, 4)
+    plan = P.assign_workers(orders, ["o_orderkey"], 5, 4, mode="md5")
     saved = table(spark, folder, "orders").groupBy(
         F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "val").alias("split")
     ).agg(F.floor(F.max("o_orderkey") / 2000).alias("epoch"), F.lit(100).cast("bigint").alias("step"))

@@ -51,7 +51,7 @@ def test_exact_shards_against_a_writer_per_lane(spark, lanes):
                 used += 512 + -(-z // 512) * 512
             shard_base += (shard + 1) if mine else 0
         counts[source] = shard_base
-    got = {r.pdb: (r.shard_no, r.offset) for r in L.exact_shards(df, "pdb", target=target, lanes=lanes).collect()}
+    got = {r.pdb: (r.shard_no, r.offset) for r in L.exact_shards(df, "pdb", target=target, lanes=lanes, mode="md5").collect()}
     assert got == want
 
 
