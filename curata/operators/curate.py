@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curata.functions import residues as R
@@ -122,6 +123,30 @@ def chain_records(residues: DataFrame, by=("pdb", "chain"), order: str = "seq_id
     )
 
 
+def resolve_chains(atoms: DataFrame, min_chain_length: int = MIN_CHAIN) -> DataFrame:
+    """Atom rows to chain records with one shuffle.
+
+    The same as ``known_residues``, ``best_residues``, ``best_atoms``,
+    ``residue_arrays``, ``long_chains`` and ``chain_records`` in turn, for atoms
+    that were read from structure files.  A file is one row when it is parsed,
+    so its chains are known to fit a task; placing atoms by (pdb, chain) then
+    serves every later window and grouping.
+    """
+    check_min_chain(min_chain_length)
+    chain, site = ["pdb", "chain"], ["pdb", "chain", "seq_id"]
+    rows = known_residues(atoms).repartition(*chain)
+    residue = W.partitionBy(*site, "resname")
+    candidate = F.struct(F.avg("occ").over(residue).alias("occ"), (-F.min("atom_no").over(residue)).alias("first"))
+    rows = rows.withColumn("_candidate", candidate)
+    best = F.max("_candidate").over(W.partitionBy(*site))
+    rows = rows.withColumn("_best", best).filter("_candidate = _best").drop("_candidate", "_best")
+    order = W.partitionBy(*site, "resname", "atom").orderBy(F.col("occ").desc(), "atom_no")
+    rows = rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    residues = residue_arrays(rows)
+    residues = residues.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*chain)))
+    return chain_records(residues.filter(F.col("_n") >= min_chain_length).drop("_n"))
+
+
 def oper_combinations(expression) -> Column:
     """``"1,2"``, ``"(1-60)"`` or ``"(1,2)(3-5)"`` as an array of operator id lists."""
     groups = F.regexp_extract_all(F.regexp_replace(col(expression), r"[\s'\"]", ""), F.lit(r"[^()]+"), F.lit(0))

@@ -73,9 +73,7 @@ def accept(files: DataFrame, cfg: CurateConfig) -> DataFrame:
 
 def build_chains(accepted: DataFrame, cfg: CurateConfig) -> DataFrame:
     """Chain records of the accepted entries."""
-    atoms = curate.known_residues(mmcif.atom_rows(accepted))
-    residues = curate.residue_arrays(curate.best_atoms(curate.best_residues(atoms)))
-    return curate.chain_records(curate.long_chains(residues, cfg.min_chain_length))
+    return curate.resolve_chains(mmcif.atom_rows(accepted), cfg.min_chain_length)
 
 
 def ca_trace(chains: DataFrame) -> DataFrame:

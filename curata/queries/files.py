@@ -108,9 +108,7 @@ def mmcif_atoms(spark, folder):
 
 
 def _chain_records(spark, folder):
-    atoms = C.known_residues(mmcif.atom_rows(_accepted(spark, folder)))
-    residues = C.residue_arrays(C.best_atoms(C.best_residues(atoms)))
-    return C.chain_records(C.long_chains(residues))
+    return C.resolve_chains(mmcif.atom_rows(_accepted(spark, folder)))
 
 
 def chain_records(spark, folder):

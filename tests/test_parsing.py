@@ -95,6 +95,18 @@ def test_first_of_equal_occupancies_wins(spark):
     assert {r.resname for r in C.best_residues(residues).collect()} == {"GLY"}
 
 
+def test_one_shuffle_form_equals_the_steps(spark, cif):
+    double = "ATOM 900 N N . SER A 1 2 9.0 9.0 9.0 2.00 30.00 2 A 1"
+    twice = "ATOM 901 CA CA . ALA A 1 1 8.0 8.0 8.0 1.50 30.00 1 A 1"
+    texts = [cif(extra_atoms=[double, twice]), cif(pdb="2xyz", chains=[("A", "ACDEF"), ("B", "ACD")])]
+    atoms = mmcif.atom_rows(P.accept(files(spark, *texts), P.CurateConfig()))
+    steps = C.residue_arrays(C.best_atoms(C.best_residues(C.known_residues(atoms))))
+    want = C.chain_records(C.long_chains(steps)).orderBy("pdb", "chain").collect()
+    got = C.resolve_chains(atoms).orderBy("pdb", "chain").collect()
+    assert str(got) == str(want) and [r.sequence for r in got] == ["ASDEFG", "ACDEF"]
+    assert got[0].coords[0][1] == [8.0, 8.0, 8.0]
+
+
 def nested(spark, text):
     accepted = P.accept(files(spark, text), P.CurateConfig())
     known = mmcif.atom_rows(accepted).select("pdb", "chain").distinct()
