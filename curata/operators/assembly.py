@@ -185,12 +185,13 @@ def construct_samples(
     valid = backbone_present(residues).select(
         "pdb", "chain", "pos", "label", F.slice(G.zero_nan("coords"), 1, 3).alias("coords")
     )
-    rows = placed.join(valid, ["pdb", "chain"]).filter(F.col("pos") < F.col("used"))
+    # Homologs join the placed chains, so residues are shuffled for one join only.
     if homolog_pairs is not None:
         marked = homolog_pairs.withColumn("_homolog", F.lit(True))
-        rows = rows.join(marked, ["pdb", "target", "chain"], "left")
+        placed = placed.join(marked, ["pdb", "target", "chain"], "left")
     else:
-        rows = rows.withColumn("_homolog", F.lit(None).cast("boolean"))
+        placed = placed.withColumn("_homolog", F.lit(None).cast("boolean"))
+    rows = placed.join(valid, ["pdb", "chain"]).filter(F.col("pos") < F.col("used"))
     is_target = F.col("chain") == F.col("target")
     rows = rows.select(
         "sample_id",

@@ -144,12 +144,13 @@ def with_diagonal(directed: DataFrame, items: DataFrame, by, item: str) -> DataF
 
 
 def score_rows(directed: DataFrame, by) -> DataFrame:
-    """The score matrix of each group by rows: item ``a`` with its scored partners in order.
+    """Each item's row of the score matrix in short: ``partners`` listed and ``best`` score.
 
-    Partners that are not listed score below the threshold of the join.
+    The row itself is the rows of ``directed`` with this ``a``; it is not
+    collected, as an item may have any number of partners.
     """
     return directed.groupBy(*by, "a").agg(
-        F.sort_array(F.collect_list(F.struct("b", "score"))).alias("scores")
+        F.count(F.lit(1)).alias("partners"), F.max("score").alias("best")
     )
 
 

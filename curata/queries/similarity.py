@@ -147,14 +147,11 @@ def chain_matrix(spark, folder):
 
 
 def score_rows(spark, folder):
-    """The scored partners of every vector, itself included."""
+    """Scored partners of every vector, itself included, and the best score."""
     chains = _vector_tokens(spark, folder)
     pairs = S.similar_pairs(chains, ["pdb"], "vec_id", "tokens", 0.2)
     full = S.with_diagonal(S.both_directions(pairs, ["pdb"]), chains, ["pdb"], "vec_id")
-    rows = S.score_rows(full, ["pdb"])
-    return rows.select(
-        "pdb", "a", F.size("scores").alias("partners"), F.round(F.array_max("scores.score"), 6).alias("best")
-    )
+    return S.score_rows(full, ["pdb"]).withColumn("best", F.round("best", 6))
 
 
 def lddt_pairs(spark, folder):
@@ -294,7 +291,7 @@ SELECT a, b, round(s / (n - s), 6) AS kmer_similarity,
   round(CASE WHEN levenshtein(a, b) <= floor(0.5::DOUBLE * greatest(length(a), length(b)) + 1e-9) THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) ELSE -1.0::DOUBLE END, 6) AS edit_similarity
 FROM p WHERE s / (n - s) >= {LINK}::DOUBLE""",
     "score_rows": f"""{_vectors}
-SELECT pdb, a, CAST(count(*) AS INTEGER) AS partners, 1.0::DOUBLE AS best FROM p WHERE s >= 0.2::DOUBLE GROUP BY pdb, a""",
+SELECT pdb, a, count(*) AS partners, 1.0::DOUBLE AS best FROM p WHERE s >= 0.2::DOUBLE GROUP BY pdb, a""",
     "chain_matrix": f"""{_vectors},
 r AS (SELECT pdb, a, string_agg(printf('%.4f', CASE WHEN s >= 0.2::DOUBLE THEN s ELSE 0 END::FLOAT::DOUBLE), ' ' ORDER BY b) AS line FROM p GROUP BY pdb, a)
 SELECT pdb, string_agg(line, ';' ORDER BY a) AS matrix FROM r GROUP BY pdb""",
