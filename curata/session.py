@@ -46,9 +46,8 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="curata-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curata-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
