@@ -56,20 +56,28 @@ def ordered_distinct(array_col) -> Column:
     return F.array_distinct(array_col)
 
 
-def cluster_lookup(
-    df: DataFrame, clusters: DataFrame, out: str, pdb="pdb", chain="chain", missing: str = "empty"
+def cluster_columns(
+    df: DataFrame, clusters: DataFrame, columns, pdb="pdb", chain="chain", missing: str = "empty"
 ) -> DataFrame:
-    """Add the cluster representative of each chain as column ``out``.
+    """Add several cluster columns at once from a table keyed by ``member``.
 
     Chains without a cluster get ``""``, so all of them count as one cluster;
     with ``missing="singleton"`` each is a cluster of its own.
     """
     if missing not in ("empty", "singleton"):
         raise ValueError(f"missing is 'empty' or 'singleton', not {missing!r}")
-    reps = clusters.select(F.col("member").alias("_member"), F.col("rep").alias(out))
-    joined = df.withColumn("_member", chain_key(pdb, chain)).join(reps, "_member", "left")
+    found = clusters.select(F.col("member").alias("_member"), *columns)
+    joined = df.withColumn("_member", chain_key(pdb, chain)).join(found, "_member", "left")
     default = F.lit("") if missing == "empty" else F.col("_member")
-    return joined.withColumn(out, F.coalesce(F.col(out), default)).drop("_member")
+    return joined.withColumns({c: F.coalesce(F.col(c), default) for c in columns}).drop("_member")
+
+
+def cluster_lookup(
+    df: DataFrame, clusters: DataFrame, out: str, pdb="pdb", chain="chain", missing: str = "empty"
+) -> DataFrame:
+    """Add the cluster representative of each chain as column ``out``, from ``rep, member`` rows."""
+    named = clusters.select("member", F.col("rep").alias(out))
+    return cluster_columns(df, named, [out], pdb, chain, missing)
 
 
 def remaining(work: DataFrame, done: DataFrame, id_col: str = "pdb") -> DataFrame:

@@ -82,7 +82,7 @@ def exact_shards(
     size: str = "size",
     source: str = "source",
     target: int = TARGET,
-    lanes: int = 1,
+    lanes: int | None = None,
     first_shard: int = 0,
     seed: int = 0,
     mode: str = "xxhash64",
@@ -91,10 +91,12 @@ def exact_shards(
 
     The rule depends on all earlier entries, so each (source, lane) is one
     ordered stream over (key, size) only.  A source is dealt to ``lanes`` by
-    hash, each with its own open shard; choose lanes so that a lane's keys
-    suit one task (a million entries take seconds).  Shard numbers count on
-    from ``first_shard`` over the lanes of a source.
+    hash, each with its own open shard.  Without a number there is one lane per
+    million entries of the largest source, which one task closes in seconds, so
+    a small source is a single stream.  Shard numbers count on from
+    ``first_shard`` over the lanes of a source.
     """
+    lanes = lanes or lanes_for(df, source)
     hashed = df.select(
         F.col(key).alias("_key"),
         F.col(source).alias("_source"),

@@ -26,7 +26,7 @@ class CurateConfig:
     max_resolution: float = 3.5
     min_chain_length: int = 4
     shard_bytes: int = layout.TARGET
-    lanes: int = 1
+    lanes: int | None = None  # by the number of records
     zstd_level: int = writers.ZSTD_LEVEL
     kmer: int = 3
     pair_similarity: float = 0.3
@@ -223,11 +223,6 @@ def run(spark: SparkSession, files: DataFrame, out: str, cfg: CurateConfig = Cur
         writers.write_fasta(chains, f"{out}/fasta")
 
     def clustered():
-        found = stage(cluster_chains(chains, clusters), "clusters")
-        index = rows
-        for name in clusters.columns:
-            reps = found.select("member", F.col(name).alias("rep"))
-            index = catalog.cluster_lookup(index, reps, name)
-        return index
+        return catalog.cluster_columns(rows, cluster_chains(chains, clusters), clusters.columns)
 
     return stage_once(spark, f"{out}/index", clustered)

@@ -28,7 +28,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(v + 0.0)
+        return repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(_cell, v)) + "]"
     return str(v)

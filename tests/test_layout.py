@@ -62,7 +62,7 @@ def test_parallel_layout_fills_shards(spark):
     for _, shard in placed.groupby("shard_no"):
         assert list(shard.offset) == [512 + 1536 * i for i in range(len(shard))]
         assert len(shard) * 1536 < 50_000 + 1536
-    assert L.lanes_for(df, entries_per_lane=300) == 4
+    assert L.lanes_for(df, entries_per_lane=300) == 4 and L.lanes_for(df.limit(0)) == 1
 
 
 def test_records_survive_a_round_trip(spark, tmp_path):
@@ -75,3 +75,38 @@ def test_records_survive_a_round_trip(spark, tmp_path):
     back = spark.read.schema(RECORD).parquet(f"{tmp_path}/r")
     assert str(back.first()) == str(df.first())
     assert back.select(F.isnan("ptm"), F.isnan(F.col("chains")["A"]["plddt"][0])).first() == (True, True)
+
+
+def test_missing_clusters(spark):
+    from curata.operators import catalog as K
+
+    chains = spark.createDataFrame([("1abc", "A"), ("1abc", "B")], "pdb string, chain string")
+    clusters = spark.createDataFrame([("r", "1abc_A")], "rep string, member string")
+    rows = lambda **kw: {r.chain: r.c for r in K.cluster_lookup(chains, clusters, "c", **kw).collect()}
+    assert rows() == {"A": "r", "B": ""} and rows(missing="singleton") == {"A": "r", "B": "1abc_B"}
+    with pytest.raises(ValueError):
+        rows(missing="null")
+
+
+def test_catalogues(spark):
+    from curata.operators import catalog as K
+    from curata.sources import catalogs as R
+
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "pdb string")
+    listed, refined = ids("1abc", "2def", "4jkl", "5mno"), ids("1abc", "2def", "3ghi")
+    got = {r.pdb: r.is_refined for r in K.reconcile(listed, refined).collect()}
+    assert got == {"1abc": True, "2def": True, "4jkl": False, "5mno": False}
+    many = ids(*[f"{i:04d}" for i in range(20)])
+    for cap in (1, 6, 7):
+        capped = K.reconcile(many, ids(*[f"{i:04d}" for i in range(0, 20, 2)]), max_entries=cap).collect()
+        assert len(capped) <= cap and sum(not r.is_refined for r in capped) == cap // 2
+    lines = spark.createDataFrame(
+        [("drwxr-xr-x 4096 2024/01/01 00:00:00 1abc",), ("-rw-r--r-- 1 2024/01/01 00:00:00 2def",), ("drwxr-xr-x 4096 2024/01/01 00:00:00 ab",)],
+        "value string",
+    )
+    assert [r.pdb for r in R.listing_names(lines).collect()] == ["1abc"]
+    assert [r.pdb for r in R.listing_names(lines, "[0-9a-z]{2}").collect()] == ["ab"]
+    docs = spark.createDataFrame([('{"result_set": [{"identifier": "1ABC"}, {"identifier": "1abc"}]}',)], "value string")
+    assert [r.pdb for r in R.search_ids(docs).collect()] == ["1abc"]
+    held = spark.createDataFrame([('{"1ABC": {"a": 1}, "2DEF": {}}',)], "value string")
+    assert sorted(r.pdb for r in R.holdings_ids(held).collect()) == ["1abc", "2def"]
