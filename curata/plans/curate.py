@@ -32,6 +32,7 @@ class CurateConfig:
     pair_similarity: float = 0.3
     skip_structure_at: float = 0.95
     structure_radius: float = 15.0
+    export_cif: bool = False  # one small file per chain, for outside tools
 
     def __post_init__(self):
         curate.check_min_chain(self.min_chain_length)
@@ -221,6 +222,8 @@ def run(spark: SparkSession, files: DataFrame, out: str, cfg: CurateConfig = Cur
         rows.write.mode("overwrite").json(f"{out}/checkpoint")
     if not table_exists(spark, f"{out}/fasta"):
         writers.write_fasta(chains, f"{out}/fasta")
+    if cfg.export_cif and not table_exists(spark, f"{out}/cif"):
+        writers.write_backbone_cif(writers.chain_cif(chains), f"{out}/cif")
 
     def clustered():
         return catalog.cluster_columns(rows, cluster_chains(chains, clusters), clusters.columns)

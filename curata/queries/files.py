@@ -159,7 +159,7 @@ def mmcif_file_round_trip(spark, folder):
     """Backbone exports written as gzipped files and read back."""
     path = staging_path(spark, "cif")
     writers.write_backbone_cif(writers.backbone_cif(_atoms(spark, folder)), path)
-    files = mmcif.read_text(spark, f"{path}/*/*.gz")
+    files = mmcif.read_text(spark, f"{path}/*/*/*.gz")
     files = files.withColumn("pdb", F.regexp_extract("path", "pdb=([^/]+)", 1))
     rows = mmcif.atom_rows(files)
     return rows.groupBy("pdb", "chain").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.functions.residues import RESIDUES
 from curata.functions.text import chain_key
 
 # Compression level of records, atoms and columns of the backbone export.
@@ -84,31 +85,59 @@ def backbone_cif(atoms: DataFrame, by=("pdb", "chain"), keep=()) -> DataFrame:
     rows = picked.groupBy(*by, *keep).agg(
         F.sort_array(F.collect_list(F.struct("seq_no", "slot", "resname", "atom", "x", "y", "z", "b"))).alias("_a")
     )
+    return rows.select(*by, *keep, _cif_text(F.col("_a")).alias("value"))
+
+
+def _cif_text(atoms: Column) -> Column:
+    """The atom loop of one chain from its atoms in order."""
+    chain = F.col("chain").cast("string")
     line = lambda a, i: F.format_string(
         "ATOM %d %s %s . %s %s 1 %d %.3f %.3f %.3f 1.00 %.2f %d %s 1",
         i + 1,
         F.substring(a["atom"], 1, 1),
         a["atom"],
         a["resname"],
-        F.col("chain"),
+        chain,
         a["seq_no"],
         a["x"],
         a["y"],
         a["z"],
         a["b"],
         a["seq_no"],
-        F.col("chain"),
+        chain,
     )
-    head = ["loop_"] + [f"_atom_site.{c}" for c in ATOM_COLUMNS.split()]
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("data_"), F.col("chain")), F.lit("\n".join(head)), F.array_join(F.transform("_a", line), "\n"), F.lit("")
+    head = "\n".join(["loop_"] + [f"_atom_site.{c}" for c in ATOM_COLUMNS.split()])
+    return F.concat_ws(
+        "\n", F.concat(F.lit("data_"), chain), F.lit(head), F.array_join(F.transform(atoms, line), "\n"), F.lit("")
     )
-    return rows.select(*by, *keep, text.alias("value"))
+
+
+def chain_cif(chains: DataFrame) -> DataFrame:
+    """``pdb, chain, value``: the backbone text of each chain record, built inside its row."""
+    names = F.create_map(*[F.lit(x) for name, one, _ in RESIDUES for x in (one, name)])
+    atom_names = F.array(*[F.lit(a) for a in BACKBONE])
+    slots = F.sequence(F.lit(0), F.lit(len(BACKBONE) - 1))
+
+    def residue(xyz, i):
+        letter = F.substring(F.col("sequence"), i + 1, F.lit(1))
+        atom = lambda s: F.struct(
+            (i + 1).alias("seq_no"),
+            F.get(atom_names, s).alias("atom"),
+            F.try_element_at(names, letter).alias("resname"),
+            *[xyz[s][k].cast("double").alias(c) for k, c in enumerate("xyz")],
+            F.get(F.get("bfactor", i), s).cast("double").alias("b"),
+            F.get(F.get("atom_mask", i), s).alias("present"),
+        )
+        return F.transform(slots, atom)
+
+    atoms = F.filter(F.flatten(F.transform("coords", residue)), lambda a: a["present"])
+    return chains.select("pdb", "chain", _cif_text(atoms).alias("value"))
 
 
 def write_backbone_cif(texts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Gzipped text, one folder per record, so that files can be found by id."""
-    texts.select("pdb", "value").write.mode(mode).option("compression", "gzip").partitionBy("pdb").text(path)
+    """Gzipped text, one file per chain under ``pdb=…/chain=…``, as structure tools expect."""
+    writer = texts.select("pdb", "chain", "value").write.mode(mode).option("compression", "gzip")
+    writer.partitionBy("pdb", "chain").text(path)
 
 
 def log_metrics(metrics: DataFrame, path: str, step: int, split: str) -> None:

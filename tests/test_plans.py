@@ -28,7 +28,7 @@ def job(spark, tmp_path_factory):
     texts.append(("bad", cif_text("9zzz", resolution=9.0), False))
     files = spark.createDataFrame(texts, "path string, content string, is_refined boolean")
     out = str(tmp_path_factory.mktemp("curated") / "out")
-    config = curate.CurateConfig(shard_bytes=40_000)
+    config = curate.CurateConfig(shard_bytes=40_000, export_cif=True)
     clusters = curate.ClusterConfig(seq_thresholds=(0.3, 0.5), structure_thresholds=(0.7,))
     return files, out, config, clusters, curate.run(spark, files, out, config, clusters)
 
@@ -66,6 +66,16 @@ def test_records(spark, job):
     assert shards.select("pdb").distinct().count() == shards.count() == 12
 
 
+def test_backbone_files(spark, job):
+    out = job[1]
+    files = mmcif.read_text(spark, f"{out}/cif/*/*/*.gz")
+    files = files.withColumn("pdb", F.regexp_extract("path", "pdb=([^/]+)", 1))
+    back = mmcif.atom_rows(files)
+    atoms = mmcif.atom_rows(spark.read.parquet(f"{out}/accepted")).filter(F.col("atom").isin("N", "CA", "C", "O", "CB"))
+    columns = ["pdb", "chain", "seq_id", "resname", "atom", "x", "y", "z", "b"]
+    assert back.count() == atoms.count() > 0 and back.select(columns).exceptAll(atoms.select(columns)).isEmpty()
+
+
 def test_finished_steps_are_not_run_again(spark, job):
     files, out, config, clusters, index = job
     broken = files.withColumn("content", F.raise_error(F.lit("must not be read")).cast("string"))
