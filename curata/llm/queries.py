@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import byte_bpe, decontaminate, html_text, minhash_dedup, sharding, suffix_dedup, toxicity
+from curata.llm import (
+    byte_bpe, decontaminate, html_text, language_id, minhash_dedup, sharding, suffix_dedup, toxicity, vector_search,
+)
 from curata.llm.tables import read
 
 
@@ -26,6 +28,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op6_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    return vector_search.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -39,6 +46,10 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read(spark, folder, "pages"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.digest(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -46,9 +57,11 @@ QUERIES = {
         op2_minhash_near_dedup,
         op3_sharding,
         op5_decontamination,
+        op6_vector_search,
         op7_toxicity,
         op8_byte_level_bpe,
         op9_html_extraction,
+        op10_language_id,
     )
 }
 
