@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import (
-    byte_bpe, decontaminate, html_text, language_id, minhash_dedup, sharding, suffix_dedup, toxicity, vector_search,
+    byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, sharding, suffix_dedup, toxicity, vector_search,
 )
 from curata.llm.tables import read
 
@@ -23,6 +23,11 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(sharding.assign(read(spark, folder, "documents")))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm_score.scores(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return decontaminate.digest(found)
@@ -56,6 +61,7 @@ QUERIES = {
         op1_suffix_array_dedup,
         op2_minhash_near_dedup,
         op3_sharding,
+        op4_lm_scoring,
         op5_decontamination,
         op6_vector_search,
         op7_toxicity,
