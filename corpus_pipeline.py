@@ -17,7 +17,7 @@ from curata.llm.tables import read, settle
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labels of this input."""
     model = toxicity.fit(docs, read(spark, folder, "labels"))
-    return toxicity.scored(docs, model).filter("predicted = 0").drop("score", "predicted")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.tables import settle, whole_text
+from curata.llm.tables import fresh, settle, whole_text
 
 WINDOW = 10
 MAX_SET = 200_000
@@ -147,9 +147,10 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     The test runs inside each row where the set of windows is small, so texts
     do not move; the ids of hit rows, not the texts, are what is joined.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    hit = contamination(docs, items, **options).filter("n_hit > 0").select("_row")
-    return numbered.join(hit, "_row", "left_anti").select(*docs.columns)
+    name = fresh(docs, "_row")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    hit = contamination(docs, items, **options).filter("n_hit > 0").select(F.col("_row").alias(name))
+    return numbered.join(hit, name, "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -47,7 +47,7 @@ WINDOW = 24
 OVERLAP = 4
 DIGIT = 37
 DIGITS = 3
-STEPS = 1200
+STEPS = 1000
 FLUSH = 1 << 22
 
 
@@ -91,16 +91,18 @@ class Tokens:
         self.spelled = sorted(ranks, key=ranks.get)
         self.size = len(ranks)
         self.begin, self.end = self.size, self.size + 1
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode = lambda text: encoding.encode_to_numpy(text, disallowed_special=())
 
     def sequences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Begin mark, ids and end mark of each text, end to end, and their ends."""
         parts, ends = [], [0]
         for text in texts:
             ids = self.encode(text)
-            parts.append(np.array([self.begin, *ids, self.end], np.int32))
+            parts += [(self.begin,), ids, (self.end,)]
             ends.append(ends[-1] + len(ids) + 2)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(ends, np.int64)
+        joined = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        return joined, np.array(ends, np.int64)
 
 
 def windows(ends: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP):
@@ -162,6 +164,7 @@ class Attention:
         q, k, v = x @ (w["query"] * np.float32(x.shape[2] ** -0.5)), x @ w["key"], x @ w["value"]
         a = q @ k.transpose(0, 2, 1)
         a += LATER
+        a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
         o = a @ v
@@ -195,6 +198,15 @@ class Attention:
         sums = np.repeat(np.eye(DIGITS, dtype=np.float32), DIGIT, axis=0)
         return joint, out, np.concatenate(offset, axis=1), sums
 
+    def log_probabilities(self, ids: np.ndarray, inside: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        """The same without the short cuts, for weights that overflow them."""
+        _, zs = self.logits(self.forward(ids)[-1][inside].astype(np.float64), digits)
+        rows, out = np.arange(len(digits)), np.zeros(len(digits))
+        for j, z in enumerate(zs):
+            top = z.max(1)
+            out += z[rows, digits[:, j]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        return out
+
     def states(self, ids: np.ndarray, joint: np.ndarray) -> np.ndarray:
         """``forward`` without what only training needs."""
         w = self.w
@@ -227,6 +239,8 @@ class Attention:
             log = z[rows, digits + np.arange(DIGITS) * DIGIT].sum(1)
             np.exp(z, out=z)
             log -= np.log(z @ sums).sum(1)
+            if not np.isfinite(log).all():
+                log = self.log_probabilities(ids[flat], inside, digits)
             total += np.bincount(np.broadcast_to(own, place.shape)[inside], log, len(total))
         return total / np.log(10)
 
@@ -274,7 +288,9 @@ class Attention:
             g["tokens"] = np.zeros_like(w["tokens"])
             np.add.at(g["tokens"], tokens.ravel(), dx.reshape(-1, dx.shape[2]))
             pace = rate * min(1.0, turn / 50) * (1 - 0.9 * turn / steps) * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
+            size = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
             for n in learn:
+                g[n] = g[n] * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
                 m1[n] += 0.1 * (g[n] - m1[n])
                 m2[n] += 0.001 * (g[n] ** 2 - m2[n])
                 w[n] -= (pace * m1[n] / (np.sqrt(m2[n]) + 1e-8)).astype(np.float32)

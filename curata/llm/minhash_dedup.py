@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from curata.llm.kernels import (
     NOT_BLANK, U64, Block, Rolling, blocks, longs, lowered, mix, per_text, record, word_bounds,
 )
-from curata.llm.tables import NULL_ID, identified, packed, settle, unpacked
+from curata.llm.tables import NULL_ID, fresh, identified, keys, packed, settle, unpacked
 from curata.operators.clustering import connected_components
 
 WORDS = 4
@@ -287,11 +287,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` to keep: one per component, equal rows counted once."""
     found = near_duplicates(docs)
     keep = found.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    keep = keep.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), "_tag").distinct()
-    tagged = docs.withColumns(
-        {
-            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
-            "_tag": F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit((1 << 28) - 1)),
-        }
-    )
-    return tagged.join(keep, ["_doc", "_tag"], "left_semi").select(*docs.columns)
+    keep = keep.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept_doc"), F.col("_tag").alias("_kept_tag")).distinct()
+    names, (doc, tag) = [fresh(docs, "_doc"), fresh(docs, "_tag")], keys()
+    tagged = docs.withColumns(dict(zip(names, (doc, tag))))
+    same = (tagged[names[0]] == keep["_kept_doc"]) & (tagged[names[1]] == keep["_kept_tag"])
+    return tagged.join(keep, same, "left_semi").drop(*names)

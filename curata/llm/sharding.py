@@ -61,8 +61,8 @@ def balanced(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int
 def rebalanced(old: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
     """An edited map: slots leave shards above the mean, smallest first, for the lightest shard.
 
-    A slot moves only if that narrows the gap between the two shards, so a
-    balanced map is returned as it is, and a new shard only receives.
+    A slot moves only from above the mean to below it, so a balanced map is
+    returned as it is, and after growth only the new shard receives.
     """
     out = dict(old)
     load = {s: 0 for s in range(shards)}
@@ -74,10 +74,11 @@ def rebalanced(old: dict[int, int], sizes: dict[int, int], shards: int) -> dict[
         held.sort(reverse=True)
     mean = sum(load.values()) / shards
     for shard in sorted(load, key=lambda s: -load[s]):
-        while own[shard] and load[shard] > mean:
+        # A shard gives only what it holds above the mean, so it never has to get some back.
+        while own[shard] and load[shard] - own[shard][-1][0] >= mean:
             size, slot = own[shard].pop()
             to = min(load, key=lambda s: (load[s], s))
-            if to == shard or load[to] + size > max(mean, load[shard] - size):
+            if to == shard or load[to] + size > mean:
                 break
             out[slot] = to
             load[shard] -= size

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.kernels import U64, Rolling, blocks, longs, record, sliding_min
-from curata.llm.tables import NULL_ID, identified, packed, settle, unpacked, whole_text
+from curata.llm.tables import NULL_ID, fresh, identified, keys, packed, settle, unpacked
 
 LENGTH = 100
 SEED = 32
@@ -396,23 +396,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
     A character that lost only some of its bytes goes.  A text without repeats
     stays as it is, null included.  All rows and columns stay.
     """
-    runs = repeated_windows(docs, length, **options).select(
-        "_doc", "_tag", F.col("runs").alias("_runs")
-    )
-    names = docs.columns
-    keyed = docs.withColumns(
-        {
-            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
-            "_tag": F.crc32(whole_text().cast("binary")).bitwiseAND(F.lit((1 << 28) - 1)),
-        }
-    )
-    joined = keyed.join(runs, ["_doc", "_tag"], "left").select(*names, "_runs")
+    runs = repeated_windows(docs, length, **options)
+    names, (doc, tag) = docs.columns, keys()
+    own = [fresh(docs, n) for n in ("_doc", "_tag", "_runs")]
+    runs = runs.toDF(*own)
+    joined = docs.withColumns({own[0]: doc, own[1]: tag}).join(runs, own[:2], "left").select(*names, own[2])
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column("text").to_pylist()
-            for i, found in enumerate(batch.column("_runs").to_pylist()):
+            for i, found in enumerate(batch.column(own[2]).to_pylist()):
                 if found:
                     kept = _removed(merged_spans(found, length), texts[i].encode())
                     texts[i] = kept.decode("utf-8", "ignore")

@@ -41,18 +41,30 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keys() -> tuple[Column, Column]:
+    """The id (null as the smallest) and 28 bits of the text's crc32."""
+    return (
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+        F.crc32(whole_text().cast("binary")).bitwiseAND(F.lit((1 << 28) - 1)),
+    )
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """``_doc, _tag, text``: the id (null as the smallest) and 28 bits of the text's crc32.
 
     The pair tells rows that repeat a doc_id with another text apart; equal
     rows share it and get equal results.
     """
-    text = whole_text()
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_doc"),
-        F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << 28) - 1)).alias("_tag"),
-        text.alias("text"),
-    )
+    doc, tag = keys()
+    return docs.select(doc.alias("_doc"), tag.alias("_tag"), whole_text().alias("text"))
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 1. **Lexicons.**  From at most ``FIT_ROWS`` labelled training rows (those with
-   the lowest hash of doc_id), Spark counts in how many toxic and clean texts
+   the lowest hash of doc_id; one of each group of near copies), Spark counts in how many toxic and clean texts
    each word and each word beginning of 4 to 6 bytes occurs.  Entries that
    clearly favour toxic texts (a likelihood ratio of ``EVIDENCE`` or more) form
-   the lexicon.
+   the lexicon.  An entry with a share of toxic texts under ``STRONG`` counts
+   from its second time in a text on.
 2. **Voters.**  The lexicon is dealt over ``GROUPS`` voters per kind of entry;
    each votes toxic where one of its entries occurs and abstains elsewhere.
    A fixed list of insults, shouting, and a voter for texts without any entry
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.kernels import U64, Block, Rolling, blocks, byte_table, longs, lowered, mix, record, word_bounds
+from curata.llm.minhash_dedup import sets, signatures
 from curata.llm.tables import held_out, settle, whole_text
 
 MODULUS, HELD = 5, 0
@@ -43,8 +45,10 @@ FIT_ROWS = 20_000
 LEXICON = 8192
 EVIDENCE = 20.0
 GROUPS = 4
+BANDS = 4
 KINDS = (0, 4, 5, 6)
 CLEAN_PRIOR = 0.9
+STRONG = 0.9
 
 #: Common English insults.
 INSULTS = """
@@ -119,14 +123,56 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     chosen = settle(chosen, "toxicity-labels")  # at most fit_rows rows, so it may be broadcast
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("text"))
-    return settle(rows.join(F.broadcast(chosen), "_id").select("text", "toxic"), "toxicity-fit")
+    return one_per_copy(settle(rows.join(F.broadcast(chosen), "_id"), "toxicity-fit"))
+
+
+def one_per_copy(rows: DataFrame) -> DataFrame:
+    """One training row of each group of near copies with one label, so that copies are not evidence.
+
+    Rows are grouped by bands of two MinHash values; the rows are a bounded
+    sample, and so are the sketches that the driver groups.
+    """
+    names = [f"band{i}" for i in range(BANDS)]
+    schema = pa.schema([("_id", pa.int64()), ("toxic", pa.int64()), *((n, pa.int64()) for n in names)])
+
+    def sketch(batches):
+        for block in blocks(batches):
+            found = sets(block)
+            count = np.array([len(f) for f in found], np.int64)
+            has = np.flatnonzero(count)
+            if len(has):
+                symbols = signatures(np.concatenate([found[i] for i in has]), count[has])[:, : 2 * BANDS].astype(U64)
+                bands = mix(symbols[:, ::2] * U64(0x9E3779B97F4A7C15) + symbols[:, 1::2] + np.arange(BANDS, dtype=U64))
+                ids, toxic = np.asarray(block.rows.column("_id"))[has], np.asarray(block.rows.column("toxic"))[has]
+                yield record(schema, ids, toxic.astype(np.int64), *(longs(np.ascontiguousarray(b)) for b in bands.T))
+
+    found = rows.mapInArrow(sketch, ", ".join(f"{f.name} long" for f in schema)).toPandas()
+    found = found.sort_values(["_id", *names]).reset_index(drop=True)
+    top = list(range(len(found)))
+
+    def lead(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for name in names:
+        first: dict = {}
+        for i, key in enumerate(zip(found["toxic"], found[name])):
+            other = lead(first.setdefault(key, i))
+            top[lead(i)] = min(other, lead(i))
+            top[max(other, lead(i))] = min(other, lead(i))
+    kept = sorted({int(found["_id"][lead(i)]) for i in range(len(found))})
+    kept = rows.sparkSession.createDataFrame([(k,) for k in kept], "_id long")
+    unlike = rows.join(F.broadcast(kept), "_id", "left_semi").select("text", "toxic")
+    return settle(unlike, "toxicity-unlike")
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON, evidence: float = EVIDENCE):
-    """The codes and kinds that speak for toxic texts, strongest ``size`` of them, and the share of toxic rows."""
+    """Codes, kinds and strength of the ``size`` entries that speak most for toxic texts, and the share of clean rows."""
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
-    none = np.zeros(0, U64), np.zeros(0, np.int8), CLEAN_PRIOR
+    none = np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, bool), CLEAN_PRIOR
     if not toxic or not clean:
         return none
     schema = pa.schema([("code", pa.int64()), ("kind", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -145,7 +191,7 @@ def lexicon(rows: DataFrame, size: int = LEXICON, evidence: float = EVIDENCE):
                 bad = np.add.reduceat(hit.astype(np.int64), head)
                 yield record(schema, longs(code[head]), kind[head].astype(np.int64), bad, np.diff(np.append(head, len(code))) - bad)
 
-    base = toxic / (toxic + clean)
+    base = (toxic + 1) / (toxic + clean + 20)
     counted = (
         rows.mapInArrow(count, "code long, kind long, toxic long, clean long")
         .groupBy("code", "kind")
@@ -161,15 +207,16 @@ def lexicon(rows: DataFrame, size: int = LEXICON, evidence: float = EVIDENCE):
         .filter((F.col("g") >= evidence) & (F.col("share") >= 0.5))
         .orderBy(F.desc("g"), "code")
         .limit(size)
-        .select("code", "kind")
+        .select("code", "kind", (F.col("share") >= STRONG).alias("strong"))
     )
     found = counted.collect()
     if not found:
-        return none[0], none[1], 1 - base
+        return (*none[:3], 1 - base)
     code = np.array([r["code"] for r in found], np.int64).view(U64)
     kind = np.array([r["kind"] for r in found], np.int8)
+    strong = np.array([r["strong"] for r in found], bool)
     order = np.argsort(code)
-    return code[order], kind[order], 1 - base
+    return code[order], kind[order], strong[order], 1 - base
 
 
 def votes(counts: tuple[np.ndarray, np.ndarray], texts: int, voter_of: np.ndarray, voters: int, insult, shout):
@@ -188,27 +235,24 @@ def votes(counts: tuple[np.ndarray, np.ndarray], texts: int, voter_of: np.ndarra
 def label_model(vote: np.ndarray, clean_prior: float, rounds: int = 30) -> np.ndarray:
     """The probability that each text is toxic, from votes alone and the share of toxic texts."""
     prior = np.clip(1 - clean_prior, 0.01, 0.99)
-    active = vote != 0
     # To begin with, a text is as toxic as the balance of its votes says.
     post = np.clip(0.5 + 0.45 * np.sign(vote.sum(axis=1)), 0.05, 0.95)
-    weight = np.ones(vote.shape[1])
-    signs = (1, 0, -1)
     for _ in range(rounds):
+        # Voters that speak together, given the label, share one voter's weight.
+        rest = vote - np.outer(post, post @ vote / max(post.sum(), 1e-9))
+        rest -= np.outer(1 - post, (1 - post) @ vote / max((1 - post).sum(), 1e-9))
+        spread = np.sqrt((rest**2).sum(0)) + 1e-9
+        correlation = np.clip(rest.T @ rest / np.outer(spread, spread), 0, 1)
+        np.fill_diagonal(correlation, 0)
+        weight = 1 / (1 + correlation.sum(1))
         score = np.log(prior / (1 - prior)) * np.ones(len(vote))
         for j in range(vote.shape[1]):
-            for sign in signs:
+            for sign in (1, 0, -1):
                 at = vote[:, j] == sign
                 if at.any():
                     given = lambda p: (p[at].sum() + 0.1) / (p.sum() + 0.3)  # noqa: E731, B023
                     score[at] += weight[j] * np.log(given(post) / given(1 - post))
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        # Voters that speak together, given the label, share one voter's weight.
-        left = active - np.outer(post, (active * post[:, None]).sum(0) / max(post.sum(), 1e-9))
-        left -= np.outer(1 - post, (active * (1 - post)[:, None]).sum(0) / max((1 - post).sum(), 1e-9))
-        spread = np.sqrt((left**2).sum(0)) + 1e-9
-        correlation = np.clip(left.T @ left / np.outer(spread, spread), 0, 1)
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + correlation.sum(1))
     return post
 
 
@@ -233,17 +277,24 @@ def logistic(text, place, amount, target: np.ndarray, features: int, rounds: int
 @dataclass
 class Model:
     codes: np.ndarray
+    strong: np.ndarray
     weights: np.ndarray  # of the codes, of a listed insult, and the constant
 
+    def __post_init__(self):
+        self.lookup, self.insults = Lookup(self.codes), Lookup(listed())
+
     def score(self, block: Block) -> np.ndarray:
         texts = len(block.ends) - 1
-        text, place, amount = hits(block, Lookup(self.codes), Lookup(listed()))
+        text, place, amount = hits(block, self.lookup, self.insults, self.strong)
         z = self.weights[-1] + np.bincount(text, self.weights[place] * amount, texts)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def hits(block: Block, lookup: Lookup, insults: Lookup):
-    """Triplets: text, input number, log of one plus its count.  The last input is the fixed list."""
+def hits(block: Block, lookup: Lookup, insults: Lookup, strong: np.ndarray):
+    """Triplets: text, input number, log of one plus its count.  The last input is the fixed list.
+
+    An entry that clean texts use now and then counts from its second time on.
+    """
     code, kind, text = entries(block)
     rows, place = lookup.find(code)
     mine, _ = insults.find(code)
@@ -251,13 +302,14 @@ def hits(block: Block, lookup: Lookup, insults: Lookup):
     width = len(lookup.codes) + 1
     key = np.concatenate([text[rows] * width + place, text[mine] * width + width - 1])
     key, times = np.unique(key, return_counts=True)
-    return key // width, key % width, np.log1p(times)
+    good = np.append(strong, True)[key % width] | (times > 1)
+    return key[good] // width, key[good] % width, np.log1p(times[good])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon, votes, label model and classifier; only counts and triplets of hits reach the driver."""
     rows = training_rows(docs, labels, fit_rows)
-    code, kind, clean_prior = lexicon(rows)
+    code, kind, strong, clean_prior = lexicon(rows)
     schema = pa.schema([("part", pa.int64()), ("text", pa.int64()), ("place", pa.int64()), ("amount", pa.float64()), ("shout", pa.float64())])
 
     def triplets(batches):
@@ -265,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         part = TaskContext.get().partitionId()
         for block in blocks(batches):
             texts = len(block.ends) - 1
-            text, place, amount = hits(block, lookup, insults)
+            text, place, amount = hits(block, lookup, insults, strong)
             shout = shouting(block)
             # One row with place -1 says that a text is there.
             there = np.arange(texts)
@@ -276,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     found = rows.mapInArrow(triplets, "part long, text long, place long, amount double, shout double").toPandas()
     if not len(found):
-        return Model(code, np.append(np.full(len(code) + 1, 4.0), -3.0))
+        return Model(code, strong, np.append(np.full(len(code) + 1, 4.0), -3.0))
     _, text = np.unique(found["part"].to_numpy() * fit_rows + found["text"].to_numpy(), return_inverse=True)
     place, amount = found["place"].to_numpy(), found["amount"].to_numpy()
     texts = int(text.max()) + 1
@@ -289,26 +341,33 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     voter_of = kind.astype(np.int64) * GROUPS + (code % U64(GROUPS)).astype(np.int64)
     vote = votes((text[lexical], place[lexical]), texts, voter_of, len(KINDS) * GROUPS, insult, shout)
     target = label_model(vote, clean_prior)
-    return Model(code, logistic(text, place, amount, target, len(code) + 1))
+    return Model(code, strong, logistic(text, place, amount, target, len(code) + 1))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; nothing is shuffled."""
-    names = docs.columns
+    """``doc_id, score, predicted`` per row; nothing is shuffled."""
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         for block in blocks(batches):
             score = model.score(block)
-            schema = pa.schema([*block.rows.schema, ("score", pa.float64()), ("predicted", pa.int32())])
-            yield record(schema, *block.rows.columns, score, (score >= 0.5).astype(np.int32))
+            schema = pa.schema([block.rows.schema.field("doc_id"), ("score", pa.float64()), ("predicted", pa.int32())])
+            yield record(schema, block.rows.column("doc_id"), score, (score >= 0.5).astype(np.int32))
+
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
-    if "score" in names or "predicted" in names:
-        raise ValueError("score and predicted are added; rename these columns first")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
+
+    def run(batches):
+        for block in blocks(batches):
+            yield block.rows.filter(pa.array(model.score(block) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    found = scored(rows, fit(docs, labels))
+    found = scored(docs, fit(docs, labels))
     return found.select("doc_id", held_out("doc_id", MODULUS, HELD).alias("held_out"), "score", "predicted")
