@@ -79,10 +79,10 @@ def _close_shards(target: int):
 def exact_shards(
     df: DataFrame,
     key: str,
+    lanes: int,
     size: str = "size",
     source: str = "source",
     target: int = TARGET,
-    lanes: int | None = None,
     first_shard: int = 0,
     seed: int = 0,
     mode: str = "xxhash64",
@@ -91,12 +91,10 @@ def exact_shards(
 
     The rule depends on all earlier entries, so each (source, lane) is one
     ordered stream over (key, size) only.  A source is dealt to ``lanes`` by
-    hash, each with its own open shard.  Without a number there is one lane per
-    million entries of the largest source, which one task closes in seconds, so
-    a small source is a single stream.  Shard numbers count on from
-    ``first_shard`` over the lanes of a source.
+    hash, each with its own open shard; the layout depends on that number and not
+    on the size of the data.  Shard numbers count on from ``first_shard`` over
+    the lanes of a source.
     """
-    lanes = lanes or lanes_for(df, source)
     hashed = df.select(
         F.col(key).alias("_key"),
         F.col(source).alias("_source"),
@@ -129,12 +127,6 @@ def exact_shards(
     return df.join(numbered, [key, source]).withColumn("shard_id", shard_name(source, "shard_no"))
 
 
-def lanes_for(df: DataFrame, source: str = "source", entries_per_lane: int = 1_000_000) -> int:
-    """Lanes so that the largest source has at most about ``entries_per_lane`` per lane."""
-    top = df.groupBy(source).count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-top // entries_per_lane))
-
-
 def index_rows(entries: DataFrame, chain_ids: str = "chain_ids") -> DataFrame:
     """One index row per chain; the chains of an entry share its byte range."""
     return entries.withColumn("chain", F.explode(chain_ids)).drop(chain_ids)

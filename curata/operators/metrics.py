@@ -263,7 +263,3 @@ def label_magnitudes(params: DataFrame, label: str = "label", value: str = "mag"
     """The mean of a parameter per label, under the label's metric name."""
     means = params.groupBy(label).agg(F.avg(value).alias("value"))
     return means.select(label, label_name(label).alias("name"), "value")
-
-
-def long_metrics(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

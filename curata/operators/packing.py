@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,76 +14,56 @@ from pyspark.sql import functions as F
 # Default token budget and buffer of samples waiting to be placed.
 BATCH_TOKENS = 16_384
 BUFFER = 32
-LANE_STEPS = 1_000_000
 
 
-class _Lane:
-    """The open batch and the waiting samples of one lane, sorted by length."""
+def placements(samples: Iterator[tuple], budget: int, buffer_size: int) -> Iterator[tuple]:
+    """``(sample, batch, slot)`` for samples ``(length, arrival, ...)`` in order of arrival.
 
-    def __init__(self, budget: int, buffer_size: int):
-        self.budget, self.buffer_size = budget, buffer_size
-        self.waiting: list[tuple[int, int]] = []  # (length, arrival)
-        self.rows: dict[int, tuple] = {}
-        self.batch = self.slot = self.tokens = 0
-
-    def add(self, arrival: int, length: int, row: tuple):
-        insort(self.waiting, (length, arrival))
-        self.rows[arrival] = row
-        return [self.place()] if len(self.waiting) >= self.buffer_size else []
-
-    def place(self):
-        """Move the longest sample that fits; of equal ones the latest arrival."""
-        if self.tokens and self.tokens + self.waiting[0][0] > self.budget:
-            self.batch, self.slot, self.tokens = self.batch + 1, 0, 0
-        room = self.budget - self.tokens
-        length, arrival = self.waiting.pop(bisect_right(self.waiting, (room, float("inf"))) - 1)
-        placed = (*self.rows.pop(arrival), length, self.batch, self.slot)
-        self.tokens += length
-        self.slot += 1
-        return placed
-
-    def drain(self):
-        return [self.place() for _ in range(len(self.waiting))]
-
-
-def _pack_lanes(budget: int, buffer_size: int):
+    Whenever the buffer is full, or nothing more arrives, the longest waiting
+    sample that still fits the open batch is placed, of equal ones the latest.
+    A batch closes when not even the shortest one fits.
+    """
+    waiting: list[tuple] = []
+    batch, slot, room = 0, 0, budget
+    while True:
+        waiting += islice(samples, buffer_size - len(waiting))
+        if not waiting:
+            return
+        fitting = [s for s in waiting if s[0] <= room]
+        if not fitting:
+            batch, slot, room, fitting = batch + 1, 0, budget, waiting
+        chosen = max(fitting, key=itemgetter(0, 1))
+        waiting.remove(chosen)
+        yield chosen, batch, slot
+        slot, room = slot + 1, room - chosen[0]
+
+
+def _pack(budget: int, buffer_size: int):
     names = ["worker_id", "_lane", "step", "sample_id", "len", "_batch", "sample_idx"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane_id, lane = None, None
-        for frame in batches:
-            out = []
-            for worker, lane_no, step, sample, length in zip(
-                frame["worker_id"], frame["_lane"], frame["step"], frame["sample_id"], frame["len"]
-            ):
-                if (worker, lane_no) != lane_id:
-                    if lane:
-                        out += lane.drain()
-                    lane_id, lane = (worker, lane_no), _Lane(budget, buffer_size)
-                out += lane.add(int(step), int(length), (worker, lane_no, step, sample))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if lane:
-            rest = lane.drain()
-            if rest:
-                yield pd.DataFrame(rest, columns=names)
+        rows = (row for frame in batches for row in frame[["len", "step", "worker_id", "_lane", "sample_id"]].itertuples(index=False, name=None))
+        placed = (
+            (worker, lane, step, sample, length, batch, slot)
+            for _, own in groupby(rows, key=itemgetter(2, 3))
+            for (length, step, worker, lane, sample), batch, slot in placements(own, budget, buffer_size)
+        )
+        while part := list(islice(placed, 10_000)):
+            yield pd.DataFrame(part, columns=names)
 
     return run
 
 
 def pack_batches(
-    plan: DataFrame,
-    batch_tokens: int = BATCH_TOKENS,
-    buffer_size: int = BUFFER,
-    lane_steps: int = LANE_STEPS,
+    plan: DataFrame, batch_tokens: int = BATCH_TOKENS, buffer_size: int = BUFFER, lane: str | None = None
 ) -> DataFrame:
     """Batch and slot for each sample: ``batch_id, sample_idx`` added to the plan.
 
     ``plan`` has ``worker_id, step, sample_id, len`` with ``step`` unique per
-    worker; samples pass through a length-sorted buffer in step order.  Only
-    these four columns flow through Python.  The result depends on the order,
-    so a worker is one stream, cut every ``lane_steps`` steps (where the buffer
-    drains) so that no task holds a whole worker of a very large epoch.
+    worker; samples pass through a buffer in step order.  Only these columns
+    flow through Python.  The result depends on the order, so a worker is one
+    stream; ``lane`` names an integer column that cuts it into streams with
+    batches of their own, at any number of steps.
 
     A sample longer than the budget fits no batch and is an error; crop first.
     """
@@ -91,7 +72,7 @@ def pack_batches(
     )
     lanes = plan.select(
         "worker_id",
-        F.floor(F.col("step") / F.lit(lane_steps)).alias("_lane"),
+        (F.col(lane) if lane else F.lit(0)).cast("bigint").alias("_lane"),
         F.col("step").cast("bigint").alias("step"),
         "sample_id",
         fits.cast("bigint").alias("len"),
@@ -104,7 +85,7 @@ def pack_batches(
     packed = (
         lanes.repartition("worker_id", "_lane")
         .sortWithinPartitions("worker_id", "_lane", "step")
-        .mapInPandas(_pack_lanes(batch_tokens, buffer_size), schema)
+        .mapInPandas(_pack(batch_tokens, buffer_size), schema)
     )
     batch_id = F.concat_ws("/", "worker_id", "_lane", "_batch")
     return packed.withColumn("batch_id", batch_id).drop("_lane", "_batch")
@@ -146,13 +127,11 @@ def collate(packed: DataFrame, samples: DataFrame, arrays, batch: str = "batch_i
         F.sort_array(F.collect_list(F.struct("sample_idx", "sample_id", *arrays))).alias("_s")
     )
     lens = F.transform("_s", lambda s: F.size(s[arrays[0]]))
-    starts = F.aggregate(
-        lens,
-        F.array(F.lit(0)),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
+    ends = joined.select(batch, "sample_idx", F.size(arrays[0]).alias("len"))
+    offsets = prefix_lengths(ends, batch).groupBy(batch).agg(F.sort_array(F.collect_list("cu_end")).alias("_ends"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_ends", lambda e: e.cast("int")))
     index = F.flatten(F.transform("_s", lambda s, i: F.array_repeat(i, F.size(s[arrays[0]]))))
-    return rows.select(
+    return rows.join(offsets, batch).select(
         batch,
         *[F.flatten(F.col("_s")[a]).alias(a) for a in arrays],
         index.alias("sample_idx"),

@@ -26,7 +26,7 @@ class CurateConfig:
     max_resolution: float = 3.5
     min_chain_length: int = 4
     shard_bytes: int = layout.TARGET
-    lanes: int | None = None  # by the number of records
+    lanes: int = 8  # open shards at a time; part of the layout
     zstd_level: int = writers.ZSTD_LEVEL
     kmer: int = 3
     pair_similarity: float = 0.3

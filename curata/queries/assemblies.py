@@ -19,10 +19,10 @@ TURN = [0.0, -1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0, 3.0, 0.0, 0.0, 0
 
 
 def _chains(spark, folder):
-    """Turns with text as chains; the fourth turn of a conversation has no data."""
+    """Turns with text as chains."""
     return (
         wide_table(spark, folder, "conversations")
-        .filter("turn <> 4 and length(text) > 0")
+        .filter("length(text) > 0")
         .select(
             F.col("conv_id").cast("string").alias("pdb"),
             F.col("turn").cast("string").alias("chain"),
@@ -34,14 +34,14 @@ def _chains(spark, folder):
 
 
 def _members(spark, folder):
-    """Assembly 1 has one generator per role, assembly 2 has the first three turns."""
+    """Assembly 1 has one generator per role, assembly 2 has the user's turns."""
     turns = table(spark, folder, "conversations").select(
         F.col("conv_id").cast("string").alias("pdb"), F.col("turn").cast("string").alias("chain"), "role", "turn"
     )
-    first = turns.filter("turn < 6").select(
+    first = turns.select(
         "pdb", F.lit("1").alias("asmb_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("gen_id"), "chain"
     )
-    second = turns.filter("turn < 3").select("pdb", F.lit("2").alias("asmb_id"), F.lit(0).alias("gen_id"), "chain")
+    second = turns.filter("role = 'user'").select("pdb", F.lit("2").alias("asmb_id"), F.lit(0).alias("gen_id"), "chain")
     return first.unionByName(second)
 
 
@@ -169,6 +169,16 @@ def pack_documents(spark, folder):
     return K.batch_summary(packed)
 
 
+def pack_lanes(spark, folder):
+    """Documents packed in three lanes per worker, each with a buffer and batches of its own."""
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.length("text").cast("bigint").alias("len")
+    )
+    plan = P.assign_workers(docs, ["sample_id"], SEED, 4, mode="md5").withColumn("lane", F.col("step") % 3)
+    packed = K.pack_batches(plan, batch_tokens=65_536, buffer_size=16, lane="lane")
+    return packed.select("sample_id", "len", "batch_id", "sample_idx")
+
+
 def collate(spark, folder):
     """Residue samples joined end to end per batch, with offsets."""
     arrays = _samples(spark, folder).groupBy("sample_id").agg(
@@ -198,16 +208,17 @@ QUERIES = {
     "construct_samples": construct_samples,
     "pack_batches": pack_batches,
     "pack_documents": pack_documents,
+    "pack_lanes": pack_lanes,
     "collate_batches": collate,
 }
 
 BASE = f"""
 WITH chains AS (SELECT CAST(conv_id AS VARCHAR) AS pdb, CAST(turn AS VARCHAR) AS chain, turn AS chain_idx, length(text) AS len, text
-  FROM conversations WHERE turn <> 4 AND length(text) > 0),
+  FROM conversations WHERE length(text) > 0),
 members AS (
   SELECT CAST(conv_id AS VARCHAR) AS pdb, '1' AS asmb_id, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS gen_id, CAST(turn AS VARCHAR) AS chain
-  FROM conversations WHERE turn < 6
-  UNION ALL SELECT CAST(conv_id AS VARCHAR), '2', 0, CAST(turn AS VARCHAR) FROM conversations WHERE turn < 3),
+  FROM conversations
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), '2', 0, CAST(turn AS VARCHAR) FROM conversations WHERE role = 'user'),
 copies AS (SELECT pdb, asmb_id, gen_id, chain, CASE WHEN asmb_id = '1' AND gen_id = 0 THEN 2 ELSE 1 END AS n FROM members),
 targets AS (SELECT pdb || '_' || chain AS sample_id, pdb, chain AS target FROM chains
   QUALIFY row_number() OVER (PARTITION BY pdb ORDER BY {md5_of(SEED, 'pdb', 'chain')}, pdb, chain) = 1),
@@ -280,6 +291,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM ({source}))""
 _base_recursive = BASE.replace("WITH", "WITH RECURSIVE", 1)
 _sample_pack = packing_of(_dealt("SELECT sample_id, sample_len AS len FROM sized", 2), 2048, 8)
 _document_pack = packing_of(_dealt("SELECT doc_id AS sample_id, length(text) AS len FROM documents", 4), 65_536 * 4, 32)
+_lanes = _dealt("SELECT doc_id AS sample_id, length(text) AS len FROM documents", 4)
+_lane_pack = packing_of(
+    f"SELECT CAST(worker_id * 3 + step % 3 AS INTEGER) AS worker_id, step // 3 AS step, sample_id, len FROM ({_lanes})", 65_536, 16
+)
 _sample_pack_all = f"{BASE.strip().removeprefix('WITH')}, {_sample_pack}"
 
 SQL = {
@@ -287,6 +302,8 @@ SQL = {
     "pack_documents": f"""WITH RECURSIVE {_document_pack}
 SELECT batch_id, max(len) AS max_seqlen, count(*) AS samples, CAST(sum(len) AS BIGINT) AS tokens, CAST(sum(len) AS BIGINT) AS loss_tokens
 FROM packed GROUP BY batch_id""",
+    "pack_lanes": f"""WITH RECURSIVE {_lane_pack}
+SELECT sample_id, len, concat_ws('/', worker_id // 3, worker_id % 3, split_part(batch_id, '/', 3)) AS batch_id, sample_idx FROM packed""",
     "collate_batches": f"""WITH RECURSIVE {_sample_pack_all},
 built AS MATERIALIZED ({_construct}),
 kept AS (SELECT batch_id, sample_idx, residues, loss_tokens,

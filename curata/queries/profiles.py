@@ -50,7 +50,7 @@ def _timeline(spark, folder):
     spans = _events(spark, folder).select(
         "event_type", (F.col("second") - EPOCH).alias("t0"), (F.col("second") - EPOCH + F.col("value")).alias("t1")
     )
-    return O.concurrency_timeline(spans, "event_type", "t0", "t1", last_second=2_500_000)
+    return O.concurrency_timeline(spans, "event_type", "t0", "t1")
 
 
 def concurrency_timeline(spark, folder):
@@ -144,7 +144,7 @@ FROM (SELECT {group} AS grp, count(*) AS n, min(value) AS lo, avg(value) AS mean
       FROM {source} GROUP BY 1)"""
 
 
-_spans = f"SELECT event_type, {_sec} - {EPOCH} AS t0, least(CAST(floor({_sec} - {EPOCH} + value) AS BIGINT), 2500000) AS t1 FROM events"
+_spans = f"SELECT event_type, {_sec} - {EPOCH} AS t0, CAST(floor({_sec} - {EPOCH} + value) AS BIGINT) AS t1 FROM events"
 _active = f"""SELECT event_type, unnest(range(t0, t1 + 1)) AS second FROM ({_spans}) WHERE t1 >= t0"""
 _stages = f"""
 SELECT 'fetch' AS stage, wall AS t0, wall + f AS t1 FROM log UNION ALL

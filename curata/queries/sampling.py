@@ -77,7 +77,7 @@ def epoch_plan(spark, folder):
 
 def read_once(spark, folder):
     """Chains of an order share its blob, which is attached after reading it once."""
-    entries = _index(spark, folder).filter("l_suppkey < 20").select("pdb", "chain", "offset")
+    entries = _index(spark, folder).select("pdb", "chain", "offset")
     blobs = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("pdb"),
         (F.lit(512) + F.floor(F.col("o_orderkey") / 64) * 4096).alias("offset"),
@@ -145,6 +145,6 @@ SQL = {
     "read_once": """
 SELECT l_orderkey AS pdb, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS chain,
        512 + (l_orderkey // 64) * 4096 AS "offset", o_totalprice AS blob
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey < 20
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """,
 }

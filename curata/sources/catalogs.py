@@ -48,12 +48,3 @@ def listing_names(lines: DataFrame, pattern: str = ENTRY_ID, column: str = "valu
         .filter(full_match("pdb", pattern))
         .distinct()
     )
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files as text, one row per file."""
-    return spark.read.text(path, wholetext=True)

@@ -24,11 +24,3 @@ def read_index(
     df = spark.read.parquet(path)
     check_columns(df, [*INDEX.names, *cluster_cols])
     return df.select(*INDEX.names, *cluster_cols)
-
-
-def index_schema(cluster_cols=()) -> T.StructType:
-    """The core schema widened by one string column per clustering."""
-    schema = T.StructType(list(INDEX.fields))
-    for c in cluster_cols:
-        schema = schema.add(c, T.StringType())
-    return schema

@@ -55,8 +55,18 @@ def _tokens(line: Column) -> Column:
     )
 
 
+def _joined(content: Column) -> Column:
+    """Values between lines that begin with ``;`` as one quoted value on the line before."""
+    pieces = F.split(content, "\n;")
+    quoted = lambda x: F.when(
+        x.contains("'"), F.concat(F.lit(' "'), F.translate(x, "\n\"", ""), F.lit('"'))
+    ).otherwise(F.concat(F.lit(" '"), F.translate(x, "\n", ""), F.lit("'")))
+    one = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, quoted(x)).otherwise(x)), "")
+    return F.when(content.contains("\n;"), one).otherwise(content)
+
+
 def _blocks(content: str = "content") -> Column:
-    return F.split(F.regexp_replace(content, "\r", ""), _CUT)
+    return F.split(_joined(F.regexp_replace(content, "\r", "")), _CUT)
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:

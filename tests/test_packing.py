@@ -63,9 +63,10 @@ def test_every_sample_once_and_batches_within_budget(spark):
     assert (spans[spans.sample_idx == 0].cu_start == 0).all() and (spans.cu_end - spans.cu_start == spans.len).all()
 
 
-def test_a_long_worker_is_cut_into_lanes(spark):
+def test_lanes_are_streams_of_their_own(spark):
     samples = [(f"s{i}", 1 + i % 7) for i in range(100)]
-    packed = K.pack_batches(plan(spark, samples), 10, 4, lane_steps=40)
+    lanes = plan(spark, samples).selectExpr("*", "step div 40 as lane")
+    packed = K.pack_batches(lanes, 10, 4, lane="lane")
     want = rule(samples[:40], 10, 4) + rule(samples[40:80], 10, 4) + rule(samples[80:], 10, 4)
     assert batches_of(packed) == want
 

@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import position
 from curata.operators import curate as C
 from curata.plans import curate as P
 from curata.sources import mmcif
@@ -56,10 +57,10 @@ def test_arrays(spark, cif):
     assert row.sequence == "ACDEFG"
     assert len(row.coords) == 6 and len(row.coords[0]) == 14 and len(row.coords[0][0]) == 3
     assert len(row.atom_mask) == 6 and len(row.atom_mask[0]) == 14
-    assert row.coords[0][1] == [2.0, 1.0, 0.5] and row.coords[0][5] == [0.0, 0.0, 0.0]
+    assert row.coords[0][1] == position(1, 1) and row.coords[0][5] == [0.0, 0.0, 0.0]
     assert row.atom_mask[0] == [True] * 5 + [False] * 9
-    assert row.coords[1][0] == [6.0, 3.0, 1.5]  # the sixth atom opens the second residue
-    assert row.bfactor[5][:5] == [30.0] * 4 + [0.0] and row.occupancy[5][4] == 0.0
+    assert row.coords[1][0] == position(2, 0)
+    assert row.bfactor[5][:5] == [25.5] * 4 + [0.0] and row.occupancy[5][4] == 0.0
 
 
 def test_several_chains_and_files(spark, cif):
@@ -148,6 +149,13 @@ def test_operator_expressions(spark, text, want):
     assert spark.range(1).select(C.oper_combinations(F.lit(text)).alias("x")).first().x == want
 
 
+def test_values_over_several_lines(spark, cif):
+    text = cif(chains=[*TWO, ("C", "ACDEF")], assemblies=[[(["A", "B", "C"], [EYE, SHIFT_X])]])
+    assert "\nA,B,C 1 1,2" in text
+    got = nested(spark, text.replace("\nA,B,C 1 1,2", "\n;A,\nB,C\n; 1\n;1,2\n;"))
+    assert [[(g.chains, len(g.asmb_xforms)) for g in a] for a in got] == [[(["A", "B", "C"], 2)]]
+
+
 def test_plain_and_gzipped_files(spark, cif, tmp_path):
     (tmp_path / "a.cif").write_text(cif(pdb="1aaa"))
     with gzip.open(tmp_path / "b.cif.gz", "wt") as f:
