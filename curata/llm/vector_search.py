@@ -36,7 +36,7 @@ from curata.llm.tables import settle
 
 NEAREST = 20
 LISTS = 64
-PROBES = 40
+PROBES = 48
 FIT_ROWS = 20_000
 COLUMNS = 16
 SURE = 2.1
