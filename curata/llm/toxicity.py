@@ -22,7 +22,8 @@ never inputs of a score.
 Nulls: a null text is empty and gets the score of a text without entries; rows
 without a label, with a null label or a null doc_id are not learned from.
 Repeated rows are scored one by one; labels that contradict each other count as
-toxic.  Without labelled rows of both kinds only the fixed list is used.  An
+toxic.  With fewer than ``LEAST`` unlike labelled rows of a kind, nothing is
+learned and only the fixed list speaks.  An
 empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -47,8 +48,8 @@ EVIDENCE = 20.0
 GROUPS = 4
 BANDS = 4
 KINDS = (0, 4, 5, 6)
-CLEAN_PRIOR = 0.9
 STRONG = 0.9
+LEAST = 20
 
 #: Common English insults.
 INSULTS = """
@@ -169,12 +170,14 @@ def one_per_copy(rows: DataFrame) -> DataFrame:
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON, evidence: float = EVIDENCE):
-    """Codes, kinds and strength of the ``size`` entries that speak most for toxic texts, and the share of clean rows."""
+    """Codes, kinds and strength of the ``size`` entries that speak most for toxic texts, and the share of clean rows.
+
+    None with fewer than ``LEAST`` rows of a kind.
+    """
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
-    none = np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, bool), CLEAN_PRIOR
-    if not toxic or not clean:
-        return none
+    if min(toxic, clean) < LEAST:
+        return None
     schema = pa.schema([("code", pa.int64()), ("kind", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(batches):
@@ -211,7 +214,7 @@ def lexicon(rows: DataFrame, size: int = LEXICON, evidence: float = EVIDENCE):
     )
     found = counted.collect()
     if not found:
-        return (*none[:3], 1 - base)
+        return np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, bool), 1 - base
     code = np.array([r["code"] for r in found], np.int64).view(U64)
     kind = np.array([r["kind"] for r in found], np.int8)
     strong = np.array([r["strong"] for r in found], bool)
@@ -309,7 +312,10 @@ def hits(block: Block, lookup: Lookup, insults: Lookup, strong: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon, votes, label model and classifier; only counts and triplets of hits reach the driver."""
     rows = training_rows(docs, labels, fit_rows)
-    code, kind, strong, clean_prior = lexicon(rows)
+    found = lexicon(rows)
+    if found is None:
+        return Model(np.zeros(0, U64), np.zeros(0, bool), np.array([6.0, -3.0]))
+    code, kind, strong, clean_prior = found
     schema = pa.schema([("part", pa.int64()), ("text", pa.int64()), ("place", pa.int64()), ("amount", pa.float64()), ("shout", pa.float64())])
 
     def triplets(batches):
@@ -327,8 +333,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             number += texts
 
     found = rows.mapInArrow(triplets, "part long, text long, place long, amount double, shout double").toPandas()
-    if not len(found):
-        return Model(code, strong, np.append(np.full(len(code) + 1, 4.0), -3.0))
     _, text = np.unique(found["part"].to_numpy() * fit_rows + found["text"].to_numpy(), return_inverse=True)
     place, amount = found["place"].to_numpy(), found["amount"].to_numpy()
     texts = int(text.max()) + 1
