@@ -1,4 +1,4 @@
-"""Log probabilities of texts: word counts of the whole corpus, and a small causal attention model.
+"""Log probabilities of texts: a small causal attention model over subword ids, mixed with word counts.
 
 **Base.**  Spark counts the words of all training texts (one 64-bit code per
 word).  Words that make up at least one part in ``PARTS`` of all tokens are at
@@ -13,6 +13,15 @@ frequency; sorted by spelling inside a tier), each given the digits before it,
 with the frequencies of the training texts as a starting point.  So the
 probabilities of all ids sum to one at a small cost.
 
+The ids are those of the text's lower-cased words, each after one space.
+
+**Mixture.**  The probability of a word, given the words before it, is the sum
+of three parts: its share among all training tokens (weight ``COUNTED``), its
+share among the words of this text so far (weight ``REPEATED``, reached as the
+text grows past ``SETTLING`` words), and what the attention model gives for its
+ids (the rest).  The parts are fixed weights, so a word that is in no count
+still has the probability of its ids.
+
 **Windows.**  A text, with a begin and an end mark, is cut into windows of
 ``WINDOW`` tokens that overlap by ``OVERLAP``.  A window scores only tokens
 right of its overlap (the first one all), so each token is scored once; a mask
@@ -49,13 +58,19 @@ DIGIT = 37
 DIGITS = 3
 STEPS = 1000
 FLUSH = 1 << 22
+COUNTED, REPEATED, SETTLING = 0.6, 0.2, 100
+
+
+def spaced(raw: bytes) -> str:
+    """The lower-cased words, each after one space."""
+    return b"".join(b" " + word for word in raw.lower().split()).decode()
 
 
-def word_codes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """A code for each word and its text number."""
+def word_codes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A code for each word, its text number, and its length in bytes."""
     low = lowered(block.data)
     start, end, text = word_bounds(low, block.ends)
-    return mix(Rolling(low, 4).of(start, end) + (end - start).astype(U64)), text
+    return mix(Rolling(low, 4).of(start, end) + (end - start).astype(U64)), text, end - start
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -65,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         parts, held = [], 0
         for block in blocks(batches):
-            code, _ = word_codes(block)
+            code = word_codes(block)[0]
             parts.append(code)
             held += len(code)
             if held >= FLUSH:
@@ -91,6 +106,8 @@ class Tokens:
         self.spelled = sorted(ranks, key=ranks.get)
         self.size = len(ranks)
         self.begin, self.end = self.size, self.size + 1
+        # The end mark fills one byte behind the last word, the begin mark none.
+        self.lengths = np.array([*map(len, self.spelled), 0, 1])
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = lambda text: encoding.encode_to_numpy(text, disallowed_special=())
 
@@ -105,6 +122,17 @@ class Tokens:
         return joined, np.array(ends, np.int64)
 
 
+def earlier(code: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each word stands earlier in its text."""
+    order = np.lexsort((code, text))  # stable: equal words stay in text order
+    new = np.ones(len(code), bool)
+    new[1:] = (np.diff(code[order]) != 0) | (np.diff(text[order]) != 0)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0))
+    out = np.empty(len(code), np.int64)
+    out[order] = np.arange(len(code)) - head
+    return out
+
+
 def windows(ends: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP):
     """First place of each window and its text number.
 
@@ -220,11 +248,16 @@ class Attention:
         o = a @ np.concatenate([qkv[:, :, 2 * width :], ones], axis=2)
         return x + (o[:, :, :width] / o[:, :, width:]) @ w["out"]
 
-    def texts(self, ids: np.ndarray, ends: np.ndarray, batch: int = 128) -> np.ndarray:
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The log10 probability of each text, its end included."""
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        return np.bincount(text, self.each(ids, ends), len(ends) - 1) / np.log(10)
+
+    def each(self, ids: np.ndarray, ends: np.ndarray, batch: int = 128) -> np.ndarray:
+        """The natural log probability of each id, 0 for begin marks."""
         joint, out, offset, sums = self.prepared()
         first, text = windows(ends)
-        inputs, total = np.diff(ends) - 1, np.zeros(len(ends) - 1)
+        inputs, found = np.diff(ends) - 1, np.zeros(len(ids))
         step = np.arange(WINDOW)
         for at in range(0, len(first), batch):
             start, own = first[at : at + batch, None], text[at : at + batch, None]
@@ -232,7 +265,8 @@ class Attention:
             inside = (place < inputs[own]) & ((step >= OVERLAP) | (start == 0))
             flat = np.minimum(place, inputs[own] - 1) + ends[own]
             h = self.states(ids[flat], joint)[inside]
-            digits = self.digits[ids[flat[inside] + 1]]
+            target = flat[inside] + 1
+            digits = self.digits[ids[target]]
             z = h @ out
             z += offset[digits[:, :-1] @ DIGIT ** np.arange(DIGITS - 2, -1, -1)]
             rows = np.arange(len(z))[:, None]
@@ -241,8 +275,8 @@ class Attention:
             log -= np.log(z @ sums).sum(1)
             if not np.isfinite(log).all():
                 log = self.log_probabilities(ids[flat], inside, digits)
-            total += np.bincount(np.broadcast_to(own, place.shape)[inside], log, len(total))
-        return total / np.log(10)
+            found[target] = log
+        return found
 
     def train(self, ids: np.ndarray, ends: np.ndarray, steps: int = STEPS, batch: int = 96, rate: float = 0.02):
         """Adam on random windows; the gradient is written out by hand."""
@@ -304,7 +338,7 @@ def fit(docs: DataFrame, path: str, pattern: str, fit_rows: int = FIT_ROWS) -> A
         able.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(fit_rows), "lm-fit"
     )  # at most fit_rows ids, so they may be broadcast
     rows = able.join(F.broadcast(chosen), able["doc_id"] == chosen["_id"]).select("doc_id", whole_text().alias("text"))
-    texts = [r["text"] for r in rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()]
+    texts = [spaced(r["text"].encode()) for r in rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()]
     tokens = Tokens(path, pattern)
     ids, ends = tokens.sequences(texts)
     model = Attention.start(np.bincount(ids, minlength=tokens.size + 2).astype(float), tokens.spelled)
@@ -321,51 +355,73 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     # At most PARTS words can each make up one part in PARTS of all tokens.
     common = counts.filter(F.col("c") * PARTS >= F.lit(total)).orderBy("code").toArrow()
     code = np.asarray(common.column("code").combine_chunks(), np.int64)
-    log_count = np.log10(np.asarray(common.column("c").combine_chunks(), np.float64) + 1)
+    count = np.asarray(common.column("c").combine_chunks(), np.float64)
     model = fit(docs, path, pattern)
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((code, log_count, model))
-    end_log, share_log = np.log10(texts + 1), np.log10(total + distinct + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((code, count, model))
+    share_log = np.log10(total + distinct + 1)
+    # Nothing was counted without training rows; the attention model has that weight then.
+    counted = COUNTED if total else 0.0
 
     def run(batches):
-        code, log_count, model = shared.value
+        code, count, model = shared.value
         tokens, part, number = Tokens(path, pattern), TaskContext.get().partitionId(), 0
         for block in blocks(batches, limit=1 << 19):
             rows = len(block.ends) - 1
-            found, text = word_codes(block)
-            signed = found.view(np.int64)
+            word, text, length = word_codes(block)
+            signed = word.view(np.int64)
             place = np.minimum(np.searchsorted(code, signed), max(len(code) - 1, 0))
             hit = code[place] == signed if len(code) else np.zeros(len(signed), bool)
-            base = np.bincount(text[hit], log_count[place[hit]], rows) if len(code) else np.zeros(rows)
-            n_tokens = per_text(text, rows) + 1
-            known = np.bincount(text[hit], minlength=rows) + (texts > 0)
-            ids, ends = tokens.sequences([t.decode() for t in (block.raw(i) for i in range(rows))])
-            score = model.texts(ids, ends)
-            order = np.lexsort((signed[~hit], text[~hit]))
-            rare, owner = signed[~hit][order], text[~hit][order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-            heads = np.flatnonzero(new)
-            times = np.diff(np.append(heads, len(rare)))
+            c = np.where(hit, count[place], 0.0) if len(code) else np.zeros(len(signed))
+            per = per_text(text, rows)
+            # The end of a text is a token behind its words.
+            last = np.cumsum(per)
+            n_tokens, known = per + 1, np.bincount(text[hit], minlength=rows) + (texts > 0)
+            base = np.bincount(text, np.log10(c + 1), rows) + np.log10(texts + 1) - n_tokens * share_log
+            owner = np.insert(text, last, np.arange(rows))
+            c, size = np.insert(c, last, texts), np.insert(length + 1, last, 1)
+            before = np.arange(len(owner)) - np.repeat(last - per + np.arange(rows), n_tokens)
+            again = np.insert(earlier(signed, text), last, 0)
+            ids, ends = tokens.sequences([spaced(block.raw(i)) for i in range(rows)])
+            # An id belongs to the word that holds its first byte.
+            first = np.cumsum(size) - size
+            width = tokens.lengths[ids]
+            at = np.searchsorted(first, np.cumsum(width) - width, "right") - 1
+            model_log = np.bincount(at, model.each(ids, ends), len(owner))
+            repeated = REPEATED * before / (before + SETTLING)
+            scale = (1 - repeated) / (1 - REPEATED)
+            with np.errstate(divide="ignore"):
+                without = np.logaddexp(
+                    np.log(repeated * again / np.maximum(before, 1)),
+                    np.log(scale * (1 - REPEATED - counted)) + model_log,
+                )
+                share = np.log(scale * counted / max(total, 1))
+                score = np.bincount(owner, np.logaddexp(without, share + np.log(c)), rows) / np.log(10)
             uid = (part << 33) + number + np.arange(rows)
             number += rows
-            schema = pa.schema([("uid", pa.int64()), block.rows.schema.field("doc_id"), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("code", pa.int64()), ("k", pa.int64())])
+            schema = pa.schema([("uid", pa.int64()), block.rows.schema.field("doc_id"), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("code", pa.int64()), ("odds", pa.float64())])
             yield record(
-                schema, uid, block.rows.column("doc_id"), n_tokens, known,
-                base + end_log - n_tokens * share_log, score.astype(np.float64), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
+                schema, uid, block.rows.column("doc_id"), n_tokens, known, base, score,
+                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()),
             )
-            none = [pa.nulls(len(heads), schema.field(i).type) for i in range(1, 6)]
-            yield record(schema, uid[owner[heads]], *none, rare[heads], times)
+            # Other words: the log odds of one count against the other two parts.
+            rare = np.flatnonzero(~hit)
+            place = rare + text[rare]
+            none = [pa.nulls(len(rare), schema.field(i).type) for i in range(1, 6)]
+            yield record(schema, uid[text[rare]], *none, signed[rare], (share - without)[place])
 
     rows = docs.select("doc_id", whole_text().alias("text"))
     out = settle(
-        rows.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, code long, k long"),
+        rows.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, code long, odds double"),
         "lm-rows",
     )
-    rare = out.filter("code IS NOT NULL").select("uid", "code", "k")
+    rare = out.filter("code IS NOT NULL").select("uid", "code", "odds")
     rest = counts.filter(F.col("c") * PARTS < F.lit(total))
+    # log(1 + c * odds), without overflow.
+    odds = F.col("odds") + F.log("c")
+    raised = F.greatest(odds, F.lit(0.0)) + F.log1p(F.exp(-F.abs(odds)))
     per_row = rare.join(rest, "code").groupBy("uid").agg(
-        F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("gain")
+        F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"), F.sum(raised).alias("raised")
     )
     return (
         out.filter("code IS NULL")
@@ -377,6 +433,6 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("raised", F.lit(0.0)) / float(np.log(10))).alias("score"),
         )
     )

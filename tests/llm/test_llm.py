@@ -210,6 +210,32 @@ def test_base_score_equals_brute_force(spark, docs):
         assert row.score < 0
 
 
+def test_mixture_equals_brute_force(spark, docs, monkeypatch):
+    all_ = {r.doc_id: r for r in lm_score.scores(docs, PATH, PATTERN).collect()}
+    monkeypatch.setattr(lm_score, "PARTS", 50)  # now most words are joined with their counts
+    few = {r.doc_id: r for r in lm_score.scores(docs, PATH, PATTERN).collect()}
+    model, tokens = lm_score.fit(docs, PATH, PATTERN), lm_score.Tokens(PATH, PATTERN)
+    texts = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    train = {d: ws for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2}
+    count = Counter(w for ws in train.values() for w in [*ws, None])
+    n = sum(count.values())
+    for d, words in list(texts.items())[:60]:
+        ids, ends = tokens.sequences([lm_score.spaced(b" ".join(words))])
+        logs, place, score = model.each(ids, ends), 1, 0.0
+        for i, word in enumerate([*words, None]):
+            size, log = (1 if word is None else len(word) + 1), 0.0
+            while size > 0:
+                log, size, place = log + logs[place], size - tokens.lengths[ids[place]], place + 1
+            repeated = lm_score.REPEATED * i / (i + lm_score.SETTLING)
+            scale = (1 - repeated) / (1 - lm_score.REPEATED)
+            rest = 1 - lm_score.REPEATED - lm_score.COUNTED
+            share = words[:i].count(word) / max(i, 1)
+            score += np.log10(repeated * share + scale * (lm_score.COUNTED * count[word] / n + rest * np.exp(log)))
+        assert all_[d].score == pytest.approx(score, rel=1e-4)
+        assert few[d].score == pytest.approx(score, rel=1e-4)
+        assert few[d].base_score == pytest.approx(all_[d].base_score) and few[d].n_known == all_[d].n_known
+
+
 def test_next_ids_have_probability_one():
     spelled = [bytes([i]) for i in range(48)]
     model = lm_score.Attention.start(np.ones(50), spelled)
