@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.functions.hashing import col, digest, sort_hash
+from curata.operators import pairs
 from curata.operators.ordered import top_per_group
 from curata.schema import cluster_column
 from curata.session import stage, stage_once
@@ -79,6 +80,43 @@ def covered(
     return [target & query, target, query][mode] & (s >= min_aln_len)
 
 
+def spanned(x, y, width: int) -> Column:
+    """Share of ``x`` between its first and its last token that ``y`` has too.
+
+    Both are all tokens of an item in order, each of them ``width`` units long.
+    """
+    def reach(t):
+        # array_intersect keeps the order of its first argument.
+        back = F.reverse(t)
+        first = F.array_position(t, F.get(F.array_intersect(t, y), F.lit(0)))
+        last = F.size(t) + 1 - F.array_position(back, F.get(F.array_intersect(back, y), F.lit(0)))
+        return (last - first + width) / (F.size(t) + width - 1)
+
+    return pairs.bind(x, reach)
+
+
+def spanning_edges(
+    items: DataFrame, item: str, tokens: str, at_least: float, width: int, coverage: float = 0.8, cov_mode: int = 0,
+    identity_mode: int = 0, min_aln_len: int = 0,
+) -> DataFrame:
+    """Edges ``a, b, score`` of all pairs with an identity of at least ``at_least`` and enough coverage.
+
+    ``tokens`` are all tokens of an item in order, each ``width`` units long.
+    Identity is the share of distinct common tokens, coverage the stretch they
+    span (of both items, of ``b`` or of ``a``, by ``cov_mode``, in units), so
+    the one does not decide the other.  Every pair that qualifies is found.
+    Give one item of each group of equal ones.
+    """
+    sets = items.select(item, F.array_distinct(tokens).alias("_set"))
+    found = pairs.similar_pairs(sets, [], item, "_set", at_least, identity_mode)
+    side = lambda name, t: items.select(F.col(item).alias(name), F.col(tokens).alias(t))
+    both = found.join(side("a", "_oa"), "a").join(side("b", "_ob"), "b")
+    spans = both.withColumns({"_sa": spanned("_oa", "_ob", width), "_sb": spanned("_ob", "_oa", width)})
+    target, query = F.col("_sb") >= coverage, F.col("_sa") >= coverage
+    long = F.least(F.col("_sa") * (F.size("_oa") + width - 1), F.col("_sb") * (F.size("_ob") + width - 1)) >= min_aln_len
+    return spans.filter([target & query, target, query][cov_mode] & long).select("a", "b", "score")
+
+
 # --- graph rounds ---------------------------------------------------------
 
 
@@ -140,9 +178,11 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 def set_cover(edges: DataFrame) -> DataFrame:
     """Greedy set cover: the node with most uncovered neighbours takes them, repeatedly.
 
-    Ties go to the smaller id.  A node that is the best within two hops would
-    be taken by the sequential rule before anything near it changes, so all
-    such nodes are taken in one round; the result equals the sequential one.
+    Ties go to the higher seeded hash of the id, then to the smaller id.  A node
+    that is the best within two hops would be taken by the sequential rule
+    before anything near it changes, so all such nodes are taken in one round;
+    the result equals the sequential one.  Among ties the hash makes a fixed
+    share of nodes the best near them, so rounds grow with the logarithm.
     """
     edges = stage(symmetric(edges), "sc-edges")
     order = stage(_descending_ids(edges), "sc-ids")
@@ -151,7 +191,7 @@ def set_cover(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         degree = edges.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("_degree"))
         nodes = stage(
-            degree.join(order, "v").select("v", F.struct("_degree", "_down").alias("_p")), "sc-nodes"
+            degree.join(order, "v").select("v", F.struct("_degree", "_tie", "_down").alias("_p")), "sc-nodes"
         )
         one_hop = stage(_highest_near(edges, nodes, "_p", "_p1"), "sc-hop")
         two_hop = _highest_near(edges, one_hop, "_p1", "_p2")
@@ -164,13 +204,13 @@ def set_cover(edges: DataFrame) -> DataFrame:
 
 
 def _descending_ids(edges: DataFrame) -> DataFrame:
-    """Nodes with ``_down``, a value that is larger for smaller ids.
+    """Nodes with ``_tie``, a hash, and ``_down``, a value that is larger for smaller ids.
 
     Numeric ids are negated.  Other ids get the bitwise complement of their
     bytes (as hex, closed by a digit above the rest), which reverses the byte
     order of any two strings.
     """
-    nodes = edges.select(F.col("a").alias("v")).distinct()
+    nodes = edges.select(F.col("a").alias("v")).distinct().withColumn("_tie", digest(0, "v"))
     if dict(nodes.dtypes)["v"] in ("bigint", "int", "smallint", "tinyint"):
         return nodes.withColumn("_down", -F.col("v").cast("bigint"))
     flipped = F.translate(F.hex(F.col("v").cast("string")), "0123456789ABCDEF", "FEDCBA9876543210")
@@ -188,16 +228,18 @@ def _with_rest(everyone: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 
 def greedy_by_length(edges: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Longest item first: it takes its uncovered neighbours; ties go to the smaller id.
+    """Longest item first: it takes its uncovered neighbours; ties go as in ``set_cover``.
 
     ``lengths`` has ``v, len``.  A node that no neighbour outranks is taken in
     the round it becomes so; every other node joins its highest-ranked
     representative once all rounds are done, as the sequential rule does.
+    Rounds grow with the logarithm among equal lengths, but with the longest
+    path along which lengths fall.
     """
     all_edges = stage(symmetric(edges), "gl-edges")
     order = _descending_ids(all_edges)
     nodes = stage(
-        order.join(lengths, "v").select("v", F.struct("len", "_down").alias("_p")), "gl-nodes"
+        order.join(lengths, "v").select("v", F.struct("len", "_tie", "_down").alias("_p")), "gl-nodes"
     )
     edges, alive, parts = all_edges, nodes, []
     while not alive.isEmpty():
@@ -260,12 +302,13 @@ def cluster(
 
 
 def threshold_sweep(
-    scored: DataFrame, items: DataFrame, thresholds, method: str, mode: str = SET_COVER, lengths=None
-) -> DataFrame:
+    scored: DataFrame, items: DataFrame, thresholds, method: str, mode: str = SET_COVER, lengths=None,
+    reassign_members: bool = False,
+) -> DataFrame:
     """One cluster column per threshold; pairs are scored once, at the lowest."""
     out = items
     for t in thresholds:
-        found = cluster(scored.filter(F.col("score") >= t), items, mode, lengths)
+        found = cluster(scored.filter(F.col("score") >= t), items, mode, lengths, reassign_members)
         out = out.join(found.withColumnRenamed("rep", cluster_column(method, t)), "member")
     return out
 
@@ -276,7 +319,8 @@ def resumable_sweep(
     """``threshold_sweep`` that keeps each finished step under ``path`` and reuses it.
 
     ``scored`` is a function that builds the scored pairs; it is only called
-    when they are not there yet.
+    when they are not there yet.  ``path`` must name the input and the mode: give
+    others another one.
     """
     pairs = stage_once(spark, f"{path}/pairs", scored)
     out = items

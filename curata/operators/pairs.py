@@ -39,6 +39,24 @@ def kmers(sequence, k: int) -> Column:
     return _runs(F.split(col(sequence), ""), k, "")
 
 
+def kmer_stream(sequence, k: int) -> Column:
+    """Hashes of all substrings of length ``k`` in order; a shorter text is one."""
+    def build(s):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.substr(s, i, F.lit(k))))
+
+    return bind(sequence, build)
+
+
+def shingle_stream(text, k: int) -> Column:
+    """Hashes of all runs of ``k`` lower-case words in order; a shorter text is one."""
+    def build(p):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(p) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(p, i, k), " ")))
+
+    return bind(F.split(F.btrim(F.lower(col(text))), r"\s+"), build)
+
+
 def word_shingles(text, k: int) -> Column:
     """Distinct runs of ``k`` lower-case words; a shorter text is one token."""
     return _runs(F.split(F.btrim(F.lower(col(text))), r"\s+"), k, " ")
@@ -85,12 +103,24 @@ def collapse_copies(df: DataFrame, by, item: str, content: str) -> DataFrame:
     return df.join(reps, [*by, content])
 
 
-def similar_pairs(df: DataFrame, by, item: str, tokens: str, at_least: float) -> DataFrame:
-    """Pairs ``a < b`` within a group whose token sets have a Jaccard of at least ``at_least``.
+UNION, SMALLER, LARGER = 0, 1, 2
+
+
+def overlap_score(a, b, over: int = UNION) -> Column:
+    """Share of common tokens over the union, the smaller or the larger of two sets."""
+    shared, x, y = F.size(F.array_intersect(col(a), col(b))), F.size(col(a)), F.size(col(b))
+    return shared / [x + y - shared, F.least(x, y), F.greatest(x, y)][over]
+
+
+def similar_pairs(df: DataFrame, by, item: str, tokens: str, at_least: float, over: int = UNION) -> DataFrame:
+    """Pairs ``a < b`` within a group whose token sets overlap by at least ``at_least``.
+
+    ``over`` names the denominator (``overlap_score``); the union makes it the Jaccard.
 
     Exact: with tokens in order of rarity, sets A and B of the wanted
     similarity share one of the first ``|A| - ceil(t |A|) + 1`` tokens of A and
-    likewise of B.  Frequent tokens come last, so a token held by a third of
+    likewise of B.  (Over the smaller set only the smaller one has that prefix;
+    it meets every token of the larger.)  Frequent tokens come last, so a token held by a third of
     all rows joins only where a set has hardly any other.  Give distinct
     entities (see ``collapse_copies``), or copies meet pairwise.
     """
@@ -110,20 +140,22 @@ def similar_pairs(df: DataFrame, by, item: str, tokens: str, at_least: float) ->
     ).filter("_p._df > 1")
     prefix = stage(prefix.select(*by, "_id", "_n", F.col("_p._token").alias("_token")), "prefix")
     left = prefix.select(*by, "_token", F.col("_id").alias("a"), F.col("_n").alias("_na"))
-    right = prefix.select(*by, "_token", F.col("_id").alias("b"), F.col("_n").alias("_nb"))
-    candidates = (
-        left.join(right, [*by, "_token"])
-        .filter("a < b")
-        .filter((F.col("_na") >= F.lit(at_least) * F.col("_nb") - 1e-9))
-        .filter((F.col("_nb") >= F.lit(at_least) * F.col("_na") - 1e-9))
-        .select(*by, "a", "b")
-        .distinct()
-    )
+    right = (rows if over == SMALLER else prefix).select(*by, "_token", F.col("_id").alias("b"), F.col("_n").alias("_nb"))
+    met = left.join(right, [*by, "_token"])
+    if over == SMALLER:
+        met = met.filter("a <> b AND _na <= _nb").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        met = (
+            met.filter("a < b")
+            .filter((F.col("_na") >= F.lit(at_least) * F.col("_nb") - 1e-9))
+            .filter((F.col("_nb") >= F.lit(at_least) * F.col("_na") - 1e-9))
+        )
+    candidates = met.select(*by, "a", "b").distinct()
     side = lambda name, t: sets.select(*by, F.col("_id").alias(name), F.col("_tokens").alias(t))
     return (
         candidates.join(side("a", "_ta"), [*by, "a"])
         .join(side("b", "_tb"), [*by, "b"])
-        .withColumn("score", jaccard("_ta", "_tb"))
+        .withColumn("score", overlap_score("_ta", "_tb", over))
         .filter(F.col("score") >= at_least)
         .select(*by, "a", "b", "score")
     )
@@ -159,8 +191,8 @@ def record_matrix(directed: DataFrame, members: DataFrame, by) -> DataFrame:
 
     ``members`` has ``chain_no`` and ``rep``, the entity that stands for a
     chain and its copies; ``directed`` has scores between entities.  Copies
-    score 1, pairs that are not listed 0.  The matrix is built inside the row
-    of its record from the listed pairs.
+    score 1, pairs that are not listed null: they were not compared.  The
+    matrix is built inside the row of its record from the listed pairs.
     """
     by = list(by)
     key = lambda a, b: F.concat_ws("|", a.cast("string"), b.cast("string"))
@@ -168,13 +200,11 @@ def record_matrix(directed: DataFrame, members: DataFrame, by) -> DataFrame:
         F.collect_list(F.struct(key(F.col("a"), F.col("b")), F.col("score").cast("float"))).alias("_pairs")
     )
     chains = members.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("chain_no", "rep"))).alias("_c"))
-    one, zero = F.lit(1.0).cast("float"), F.lit(0.0).cast("float")
+    one = F.lit(1.0).cast("float")
 
     def build(m):
         def cell(x, y):
-            return F.when(x["rep"] == y["rep"], one).otherwise(
-                F.coalesce(F.try_element_at(m, key(x["rep"], y["rep"])), zero)
-            )
+            return F.when(x["rep"] == y["rep"], one).otherwise(F.try_element_at(m, key(x["rep"], y["rep"])))
 
         return F.transform("_c", lambda x: F.transform("_c", lambda y: cell(x, y)))
 
@@ -183,6 +213,32 @@ def record_matrix(directed: DataFrame, members: DataFrame, by) -> DataFrame:
     return joined.select(*by, bind(pairs, build).alias("matrix"))
 
 
+def shape_tokens(trace, bin_width: float = 2.0, reach: int = 4) -> Column:
+    """Hashes of the local shape at each position of a flat CA trace.
+
+    The shape at a residue is its distances to the next ``reach`` residues but
+    the first, in bins.  Two grids, half a bin apart, are used, so that a small
+    shift changes one token of a residue but seldom both.  Traces of up to
+    ``reach`` residues have no token.
+    """
+    def at(t, i, axis):
+        return F.get(t, i * 3 + axis)
+
+    def shape(t, i, grid):
+        bins = []
+        for step in range(2, reach + 1):
+            square = sum((at(t, i + step, x) - at(t, i, x)) * (at(t, i + step, x) - at(t, i, x)) for x in range(3))
+            bins.append(F.floor(F.sqrt(square) / F.lit(bin_width) + F.lit(grid / 2)))
+        return F.xxhash64(i, F.lit(grid), *bins)
+
+    def build(t):
+        places = F.sequence(F.lit(0), F.floor(F.size(t) / 3).cast("int") - reach - 1)
+        both = F.transform(places, lambda i: F.array(shape(t, i, 0), shape(t, i, 1)))
+        return F.when(F.size(t) > 3 * reach, F.flatten(both)).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(trace, build)
+
+
 def lddt_kernel(radius: float = 15.0, block: int = 512):
     """An Arrow function: superposition-free similarity of two CA traces.
 
@@ -222,15 +278,16 @@ def structure_scores(
     """Add ``score_ab`` and ``score_ba``, normalised by the first and second chain.
 
     Pairs whose cheap ``score`` reaches ``skip_at`` count as 1.0 both ways;
-    only the others meet their coordinates.
+    only the others, those without a ``score`` too, meet their coordinates.
     """
     scorer = scorer or lddt_kernel(radius)
-    easy = pairs.filter(F.col("score") >= skip_at).withColumns(
+    alike = F.coalesce(F.col("score") >= skip_at, F.lit(False))
+    easy = pairs.filter(alike).withColumns(
         {"score_ab": F.lit(1.0), "score_ba": F.lit(1.0)}
     )
     side = lambda name, t: chains.select(*by, F.col(item).alias(name), F.col(trace).alias(t))
     hard = (
-        pairs.filter(F.col("score") < skip_at)
+        pairs.filter(~alike)
         .join(side("a", "_xa"), [*by, "a"])
         .join(side("b", "_xb"), [*by, "b"])
         .withColumn("score_ab", scorer("_xa", "_xb"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ class CurateConfig:
     lanes: int = 8  # open shards at a time; part of the layout
     zstd_level: int = writers.ZSTD_LEVEL
     kmer: int = 3
-    pair_similarity: float = 0.3
+    pair_similarity: float = 0.3  # least k-mer overlap of a listed sequence score
+    shape_similarity: float = 0.3  # least overlap of local shapes of a listed structure score
     skip_structure_at: float = 0.95
     structure_radius: float = 15.0
     export_cif: bool = False  # one small file per chain, for outside tools
@@ -50,7 +52,8 @@ class ClusterConfig:
     min_aln_len: int = 0
     cluster_mode: str = clustering.SET_COVER
     kmer: int = 3
-    selected: int = 20
+    reassign: bool = True  # members move to the representative they match best
+    shape_similarity: float = 0.3
     radius: float = 15.0
     columns: list[str] = field(init=False)
 
@@ -89,7 +92,9 @@ def chain_scores(chains: DataFrame, cfg: CurateConfig) -> tuple[DataFrame, DataF
     """Directed structure and sequence scores between distinct sequences of a record.
 
     Returns ``members`` (pdb, chain, chain_no, rep) and ``pairs`` (pdb, a, b,
-    score, score_ab, score_ba).  Copies of a sequence share one entity.
+    score, score_ab, score_ba).  Copies of a sequence share one entity.  A pair
+    is compared when its k-mers or its local shapes overlap enough; ``score``,
+    the overlap of the k-mers, is null where only the shapes do.
     """
     copies = pairs.collapse_copies(chains.select("pdb", "chain", "sequence"), ["pdb"], "chain", "sequence")
     members = copies.select("pdb", "chain", F.col("chain").alias("chain_no"), "rep")
@@ -98,8 +103,10 @@ def chain_scores(chains: DataFrame, cfg: CurateConfig) -> tuple[DataFrame, DataF
     found = pairs.similar_pairs(
         entities.select("pdb", "chain", tokens.alias("tokens")), ["pdb"], "chain", "tokens", cfg.pair_similarity
     )
+    traces = entities.select("pdb", "chain", pairs.shape_tokens("trace").alias("shapes"))
+    shaped = pairs.similar_pairs(traces, ["pdb"], "chain", "shapes", cfg.shape_similarity).select("pdb", "a", "b")
     scored = pairs.structure_scores(
-        found, entities, ["pdb"], "chain", "trace", cfg.skip_structure_at, cfg.structure_radius
+        found.join(shaped, ["pdb", "a", "b"], "full"), entities, ["pdb"], "chain", "trace", cfg.skip_structure_at, cfg.structure_radius
     )
     return members, scored
 
@@ -122,7 +129,7 @@ def build_records(accepted: DataFrame, chains: DataFrame, cfg: CurateConfig) ->
     structure = pairs.both_directions(
         scored.select("pdb", "a", "b", "score_ab", "score_ba"), ["pdb"], score="score_ab", back="score_ba"
     ).withColumnRenamed("score_ab", "score")
-    sequence = pairs.both_directions(scored, ["pdb"])
+    sequence = pairs.both_directions(scored.filter("score IS NOT NULL"), ["pdb"])
     nan = F.lit(float("nan"))
     meta = accepted.select(
         "pdb", "resolution", "method", "deposit_date", "source", nan.alias("mean_plddt"), nan.alias("ptm")
@@ -157,75 +164,128 @@ def cluster_chains(chains: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """``member`` and one representative column per clustering and threshold.
 
     Chains of equal sequence are one entity for the sequence clustering, so
-    copies always stay together and cost nothing.  Entities meet through
-    shared rare k-mers and are scored once; thresholds filter the scored pairs.
-    The structure clustering scores the same pairs, and each copy against its
-    entity, by their coordinates.
+    copies always stay together and cost nothing.  Every pair of entities that
+    reaches the lowest threshold is found and scored once; thresholds filter
+    the scored pairs.  Structure pairs do not depend on the sequence: entities
+    meet that share ``shape_similarity`` of their local shapes, and each copy
+    meets its entity; all of them are scored by their coordinates.
     """
-    tokens = pairs.kmers("sequence", cfg.kmer)
     prepared = stage(
         ca_trace(chains).select(
             chain_key().alias("member"),
             clustering.content_key("sequence").alias("content"),
             F.length("sequence").alias("len"),
-            pairs.token_hashes(tokens).alias("tokens"),
-            clustering.selected_tokens(tokens, cfg.selected).alias("selected"),
+            pairs.kmer_stream("sequence", cfg.kmer).alias("tokens"),
             "trace",
         ),
         "cluster-input",
     )
     named = pairs.collapse_copies(prepared.select("member", "content", "len"), [], "member", "content")
     named = stage(named.select("member", "rep", "len"), "cluster-entities")
-    entities = prepared.join(named.filter("member = rep").select("member"), "member", "left_semi")
-    candidates = clustering.star_candidates(entities, "member", "selected", "len")
-    shared = clustering.shared_tokens(candidates, entities, "member", "tokens").filter(
-        clustering.covered(cfg.coverage, cfg.cov_mode, cfg.min_aln_len)
-    )
-    edges = stage(
-        shared.select("a", "b", clustering.identity_score(mode=cfg.identity_mode).alias("score")), "cluster-edges"
-    )
+    alone = named.filter("member = rep").select("member")
+    entities = prepared.join(alone, "member", "left_semi")
     lengths = named.select(F.col("member").alias("v"), "len")
-    swept = clustering.threshold_sweep(
-        edges, named.filter("member = rep").select("member"), cfg.seq_thresholds, "mmseqs", cfg.cluster_mode, lengths
-    )
-    out = named.select("member", "rep").join(swept.withColumnRenamed("member", "rep"), "rep").drop("rep")
-    if cfg.structure_thresholds:
-        copies = named.filter("member <> rep").select(
-            F.col("member").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score")
+    out = named.select("member", "rep")
+    if cfg.seq_thresholds:
+        edges = clustering.spanning_edges(
+            entities, "member", "tokens", min(cfg.seq_thresholds), cfg.kmer, cfg.coverage, cfg.cov_mode,
+            cfg.identity_mode, cfg.min_aln_len,
+        )
+        swept = clustering.threshold_sweep(
+            stage(edges, "cluster-edges"), alone, cfg.seq_thresholds, "mmseqs", cfg.cluster_mode, lengths, cfg.reassign
         )
+        out = out.join(swept.withColumnRenamed("member", "rep"), "rep")
+    out = out.drop("rep")
+    if cfg.structure_thresholds:
+        copies = named.filter("member <> rep").select(F.col("member").alias("a"), F.col("rep").alias("b"))
+        shapes = stage(entities.select("member", pairs.shape_tokens("trace").alias("shapes")), "cluster-shapes")
+        alike = pairs.similar_pairs(shapes, [], "member", "shapes", cfg.shape_similarity).select("a", "b")
         scored = pairs.structure_scores(
-            edges.unionByName(copies), prepared, [], "member", "trace", skip_at=2.0, radius=cfg.radius
-        ).select("a", "b", F.least("score_ab", "score_ba").alias("score"))
+            alike.unionByName(copies).withColumn("score", F.lit(None).cast("double")),
+            prepared, [], "member", "trace", radius=cfg.radius,
+        ).select("a", "b", F.least("score_ab", "score_ba").alias("score"))
         by_structure = clustering.threshold_sweep(
-            stage(scored, "structure-edges"), named.select("member"), cfg.structure_thresholds, "foldseek", cfg.cluster_mode, lengths
-        )
+            stage(scored, "structure-edges"), named.select("member"), cfg.structure_thresholds, "foldseek",
+            cfg.cluster_mode, lengths, cfg.reassign,
+        )
         out = out.join(by_structure, "member")
     return out
 
 
-def run(spark: SparkSession, files: DataFrame, out: str, cfg: CurateConfig = CurateConfig(), clusters: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """Curate ``files`` into ``out`` and return the index.
+def folder(out: str, cfg: CurateConfig = CurateConfig()) -> str:
+    """Where the tables of this configuration are: another one never reads them."""
+    return f"{out}/{_key(cfg)}"
+
+
+def _key(settings) -> str:
+    return hashlib.md5(repr(settings).encode()).hexdigest()[:12]
+
 
-    Every step writes a table under ``out`` and is skipped when that table is
-    finished, so a job that was stopped goes on where it was.  Order of
-    writing: shards, then the checkpoint of their rows, then the index.
+def _batches(spark: SparkSession, base: str, name: str, n: int) -> DataFrame:
+    """The rows of a table in its first ``n`` batches."""
+    return spark.read.parquet(*[f"{base}/{name}/batch={k}" for k in range(n)])
+
+
+def _run_batch(spark: SparkSession, files: DataFrame, base: str, n: int, cfg: CurateConfig) -> None:
+    """Batch ``n``: entries that no earlier batch has, in shards after those of earlier batches."""
+    def step(name, build):
+        return stage_once(spark, f"{base}/{name}/batch={n}", build)
+
+    def once(name, write):
+        if not table_exists(spark, f"{base}/{name}/batch={n}"):
+            write(f"{base}/{name}/batch={n}")
+
+    def gated():
+        found = accept(files, cfg)
+        return catalog.remaining(found, _batches(spark, base, "accepted", n)) if n else found
+
+    def laid_out():
+        first = _batches(spark, base, "placed", n).agg(F.max("shard_no")).first()[0] if n else None
+        return place_records(records, cfg, 0 if first is None else first + 1)
+
+    accepted = step("accepted", gated)
+    chains = step("chains", lambda: build_chains(accepted, cfg))
+    records = step("records", lambda: build_records(accepted, chains, cfg))
+    placed = step("placed", laid_out)
+    whole = records.join(placed.select("pdb", "shard_no", "offset", F.col("prefix")), "pdb")
+    once("shards", lambda path: writers.write_shards(whole, path, "prefix", order=["offset"], level=cfg.zstd_level))
+    once("checkpoint", lambda path: index_of(records, placed).write.mode("overwrite").json(path))
+    once("fasta", lambda path: writers.write_fasta(chains, path))
+    if cfg.export_cif:
+        once("cif", lambda path: writers.write_backbone_cif(writers.chain_cif(chains), path))
+
+
+def run(spark: SparkSession, files: DataFrame, out: str, cfg: CurateConfig = CurateConfig(), clusters: ClusterConfig = ClusterConfig()) -> DataFrame:
+    """Curate ``files`` into ``folder(out, cfg)`` and return the index of all files so far.
+
+    Files whose path is new make a batch: their paths are written first, then
+    its steps (shards, then the checkpoint of their rows), each a finished
+    table that is not built again, then ``done``.  A job that was stopped goes
+    on inside its batch; a run with more files adds a batch with the next shard
+    numbers.  An entry that an earlier batch has is left out.  The index clusters
+    all chains and is kept by its settings and the number of batches.
     """
-    accepted = stage_once(spark, f"{out}/accepted", lambda: accept(files, cfg))
-    chains = stage_once(spark, f"{out}/chains", lambda: build_chains(accepted, cfg))
-    records = stage_once(spark, f"{out}/records", lambda: build_records(accepted, chains, cfg))
-    placed = stage_once(spark, f"{out}/placed", lambda: place_records(records, cfg))
-    if not table_exists(spark, f"{out}/shards"):
-        whole = records.join(placed.select("pdb", "shard_no", "offset", F.col("prefix")), "pdb")
-        writers.write_shards(whole, f"{out}/shards", "prefix", order=["offset"], level=cfg.zstd_level)
-    rows = index_of(records, placed)
-    if not table_exists(spark, f"{out}/checkpoint"):
-        rows.write.mode("overwrite").json(f"{out}/checkpoint")
-    if not table_exists(spark, f"{out}/fasta"):
-        writers.write_fasta(chains, f"{out}/fasta")
-    if cfg.export_cif and not table_exists(spark, f"{out}/cif"):
-        writers.write_backbone_cif(writers.chain_cif(chains), f"{out}/cif")
+    base, n = folder(out, cfg), 0
+    while table_exists(spark, f"{base}/done/batch={n}"):
+        n += 1
+    while True:
+        ledger = f"{base}/files/batch={n}"
+        if not table_exists(spark, ledger):
+            new = files.select("path").distinct()
+            if n:
+                new = catalog.remaining(new, _batches(spark, base, "files", n), "path")
+            new = stage(new, "new-files")
+            if n and new.isEmpty():
+                break
+            new.write.mode("overwrite").parquet(ledger)
+        paths = spark.read.parquet(ledger)
+        _run_batch(spark, files.join(paths, "path", "left_semi"), base, n, cfg)
+        stage_once(spark, f"{base}/done/batch={n}", lambda paths=paths: paths)
+        n += 1
 
     def clustered():
+        rows = index_of(_batches(spark, base, "records", n), _batches(spark, base, "placed", n))
+        chains = _batches(spark, base, "chains", n)
         return catalog.cluster_columns(rows, cluster_chains(chains, clusters), clusters.columns)
 
-    return stage_once(spark, f"{out}/index", clustered)
+    return stage_once(spark, f"{base}/index-{_key(clusters)}/batches-{n}", clustered)

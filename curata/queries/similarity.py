@@ -102,6 +102,20 @@ def threshold_sweep(spark, folder):
     )
 
 
+def cluster_thresholds(spark, folder):
+    """Documents clustered by identity at three thresholds, among pairs whose common stretch covers both."""
+    docs = wide_table(spark, folder, "documents").select("doc_id", C.content_key("text").alias("content"), "text")
+    named = stage(S.collapse_copies(docs.select("doc_id", "content"), [], "doc_id", "content").select("doc_id", "rep"), "named")
+    alone = named.filter("doc_id = rep").select("doc_id")
+    entities = docs.join(alone, "doc_id", "left_semi").select("doc_id", S.shingle_stream("text", WORDS).alias("tokens"))
+    edges = C.spanning_edges(stage(entities, "streams"), "doc_id", "tokens", SWEEP[0], WORDS)
+    items = alone.withColumnRenamed("doc_id", "member")
+    swept = C.threshold_sweep(stage(edges, "edges"), items, SWEEP, "mmseqs", C.COMPONENTS)
+    return named.withColumnRenamed("doc_id", "copy").join(swept, F.col("rep") == F.col("member")).select(
+        F.col("copy").alias("member"), "mmseqs_30", "mmseqs_50", "mmseqs_80"
+    )
+
+
 def collapse_copies(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", C.content_key("text").alias("content"))
     return S.collapse_copies(docs, [], "doc_id", "content").select("doc_id", "rep")
@@ -137,12 +151,13 @@ def _vector_tokens(spark, folder):
 
 
 def chain_matrix(spark, folder):
-    """The similarity matrix of every record in chain order, with unit diagonal."""
+    """The similarity matrix of every record in chain order, with unit diagonal; ``-`` where not listed."""
     chains = _vector_tokens(spark, folder)
     pairs = S.similar_pairs(chains, ["pdb"], "vec_id", "tokens", 0.2)
     members = chains.select("pdb", F.col("vec_id").alias("chain_no"), F.col("vec_id").alias("rep"))
     matrix = S.record_matrix(S.both_directions(pairs, ["pdb"]), members, ["pdb"])
-    text = F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.4f", x)), " "))
+    number = lambda x: F.when(x.isNull(), F.lit("-")).otherwise(F.format_string("%.4f", x))
+    text = F.transform("matrix", lambda r: F.array_join(F.transform(r, number), " "))
     return matrix.select("pdb", F.array_join(text, ";").alias("matrix"))
 
 
@@ -182,6 +197,7 @@ QUERIES = {
     "greedy_by_length": greedy_by_length,
     "reassigned_clusters": reassigned,
     "threshold_sweep": threshold_sweep,
+    "cluster_thresholds": cluster_thresholds,
     "collapse_copies": collapse_copies,
     "similar_pairs": similar_pairs,
     "seq_similarity": seq_similarity,
@@ -213,6 +229,28 @@ def _components(name: str, at_least: float) -> str:
 {name} AS MATERIALIZED (SELECT member, min(seen) AS rep FROM {name}_r GROUP BY member)"""
 
 
+_spanned = rf"""
+named AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM documents),
+parts AS (SELECT doc_id, regexp_split_to_array(trim(lower(text)), '\s+') AS w FROM documents WHERE doc_id IN (SELECT rep FROM named)),
+stream AS (SELECT doc_id, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) AS i, w FROM parts),
+place AS (SELECT doc_id, i, array_to_string(w[i:i + {WORDS - 1}], ' ') AS tok FROM stream),
+whole AS (SELECT doc_id, count(DISTINCT tok) AS n, max(i) + {WORDS - 1} AS long FROM place GROUP BY doc_id),
+tok AS MATERIALIZED (SELECT doc_id, tok, min(i) AS lo, max(i) AS hi FROM place GROUP BY doc_id, tok),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, max(x.hi) - min(x.lo) + {WORDS} AS la, max(y.hi) - min(y.lo) + {WORDS} AS lb
+  FROM tok x JOIN tok y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+span AS MATERIALIZED (SELECT a, b, shared / (p.n + q.n - shared) AS score FROM met JOIN whole p ON p.doc_id = a JOIN whole q ON q.doc_id = b
+  WHERE la / p.long >= 0.8::DOUBLE AND lb / q.long >= 0.8::DOUBLE)"""
+
+
+def _linked_at(name: str, at_least: float) -> str:
+    """SQL tables that give the smallest document reachable over ``span``."""
+    return f"""
+{name}_e AS MATERIALIZED (SELECT a, b FROM span WHERE score >= {at_least}::DOUBLE UNION SELECT b, a FROM span WHERE score >= {at_least}::DOUBLE),
+{name}_r AS (SELECT DISTINCT rep AS member, rep AS seen FROM named
+  UNION SELECT r.member, e.b FROM {name}_r r JOIN {name}_e e ON e.a = r.seen),
+{name} AS MATERIALIZED (SELECT member, min(seen) AS rep FROM {name}_r GROUP BY member)"""
+
+
 def _kmers(c, k):
     return f"list_distinct(list_transform(range(1, greatest(length({c}) - {k - 1}, 1) + 1), lambda i: substr({c}, i, {k})))"
 
@@ -257,8 +295,8 @@ LEFT JOIN (SELECT rep, unnest(taken) AS member FROM run WHERE step > 0) ON membe
 
 
 SQL = {
-    "set_cover": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy('count(*) DESC, e.a')}",
-    "greedy_by_length": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy('d.n_chars DESC, e.a')}",
+    "set_cover": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("count(*) DESC, md5('0:' || e.a) DESC, e.a")}",
+    "greedy_by_length": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("d.n_chars DESC, md5('0:' || e.a) DESC, e.a")}",
     "star_candidates": f"WITH {_stars} SELECT a, b FROM cand",
     "candidate_scores": f"""WITH {_scores}
 SELECT a, b, CAST(shared AS INTEGER) AS shared, round(shared / (size_a + size_b - shared), 6) AS identity_0,
@@ -276,6 +314,10 @@ SELECT member, CASE WHEN member = rep THEN rep ELSE coalesce(best.b, rep) END AS
     "threshold_sweep": "WITH RECURSIVE "
     + ", ".join([_scores, *[_components(f"c{round(t * 100)}", t) for t in SWEEP]])
     + " SELECT c30.member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80 FROM c30 JOIN c50 USING (member) JOIN c80 USING (member)",
+    "cluster_thresholds": "WITH RECURSIVE "
+    + ", ".join([_spanned, *[_linked_at(f"c{round(t * 100)}", t) for t in SWEEP]])
+    + " SELECT doc_id AS member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80"
+    + " FROM named JOIN c30 ON c30.member = named.rep JOIN c50 ON c50.member = named.rep JOIN c80 ON c80.member = named.rep",
     "collapse_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM documents",
     "similar_pairs": f"""WITH {_docs},
 one AS MATERIALIZED (SELECT d.lang, t.doc_id, len(t.tokens) AS n, t.tokens FROM docs t JOIN documents d USING (doc_id)
@@ -293,7 +335,7 @@ FROM p WHERE s / (n - s) >= {LINK}::DOUBLE""",
     "score_rows": f"""{_vectors}
 SELECT pdb, a, count(*) AS partners, 1.0::DOUBLE AS best FROM p WHERE s >= 0.2::DOUBLE GROUP BY pdb, a""",
     "chain_matrix": f"""{_vectors},
-r AS (SELECT pdb, a, string_agg(printf('%.4f', CASE WHEN s >= 0.2::DOUBLE THEN s ELSE 0 END::FLOAT::DOUBLE), ' ' ORDER BY b) AS line FROM p GROUP BY pdb, a)
+r AS (SELECT pdb, a, string_agg(CASE WHEN s >= 0.2::DOUBLE THEN printf('%.4f', s::FLOAT::DOUBLE) ELSE '-' END, ' ' ORDER BY b) AS line FROM p GROUP BY pdb, a)
 SELECT pdb, string_agg(line, ';' ORDER BY a) AS matrix FROM r GROUP BY pdb""",
     "lddt_pairs": f"""WITH {_points}
 SELECT a, b, round(score, 6) AS score, round(CASE WHEN score >= {SKIP} THEN 1.0::DOUBLE ELSE {_near('a', 'b')} END, 6) AS score_ab,

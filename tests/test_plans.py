@@ -30,11 +30,12 @@ def job(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("curated") / "out")
     config = curate.CurateConfig(shard_bytes=40_000, export_cif=True)
     clusters = curate.ClusterConfig(seq_thresholds=(0.3, 0.5), structure_thresholds=(0.7,))
-    return files, out, config, clusters, curate.run(spark, files, out, config, clusters)
+    index = curate.run(spark, files, out, config, clusters)
+    return files, curate.folder(out, config), config, clusters, index, out
 
 
 def test_index(spark, job):
-    files, out, config, clusters, index = job
+    files, out, config, clusters, index, root = job
     rows = index.toPandas()
     assert len(rows) == 36 and set(rows.source) == {"rcsb", "pdb_redo"}
     assert rows.groupby("pdb").offset.nunique().max() == 1 and rows.shard_id.str.fullmatch(r"experimental/\d{6}").all()
@@ -44,10 +45,10 @@ def test_index(spark, job):
     assert (same.A == same.C).all()
     reps = set(rows.pdb + "_" + rows.chain)
     assert set(rows.mmseqs_30) <= reps and set(rows.foldseek_70) <= reps
-    loaded = index_source.read_index(spark, f"{out}/index", "foldseek_70", ["foldseek_70", "mmseqs_30"])
+    loaded = index_source.read_index(spark, index.inputFiles()[0].rsplit("/", 1)[0], "foldseek_70", ["foldseek_70", "mmseqs_30"])
     assert loaded.count() == 36
     with pytest.raises(ValueError):
-        index_source.read_index(spark, f"{out}/index", "foldseek_50", ["foldseek_50"])
+        index_source.read_index(spark, index.inputFiles()[0].rsplit("/", 1)[0], "foldseek_50", ["foldseek_50"])
     assert catalogs.read_checkpoint(spark, f"{out}/checkpoint").count() == 36
     assert spark.read.text(f"{out}/fasta").filter("value like '>%'").count() == 36
 
@@ -68,7 +69,7 @@ def test_records(spark, job):
 
 def test_backbone_files(spark, job):
     out = job[1]
-    files = mmcif.read_text(spark, f"{out}/cif/*/*/*.gz")
+    files = mmcif.read_text(spark, f"{out}/cif/*/*/*/*.gz")
     files = files.withColumn("pdb", F.regexp_extract("path", "pdb=([^/]+)", 1))
     back = mmcif.atom_rows(files)
     atoms = mmcif.atom_rows(spark.read.parquet(f"{out}/accepted")).filter(F.col("atom").isin("N", "CA", "C", "O", "CB"))
@@ -77,14 +78,29 @@ def test_backbone_files(spark, job):
 
 
 def test_finished_steps_are_not_run_again(spark, job):
-    files, out, config, clusters, index = job
+    files, out, config, clusters, index, root = job
     broken = files.withColumn("content", F.raise_error(F.lit("must not be read")).cast("string"))
-    again = curate.run(spark, broken, out, config, clusters)
+    again = curate.run(spark, broken, root, config, clusters)
     assert again.count() == index.count()
 
 
+def test_more_files_and_other_settings(spark, job, tmp_path):
+    files, out, config, clusters, index, root = job
+    half, grown = files.filter("path < 'f2'"), str(tmp_path / "grown")
+    first = curate.run(spark, half, grown, config, clusters)
+    assert 0 < first.count() < index.count()
+    both = curate.run(spark, files, grown, config, clusters)
+    same = [c for c in index.columns if c not in ("shard_id", "offset")]
+    order = lambda df: sorted(map(str, df.select(same).collect()))
+    assert order(both) == order(index)
+    old, new = ({r.pdb: r.shard_id for r in df.select("pdb", "shard_id").collect()} for df in (first, both))
+    assert all(new[p] == s for p, s in old.items()) and not set(old.values()) & {s for p, s in new.items() if p not in old}
+    strict = curate.run(spark, half, grown, curate.CurateConfig(shard_bytes=40_000, min_chain_length=15), clusters)
+    assert 0 < strict.count() < first.count()
+
+
 def test_selection_and_samples(spark, job):
-    files, out, config, clusters, index = job
+    files, out, config, clusters, index, root = job
     cfg = select.SelectConfig(ratios=(0.6, 0.2, 0.2), num_workers=2)
     chosen = select.Selection(index, cfg)
     assert chosen.summary().agg(F.sum("samples")).first()[0] <= 36

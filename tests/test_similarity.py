@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import clustering as C
 from curata.operators import pairs as S
+from curata.session import stage
 
 
 @pytest.mark.parametrize("at_least", [0.2, 0.5, 0.8])
@@ -73,6 +75,8 @@ def test_record_matrix(spark):
     directed = spark.createDataFrame([("p", "A", "C", 0.5), ("p", "C", "A", 0.25)], "pdb string, a string, b string, score double")
     got = {r.pdb: r.matrix for r in S.record_matrix(directed, members, ["pdb"]).collect()}
     assert got == {"p": [[1, 1, 0.5], [1, 1, 0.5], [0.25, 0.25, 1]], "q": [[1]]}
+    none = {r.pdb: r.matrix for r in S.record_matrix(directed.filter("b = 'C'"), members, ["pdb"]).collect()}
+    assert none["p"][2] == [None, None, 1]  # not compared
 
 
 # --- clustering against sequential rules ------------------------------------
@@ -94,10 +98,14 @@ def neighbours(edges):
     return near
 
 
+def tie(v):
+    return hashlib.md5(f"0:{v}".encode()).hexdigest()
+
+
 def cover_rule(edges):
     near, reps = neighbours(edges), {}
     while left := [v for v in near if v not in reps]:
-        best = max(left, key=lambda v: (sum(u not in reps for u in near[v]), -v))
+        best = max(left, key=lambda v: (sum(u not in reps for u in near[v]), tie(v), -v))
         for u in [best, *near[best]]:
             reps.setdefault(u, best)
     return reps
@@ -105,7 +113,7 @@ def cover_rule(edges):
 
 def length_rule(edges, length):
     near, reps = neighbours(edges), {}
-    for v in sorted(near, key=lambda v: (-length[v], v)):
+    for v in sorted(near, key=lambda v: (length[v], tie(v)), reverse=True):
         if v not in reps:
             for u in [v, *near[v]]:
                 reps.setdefault(u, v)
@@ -160,11 +168,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert set(got.values()) == {0, 1000} and len(got) == 301 + 300
 
 
-def test_text_ids_break_ties_towards_the_smaller(spark):
+def test_text_ids_break_ties_by_hash(spark):
     edges = {(3, 4), (4, 5), (6, 7)}
     named = edge_table(spark, edges, "string")
     got = {r.member: r.rep for r in C.set_cover(named).collect()}
-    assert got["n06"] == got["nn07"] == "n06" and got["nn04"] == "nn04" == got["n03"]
+    assert got["n06"] == got["nn07"] == max(("n06", "nn07"), key=tie) and got["nn04"] == "nn04" == got["n03"]
+
+
+@pytest.mark.parametrize("mode", [C.SET_COVER, C.BY_LENGTH])
+def test_rounds_on_a_long_path(spark, monkeypatch, mode):
+    rounds = []
+
+    def counted(df, label):
+        rounds.append(label)
+        return stage(df, label)
+
+    monkeypatch.setattr(C, "stage", counted)
+    edges = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b", "1.0D AS score")
+    nodes = spark.range(10_001).selectExpr("id AS v", "7 AS len")
+    found = C.cluster(edges, nodes.selectExpr("v AS member"), mode, nodes)
+    assert found.filter("abs(member - rep) > 1").isEmpty()
+    assert max(rounds.count("sc-taken"), rounds.count("gl-reps")) <= 20
 
 
 def test_no_edges(spark):
@@ -195,6 +219,48 @@ def test_sequence_clusters(spark):
     assert got["pdb1_A"] == got["pdb1_B"] == got["pdb3_A"] != got["pdb2_A"]
 
 
+@pytest.mark.parametrize("over", [0, 1, 2])
+def test_overlap_over_other_sets(spark, over):
+    rng = random.Random(over)
+    sets = {i: {rng.randrange(25) for _ in range(rng.choice((3, 8, 20)))} for i in range(80)}
+    size = lambda x, y: [len(x | y), min(len(x), len(y)), max(len(x), len(y))][over]
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / size(sets[i], sets[j]) >= 0.6}
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id int, tokens array<int>")
+    assert {(r.a, r.b) for r in S.similar_pairs(df, [], "id", "tokens", 0.6, over).collect()} == want != set()
+
+
+def test_coverage_is_apart_from_identity(spark):
+    rng = random.Random(1)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    own = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    head, tail, body = own(20), own(20), own(80)
+    rows = [("wide", head + own(20) + tail), ("wide2", head + own(20) + tail), ("part", body), ("part2", body + own(60))]
+    items = spark.createDataFrame(rows, "id string, sequence string").withColumn("tokens", S.kmer_stream("sequence", 3))
+    edges = C.spanning_edges(items, "id", "tokens", 0.3, 3)
+    got = {(r.a, r.b): r.score for r in edges.collect()}
+    assert set(got) == {("wide", "wide2")} and 0.3 <= got["wide", "wide2"] < 0.66
+    by_query = C.spanning_edges(items, "id", "tokens", 0.3, 3, cov_mode=2)
+    assert {(r.a, r.b) for r in by_query.collect()} == {("wide", "wide2"), ("part", "part2")}
+
+
+def helix(n, turn=1.745, rise=1.5, wide=2.3):
+    import math
+
+    return [(wide * math.cos(turn * i), wide * math.sin(turn * i), rise * i) for i in range(n)]
+
+
+def test_like_folds_of_unlike_sequences_are_one_structure_cluster(spark):
+    from curata.plans.curate import ClusterConfig, cluster_chains
+
+    folds = {"a": ("ACDEFGHIKL" * 3, helix(30)), "b": ("MNPQRSTVWY" * 3, [(x + 0.05, y, z) for x, y, z in helix(30)]), "c": ("ACDEFGHIKM" * 3, [(3.8 * i, 0.0, 0.0) for i in range(30)])}
+    rows = [("1abc", c, s, [[list(map(float, p))] * 14 for p in t], [[True] * 14] * 30) for c, (s, t) in folds.items()]
+    chains = spark.createDataFrame(rows, "pdb string, chain string, sequence string, coords array<array<array<float>>>, atom_mask array<array<boolean>>")
+    got = {r.member[-1]: r for r in cluster_chains(chains, ClusterConfig(seq_thresholds=(0.3, 0.9))).collect()}
+    assert got["a"].foldseek_70 == got["b"].foldseek_70 != got["c"].foldseek_70
+    assert got["a"].mmseqs_30 == got["c"].mmseqs_30 != got["b"].mmseqs_30
+    assert got["a"].mmseqs_90 != got["c"].mmseqs_90
+
+
 def test_resumable_sweep_reuses_finished_steps(spark, tmp_path):
     edges = edge_table(spark, {(1, 2), (3, 4)})
     items = spark.createDataFrame([(i,) for i in range(1, 6)], "member bigint")
