@@ -6,15 +6,24 @@ most ``PARTS`` by that rule, so their counts are sent to every task; the other
 words of a text are joined with the counts by code.
 
 **Model.**  Subword ids of a public tokenizer, one layer of causal
-self-attention with ``WIDTH`` numbers per token, trained here in numpy on at
-most ``FIT_ROWS`` whole training texts (those with the lowest hash of doc_id).
-An id is predicted as three digits of base ``DIGIT`` (tiers of falling
+self-attention with ``WIDTH`` numbers per token, trained in numpy inside Spark
+tasks on all training texts.  An id is predicted as three digits of base ``DIGIT`` (tiers of falling
 frequency; sorted by spelling inside a tier), each given the digits before it,
 with the frequencies of the training texts as a starting point.  So the
 probabilities of all ids sum to one at a small cost.
 
 The ids are those of the text's lower-cased words, each after one space.
 
+**Training.**  Training texts are dealt by a hash of the row to lanes of about
+``LANE_BYTES`` of text, so there are more lanes for more text and what a lane
+holds does not depend on partitions.  Every window of every text is learned
+from once, or several times in small tables, until ``STEPS`` batches are made.
+In each of ``ROUNDS`` rounds all lanes start from the same weights and learn
+from their next windows; Spark sums what they changed, by ranges of ids, and
+the driver applies the mean: over windows, and for the numbers of an id over
+the places where the lanes met it.  The driver sees counts of ids and weights,
+never texts.  Equal rows share a lane.
+
 **Mixture.**  The probability of a word, given the words before it, is the sum
 of three parts: its share among all training tokens (weight ``COUNTED``), its
 share among the words of this text so far (weight ``REPEATED``, reached as the
@@ -50,13 +59,16 @@ from curata.llm.tables import held_out, settle, whole_text
 
 MODULUS, HELD = 7, 2
 PARTS = 1 << 20
-FIT_ROWS = 800
 WIDTH = 16
 WINDOW = 24
 OVERLAP = 4
 DIGIT = 37
 DIGITS = 3
 STEPS = 1000
+BATCH = 96
+ROUNDS = 4
+LANE_BYTES = 1 << 22
+RANGE = 1024
 FLUSH = 1 << 22
 COUNTED, REPEATED, SETTLING = 0.6, 0.2, 100
 
@@ -278,71 +290,213 @@ class Attention:
             found[target] = log
         return found
 
-    def train(self, ids: np.ndarray, ends: np.ndarray, steps: int = STEPS, batch: int = 96, rate: float = 0.02):
-        """Adam on random windows; the gradient is written out by hand."""
+    def gradients(self, tokens: np.ndarray, inside: np.ndarray, digits: np.ndarray):
+        """Of the mean loss, by name and written out by hand; for tokens, the ids met and their rows."""
+        w = self.w
+        x, q, k, v, a, o, h = self.forward(tokens)
+        states, zs = self.logits(h[inside], digits)
+        g, back, each = {}, [], np.arange(len(digits))
+        for j, z in enumerate(zs):
+            p = np.exp(z)
+            total = p @ np.ones((DIGIT, 1), np.float32)
+            if not (np.isfinite(total).all() and total.all()):
+                p = np.exp(z - z.max(1, keepdims=True))
+                total = p.sum(1, keepdims=True)
+            p /= total
+            p[each, digits[:, j]] -= 1
+            p /= len(p)
+            g[f"digit{j}"] = states[j].T @ p
+            back.append(p @ w[f"digit{j}"].T)
+        one = np.eye(DIGIT, dtype=np.float32)
+        for j in range(1, DIGITS):
+            g[f"given{j}"] = one[digits[:, j - 1]].T @ sum(back[j:])
+        dh = np.zeros_like(h)
+        dh[inside] = sum(back)
+        width = x.shape[2]
+        fold = lambda left, right: left.reshape(-1, width).T @ right.reshape(-1, width)
+        g["out"] = fold(o, dh)
+        do = dh @ w["out"].T
+        da = do @ v.transpose(0, 2, 1)
+        dv = a.transpose(0, 2, 1) @ do
+        ds = a * (da - np.einsum("bti,bti->bt", da, a)[:, :, None])
+        dq, dk = ds @ k * np.float32(width**-0.5), ds.transpose(0, 2, 1) @ q
+        g["query"], g["key"], g["value"] = fold(x, dq), fold(x, dk), fold(x, dv)
+        dx = dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
+        g["places"] = dx.sum(0)
+        flat = tokens.ravel()
+        order = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        g["tokens"] = np.add.reduceat(dx.reshape(-1, width)[order], heads)
+        return g, flat[order[heads]]
+
+    def train(
+        self, ids: np.ndarray, ends: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02,
+        order: np.ndarray | None = None, part: int = 0, parts: int = 1,
+    ):
+        """Adam on windows in that order, else on random ones; the moments of an id move when it is met.
+
+        ``part`` of ``parts`` says how far the whole training is, for the rate.
+        """
         first, text = windows(ends)
-        random = np.random.default_rng(5)
-        w, step = self.w, np.arange(WINDOW)
+        if order is None:
+            order = np.random.default_rng(5).integers(0, len(first), steps * batch)
+        w, step, length = self.w, np.arange(WINDOW), np.diff(ends) - 1
         learn = [n for n in w if not n.startswith("base")]
         m1 = {n: np.zeros_like(w[n]) for n in learn}
         m2 = {n: np.zeros_like(w[n]) for n in learn}
-        for turn in range(1, steps + 1):
-            pick = random.integers(0, len(first), batch)
-            place = first[pick, None] + step
-            length = (np.diff(ends) - 1)[text[pick], None]
-            inside = place < length
-            flat = np.minimum(place, length - 1) + ends[:-1][text[pick], None]
-            tokens = ids[flat]
-            x, q, k, v, a, o, h = self.forward(tokens)
-            digits = self.digits[ids[flat[inside] + 1]]
-            states, zs = self.logits(h[inside], digits)
-            g, back = {}, []
-            for j, z in enumerate(zs):
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(p)), digits[:, j]] -= 1
-                p /= len(p)
-                g[f"digit{j}"] = states[j].T @ p
-                back.append(p @ w[f"digit{j}"].T)
-            one = np.eye(DIGIT, dtype=np.float32)
-            for j in range(1, DIGITS):
-                g[f"given{j}"] = one[digits[:, j - 1]].T @ sum(back[j:])
-            dh = np.zeros_like(h)
-            dh[inside] = sum(back)
-            fold = lambda left, right: np.einsum("bti,btj->ij", left, right, optimize=True)
-            g["out"] = fold(o, dh)
-            do = dh @ w["out"].T
-            da = do @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ do
-            ds = a * (da - (da * a).sum(2, keepdims=True))
-            dq, dk = ds @ k * np.float32(x.shape[2] ** -0.5), ds.transpose(0, 2, 1) @ q
-            g["query"], g["key"], g["value"] = fold(x, dq), fold(x, dk), fold(x, dv)
-            dx = dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
-            g["places"] = dx.sum(0)
-            g["tokens"] = np.zeros_like(w["tokens"])
-            np.add.at(g["tokens"], tokens.ravel(), dx.reshape(-1, dx.shape[2]))
-            pace = rate * min(1.0, turn / 50) * (1 - 0.9 * turn / steps) * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-            size = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
+        turns = -(-len(order) // batch)
+        for turn in range(1, turns + 1):
+            pick = order[(turn - 1) * batch : turn * batch]
+            place, own = first[pick, None] + step, length[text[pick], None]
+            inside = place < own
+            flat = np.minimum(place, own - 1) + ends[:-1][text[pick], None]
+            g, met = self.gradients(ids[flat], inside, self.digits[ids[flat[inside] + 1]])
+            through = (part + turn / turns) / parts
+            pace = rate * min(1.0, turn / 50) * (1 - 0.9 * through) * (1 - 0.999**turn) ** 0.5 / (1 - 0.9**turn)
+            scale = np.float32(min(1.0, 1.0 / max(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())), 1e-9)))
             for n in learn:
-                g[n] = g[n] * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-                m1[n] += 0.1 * (g[n] - m1[n])
-                m2[n] += 0.001 * (g[n] ** 2 - m2[n])
-                w[n] -= (pace * m1[n] / (np.sqrt(m2[n]) + 1e-8)).astype(np.float32)
+                at = met if n == "tokens" else slice(None)
+                move = g[n] * scale
+                one, two = 0.9 * m1[n][at] + 0.1 * move, 0.999 * m2[n][at] + 0.001 * move**2
+                m1[n][at], m2[n][at] = one, two
+                w[n][at] -= pace * one / (np.sqrt(two) + 1e-8)
         return self
 
 
-def fit(docs: DataFrame, path: str, pattern: str, fit_rows: int = FIT_ROWS) -> Attention:
-    """Train on a bounded, repeatable choice of training texts."""
-    able = docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", MODULUS, HELD))
-    chosen = settle(
-        able.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(fit_rows), "lm-fit"
-    )  # at most fit_rows ids, so they may be broadcast
-    rows = able.join(F.broadcast(chosen), able["doc_id"] == chosen["_id"]).select("doc_id", whole_text().alias("text"))
-    texts = [spaced(r["text"].encode()) for r in rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()]
+def packed_lanes(training: DataFrame, path: str, pattern: str, lanes: int, kind: type) -> DataFrame:
+    """``lane, windows, ids, ends``: the texts dealt to each lane, as ids in one row."""
+    schema = pa.schema([("lane", pa.int64()), ("windows", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
+
+    def encode(batches):
+        tokens = Tokens(path, pattern)
+        part = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
+        for block in blocks(batches):
+            ids, ends = tokens.sequences([spaced(block.raw(i)) for i in range(len(block.ends) - 1)])
+            ids = ids.astype(kind)
+            yield record(part, block.rows.column("key"), [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+
+    def lay(key, table):
+        order = np.argsort(np.asarray(table.column("key")), kind="stable")
+        own = [table.column("ids")[int(i)].as_py() for i in order]
+        ends = np.cumsum([0, *(len(x) // kind().itemsize for x in own)])
+        row = [key[0].as_py()], [len(windows(ends)[0])], [b"".join(own)], [ends.tobytes()]
+        return pa.Table.from_batches([record(schema, *row)])
+
+    text = whole_text()
+    rows = training.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(encode, "key long, ids binary")
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane"), "key", "ids")
+    return dealt.groupBy("lane").applyInArrow(lay, "lane long, windows long, ids binary, ends binary")
+
+
+def in_lanes(batches, kind: type):
+    """The lane, ids and ends of each row of ``packed_lanes``."""
+    for batch in batches:
+        for lane, ids, ends in zip(*(batch.column(n) for n in ("lane", "ids", "ends"))):
+            yield lane.as_py(), np.frombuffer(ids.as_buffer(), kind).astype(np.int32), np.frombuffer(ends.as_buffer(), np.int64)
+
+
+def id_counts(lanes: DataFrame, size: int, kind: type) -> np.ndarray:
+    """How often each id stands in the lanes."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for _, ids, _ in in_lanes(batches, kind):
+            total += np.bincount(ids, minlength=size)
+        met = np.flatnonzero(total)
+        yield record(schema, met, total[met])
+
+    found = lanes.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size)
+    counts[np.asarray(found.column("id"))] = np.asarray(found.column("n"))
+    return counts
+
+
+#: What a lane changed: of the ids of one range, or (range -1) of all other weights.
+_CHANGE = pa.schema([("range", pa.int64()), ("lane", pa.int64()), ("ids", pa.binary()), ("seen", pa.binary()), ("moved", pa.binary())])
+_SUMMED = pa.schema([("range", pa.int64()), ("seen", pa.binary()), ("moved", pa.binary())])
+
+
+def other_weights(w: dict[str, np.ndarray]) -> list[str]:
+    return [n for n in sorted(w) if n != "tokens" and not n.startswith("base")]
+
+
+def one_round(lanes: DataFrame, model: Attention, part: int, passes: int, kind: type) -> Attention:
+    """All lanes learn from their next windows; the mean of what they changed is applied."""
+    shared, others = lanes.sparkSession.sparkContext.broadcast(model), other_weights(model.w)
+    width = model.w["tokens"].shape[1]
+
+    def learn(batches):
+        for lane, ids, ends in in_lanes(batches, kind):
+            old = shared.value
+            own = Attention({n: x.copy() for n, x in old.w.items()}, old.digits)
+            random, count = np.random.default_rng([5, lane]), len(windows(ends)[0])
+            order = np.concatenate([random.permutation(count) for _ in range(passes)])
+            order = order[len(order) * part // ROUNDS : len(order) * (part + 1) // ROUNDS]
+            if not len(order):
+                continue
+            own.train(ids, ends, order=order, part=part, parts=ROUNDS)
+            moved = np.concatenate([(own.w[n] - old.w[n]).ravel() for n in others])
+            yield record(_CHANGE, [-1], [lane], [b""], [np.array([len(order)], np.float64).tobytes()], [moved.tobytes()])
+            first, text = windows(ends)
+            place = first[order, None] + np.arange(WINDOW)
+            inside = place < (np.diff(ends) - 1)[text[order], None]
+            met, seen = np.unique(ids[(place + ends[:-1][text[order], None])[inside]], return_counts=True)
+            moved = own.w["tokens"][met] - old.w["tokens"][met]
+            cuts = np.flatnonzero(np.diff(met // RANGE, prepend=-1))
+            spans = list(zip(cuts, [*cuts[1:], len(met)]))
+            yield record(
+                _CHANGE, [int(met[a]) // RANGE for a, _ in spans], [lane] * len(spans), [met[a:b].astype(np.int32).tobytes() for a, b in spans],
+                [seen[a:b].astype(np.float64).tobytes() for a, b in spans], [moved[a:b].tobytes() for a, b in spans],
+            )
+
+    def add(batches):
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for at, ids, seen, moved in zip(*(batch.column(n) for n in ("range", "ids", "seen", "moved"))):
+                at, ids = at.as_py(), np.frombuffer(ids.as_py(), np.int32)
+                seen, moved = np.frombuffer(seen.as_py(), np.float64), np.frombuffer(moved.as_py(), np.float32)
+                if at not in sums:
+                    sums[at] = (np.zeros(RANGE), np.zeros((RANGE, width))) if at >= 0 else (np.zeros(1), np.zeros((1, len(moved))))
+                rows = ids % RANGE if at >= 0 else np.zeros(1, np.int64)
+                sums[at][0][rows] += seen
+                sums[at][1][rows] += seen[:, None] * moved.reshape(len(seen), -1)
+        for at, (seen, moved) in sums.items():
+            yield record(_SUMMED, [at], [seen.tobytes()], [moved.tobytes()])
+
+    changed = lanes.mapInArrow(learn, "range long, lane long, ids binary, seen binary, moved binary")
+    summed = changed.repartition("range").sortWithinPartitions("range", "lane").mapInArrow(add, "range long, seen binary, moved binary")
+    w = {n: x.copy() for n, x in model.w.items()}
+    # One row for each range of ids: no more than the model holds.
+    for row in settle(summed, "lm-round").collect():
+        seen = np.frombuffer(row["seen"], np.float64)
+        mean = np.frombuffer(row["moved"], np.float64).reshape(len(seen), -1) / np.maximum(seen, 1)[:, None]
+        if row["range"] >= 0:
+            own = w["tokens"][row["range"] * RANGE : (row["range"] + 1) * RANGE]
+            own += mean[: len(own)].astype(np.float32)
+        else:
+            ends = np.cumsum([0, *(w[n].size for n in others)])
+            for n, a, b in zip(others, ends, ends[1:]):
+                w[n] += mean[0, a:b].reshape(w[n].shape).astype(np.float32)
+    shared.destroy()
+    return Attention(w, model.digits)
+
+
+def fit(docs: DataFrame, path: str, pattern: str, steps: int = STEPS) -> Attention:
+    """Train on all training texts, in Spark."""
+    training = docs.filter(~held_out("doc_id", MODULUS, HELD))
+    # An empty text counts for one byte: it has an end to be learned.
+    size = training.agg(F.sum(F.octet_length(whole_text()) + 1)).first()[0] or 0
     tokens = Tokens(path, pattern)
-    ids, ends = tokens.sequences(texts)
-    model = Attention.start(np.bincount(ids, minlength=tokens.size + 2).astype(float), tokens.spelled)
-    return model.train(ids, ends) if texts else model
+    if not size:
+        return Attention.start(np.zeros(tokens.size + 2), tokens.spelled)
+    kind = np.uint16 if tokens.end < 1 << 16 else np.int32
+    lanes = settle(packed_lanes(training, path, pattern, -(-size // LANE_BYTES), kind), "lm-lanes")
+    model = Attention.start(id_counts(lanes, tokens.size + 2, kind), tokens.spelled)
+    passes = max(1, -(-steps * BATCH // lanes.agg(F.sum("windows")).first()[0]))
+    for part in range(ROUNDS):
+        model = one_round(lanes, model, part, passes, kind)
+    return model
 
 
 def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -267,6 +267,23 @@ def test_windows_score_each_token_once_and_training_helps():
     assert model.texts(ids, ends)[0] > 0.5 * before[0]
 
 
+def test_model_learns_from_every_training_row(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(("red", "green", "blue", f"w{i}")) for _ in range(12))) for i in range(1300)]
+    rows += [(None, "a row without an id"), rows[0], rows[0]]
+    docs = frame(spark, [(d, t, "en", "s", len(t)) for d, t in rows])
+    monkeypatch.setattr(lm_score, "LANE_BYTES", 20_000)  # several lanes
+    model, tokens = lm_score.fit(docs, PATH, PATTERN, steps=1), lm_score.Tokens(PATH, PATTERN)
+    train = [t for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 7 != 2]
+    ids, _ = tokens.sequences([lm_score.spaced(t.encode()) for t in train])
+    start = lm_score.Attention.start(np.bincount(ids, minlength=tokens.size + 2).astype(float), tokens.spelled)
+    assert all(np.allclose(model.w[n], start.w[n]) for n in ("base0", "base1", "base2"))
+    moved = (model.w["tokens"] != start.w["tokens"]).any(1)
+    assert set(np.flatnonzero(moved)) == set(ids.tolist()) - {tokens.end}
+    again = lm_score.fit(docs.repartition(5), PATH, PATTERN, steps=1)
+    assert all(np.allclose(model.w[n], again.w[n], atol=1e-5) for n in model.w)
+
+
 # --- decontamination -------------------------------------------------------
 
 
