@@ -21,7 +21,8 @@ def placements(samples: Iterator[tuple], budget: int, buffer_size: int) -> Itera
 
     Whenever the buffer is full, or nothing more arrives, the longest waiting
     sample that still fits the open batch is placed, of equal ones the latest.
-    A batch closes when not even the shortest one fits.
+    A batch closes when not even the shortest one fits.  A sample over the
+    budget opens a batch and fills it alone.
     """
     waiting: list[tuple] = []
     batch, slot, room = 0, 0, budget
@@ -31,7 +32,8 @@ def placements(samples: Iterator[tuple], budget: int, buffer_size: int) -> Itera
             return
         fitting = [s for s in waiting if s[0] <= room]
         if not fitting:
-            batch, slot, room, fitting = batch + 1, 0, budget, waiting
+            # Batch 0 is still empty when all that came first is over the budget.
+            batch, slot, room, fitting = batch + (slot > 0), 0, budget, waiting
         chosen = max(fitting, key=itemgetter(0, 1))
         waiting.remove(chosen)
         yield chosen, batch, slot
@@ -55,7 +57,8 @@ def _pack(budget: int, buffer_size: int):
 
 
 def pack_batches(
-    plan: DataFrame, batch_tokens: int = BATCH_TOKENS, buffer_size: int = BUFFER, lane: str | None = None
+    plan: DataFrame, batch_tokens: int = BATCH_TOKENS, buffer_size: int = BUFFER, lane: str | None = None,
+    alone: bool = False,
 ) -> DataFrame:
     """Batch and slot for each sample: ``batch_id, sample_idx`` added to the plan.
 
@@ -65,9 +68,10 @@ def pack_batches(
     stream; ``lane`` names an integer column that cuts it into streams with
     batches of their own, at any number of steps.
 
-    A sample longer than the budget fits no batch and is an error; crop first.
+    A sample longer than the budget fits no batch and is an error; crop first,
+    or take ``alone`` to give each of them a batch of its own.
     """
-    fits = F.when(F.col("len") <= batch_tokens, F.col("len")).otherwise(
+    fits = F.col("len") if alone else F.when(F.col("len") <= batch_tokens, F.col("len")).otherwise(
         F.raise_error(F.concat(F.lit("sample longer than the batch budget: "), F.col("sample_id").cast("string")))
     )
     lanes = plan.select(

@@ -160,22 +160,22 @@ def pack_batches(spark, folder):
 
 
 def pack_documents(spark, folder):
-    """Whole documents packed by their length, four workers."""
+    """Whole documents packed by their length, four workers; one over the budget is a batch of its own."""
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("sample_id"), F.length("text").cast("bigint").alias("len")
     )
     plan = P.assign_workers(docs, ["sample_id"], SEED, 4, mode="md5")
-    packed = K.pack_batches(plan, batch_tokens=65_536 * 4, buffer_size=32)
+    packed = K.pack_batches(plan, batch_tokens=65_536 * 4, buffer_size=32, alone=True)
     return K.batch_summary(packed)
 
 
 def pack_lanes(spark, folder):
-    """Documents packed in three lanes per worker, each with a buffer and batches of its own."""
+    """Documents packed in three lanes per worker, each with a buffer and batches of its own; so has a document over the budget."""
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("sample_id"), F.length("text").cast("bigint").alias("len")
     )
     plan = P.assign_workers(docs, ["sample_id"], SEED, 4, mode="md5").withColumn("lane", F.col("step") % 3)
-    packed = K.pack_batches(plan, batch_tokens=65_536, buffer_size=16, lane="lane")
+    packed = K.pack_batches(plan, batch_tokens=65_536, buffer_size=16, lane="lane", alone=True)
     return packed.select("sample_id", "len", "batch_id", "sample_idx")
 
 

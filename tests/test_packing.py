@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from curata.operators import packing as K
+from curata.queries import assemblies
 
 
 def rule(samples, budget, buffer_size):
@@ -86,3 +87,24 @@ def test_collate_drops_failed_samples(spark):
     row = row[0]
     assert (row.batch_id, row.labels, row.sample_idx, row.cu_seqlens) == ("b", [1, 2, 3, 4, 5], [0, 0, 1, 1, 1], [0, 2, 5])
     assert (row.max_seqlen, row.samples, row.sample_ids) == (3, 2, ["x", "z"])
+
+
+def test_a_sample_over_the_budget_is_a_batch_of_its_own(spark):
+    samples = [("x", 250), ("a", 40), ("b", 50), ("y", 101), ("c", 60), ("z", 0), ("d", 100)]
+    for buffer_size in (1, 3, 16):
+        batches = batches_of(K.pack_batches(plan(spark, samples), 100, buffer_size, alone=True))
+        assert sorted(s for b in batches for s in b) == sorted(s for s, _ in samples)
+        sizes = dict(samples)
+        assert all(len(b) == 1 or sum(sizes[s] for s in b) <= 100 for b in batches)
+    first = K.pack_batches(plan(spark, samples[:1]), 100, 8, alone=True).collect()
+    assert [(r.batch_id, r.sample_idx) for r in first] == [("0/0/0", 0)]
+
+
+def test_documents_over_the_budget_are_packed(spark, tmp_path):
+    lengths = [300_000, 70_000, 10, 20, 65_536]
+    rows = [(i, "x" * n) for i, n in enumerate(lengths)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.len for r in assemblies.pack_lanes(spark, str(tmp_path)).collect()) == sorted(lengths)
+    batches = assemblies.pack_documents(spark, str(tmp_path)).collect()
+    assert sum(r.tokens for r in batches) == sum(lengths)
+    assert all(r.tokens <= 4 * 65_536 or r.samples == 1 for r in batches)
