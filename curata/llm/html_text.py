@@ -5,7 +5,8 @@
    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
    and comments, by tag or by words in class and id, give no blocks.
 2. From the root, a page descends into the container that holds most of the
-   text until none does; that path is its vote.
+   text until none does, or to an article or main, which stays whole; that
+   path is its vote.
 3. Spark counts votes per host; the path with most pages wins, then most text.
 4. Pages are read again: their text is the blocks at or under the winning path.
    A page without that path uses its own vote.
@@ -149,7 +150,7 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float]:
-    """The deepest container that still holds most of the text, and the weight of its text."""
+    """The deepest container that still holds most of the text, none inside article or main, and the weight of its text."""
     weight: dict[str, float] = {}
     for path, text, linked in found:
         steps = path.split(">")[1:]
@@ -160,12 +161,13 @@ def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float]:
             key = "".join(">" + s for s in steps[:depth])
             weight[key] = weight.get(key, 0) + value
     path = ""
-    while True:
+    while path.rpartition(">")[2].split(".")[0] not in ("article", "main"):
         under = [k for k in weight if k.startswith(path + ">") and k.count(">") == path.count(">") + 1]
         best = max(under, key=lambda k: (weight[k], k), default=None)
         if best is None or weight[best] < SHARE * weight[path]:
-            return path, weight.get(path, 0.0)
+            break
         path = best
+    return path, weight.get(path, 0.0)
 
 
 def main_text(page: str | None, path: str | None) -> str:

@@ -426,6 +426,20 @@ def test_pages(spark):
         assert found == sorted((p[0], p[3], len(p[3])) for p in PAGES)
 
 
+def test_articles_stay_whole():
+    body = "Body text, " * 30
+    split = f"<section><p>{body}</p></section><section><p>Smaller part</p></section>"
+    for tag in ("article", "main"):
+        for page, want in (
+            (f"<h1>Title</h1><p>Lead</p><div class=body><p>{body}</p></div>", ["Title", "Lead", body.strip()]),
+            (split, [body.strip(), "Smaller part"]),
+            (f"<div class=ads>Buy</div><div class=a>{split}</div><p>End</p>", [body.strip(), "Smaller part", "End"]),
+        ):
+            page = f"<body><div class=wrap><p>Outside</p><{tag}>{page}</{tag}></div><footer>f</footer></body>"
+            assert html_text.main_text(page, None).split("\n") == want
+            assert html_text.best_path(html_text.text_blocks(page))[0].endswith(tag)
+
+
 # --- awkward rows ----------------------------------------------------------
 
 
