@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    return minhash_dedup.one_of_each(docs)
+    """One row of each group of near-duplicates stays, that with the smallest doc_id; a null one is last."""
+    return minhash_dedup.one_row_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

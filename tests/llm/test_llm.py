@@ -139,6 +139,24 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert kept == {r.doc_id for r in found if r.kept}
 
 
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(500)}" for _ in range(120)]
+    one, near = " ".join(words), " ".join(words[:-1] + ["other"])
+    rows = [(7, one, "b"), (7, one, "a"), (7, one, "a"), (7, near, "c"), (None, near, "d"), (None, one, "e"), (9, one, "f")]
+    alone = "a text that only rows without an id have, twice"
+    rows += [(None, alone, "g"), (None, alone, "g"), (1, "", "h"), (1, "", "h"), (None, None, "i"), (2, " \t\n", "j")]
+    docs = frame(spark, rows, "doc_id long, text string, _doc string")
+    first = min((one, near), key=lambda t: zlib.crc32(t.encode()) & (1 << 28) - 1)
+    want = [(7, one, "a") if first == one else (7, near, "c"), (None, alone, "g"), *rows[-4:]]
+    for parts in (1, 5):
+        kept = minhash_dedup.one_row_of_each(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def test_signatures_within_the_bound_share_an_entry():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 32, (200, minhash_dedup.SYMBOLS), dtype=np.uint32)
