@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import (
-    byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, sharding, suffix_dedup, toxicity, vector_search,
+    byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, sharding, suffix_dedup, token_files, toxicity,
+    vector_search,
 )
 from curata.llm.tables import read
 
@@ -55,6 +56,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.digest(read(spark, folder, "documents"))
 
 
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.digest(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +73,7 @@ QUERIES = {
         op8_byte_level_bpe,
         op9_html_extraction,
         op10_language_id,
+        op12_token_files,
     )
 }
 
