@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import (
     byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, sharding, suffix_dedup, token_files, toxicity,
-    vector_search,
+    vector_search, whitening,
 )
 from curata.llm.tables import read
 
@@ -60,6 +60,10 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op9_html_extraction,
         op10_language_id,
         op12_token_files,
+        op13_embedding_whitening,
     )
 }
 
