@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import (
-    byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, sharding, suffix_dedup, token_files, toxicity,
-    vector_search, whitening,
+    byte_bpe, decontaminate, html_text, language_id, lm_score, minhash_dedup, prefix_trie, sharding, suffix_dedup, token_files,
+    toxicity, vector_search, whitening,
 )
 from curata.llm.tables import read
 
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.digest(read(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.digest(read(spark, folder, "conversations"))
+
+
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -77,6 +81,7 @@ QUERIES = {
         op8_byte_level_bpe,
         op9_html_extraction,
         op10_language_id,
+        op11_prefix_trie,
         op12_token_files,
         op13_embedding_whitening,
     )
@@ -118,4 +123,5 @@ SQL = {
     "op1_suffix_array_dedup": _OP1,
     "op2_minhash_near_dedup": _OP2,
     "op5_decontamination": decontaminate.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
