@@ -100,15 +100,17 @@ def outcome_counts(df: DataFrame, status: str = "status") -> DataFrame:
     )
 
 
+def first_failed(checks: dict[str, Column]) -> Column:
+    """The name of the first check that fails or gives null, or null."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+
+
 def split_rejects(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that pass every check, and the others with the first failed check.
 
     A check that gives null counts as failed, so ``try_*`` expressions turn
     unreadable values into rejects instead of ending the job.
     """
-    reason = F.coalesce(
-        *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]
-    )
-    marked = df.withColumn("reject_reason", reason)
+    marked = df.withColumn("reject_reason", first_failed(checks))
     good = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return good, marked.filter(F.col("reject_reason").isNotNull())

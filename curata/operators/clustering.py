@@ -19,7 +19,7 @@ from curata.operators.ordered import top_per_group
 from curata.schema import cluster_column
 from curata.session import stage, stage_once
 
-SET_COVER, COMPONENTS, BY_LENGTH = "set_cover", "components", "by_length"
+SET_COVER, COMPONENTS, BY_LENGTH, BY_CLASS = "set_cover", "components", "by_length", "by_length_class"
 
 
 # --- candidates -----------------------------------------------------------
@@ -109,6 +109,13 @@ def spanning_edges(
     """
     sets = items.select(item, F.array_distinct(tokens).alias("_set"))
     found = pairs.similar_pairs(sets, [], item, "_set", at_least, identity_mode)
+    return covering(found, items, item, tokens, width, coverage, cov_mode, min_aln_len)
+
+
+def covering(
+    found: DataFrame, items: DataFrame, item: str, tokens: str, width: int, coverage: float = 0.8, cov_mode: int = 0, min_aln_len: int = 0
+) -> DataFrame:
+    """The pairs ``a, b, score`` whose common stretch covers enough; see ``spanning_edges``."""
     side = lambda name, t: items.select(F.col(item).alias(name), F.col(tokens).alias(t))
     both = found.join(side("a", "_oa"), "a").join(side("b", "_ob"), "b")
     spans = both.withColumns({"_sa": spanned("_oa", "_ob", width), "_sb": spanned("_ob", "_oa", width)})
@@ -236,11 +243,26 @@ def greedy_by_length(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     Rounds grow with the logarithm among equal lengths, but with the longest
     path along which lengths fall.
     """
+    return _greedy(edges, lengths.select("v", "len"))
+
+
+def greedy_by_class(edges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``greedy_by_length`` by classes of length, the powers of two.
+
+    The class decides, then the hash: among items whose lengths differ by less
+    than two times, any may be first.  So a path along which lengths fall
+    slowly is broken at random places, and rounds grow with the logarithm of
+    its length and the number of classes.
+    """
+    size = F.when(F.col("len") >= 1, F.floor(F.log2(F.col("len").cast("double")))).otherwise(F.lit(-1))
+    return _greedy(edges, lengths.select("v", size.cast("long").alias("len")))
+
+
+def _greedy(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The sequential rule for nodes by ``len``, the hash and the id, as many as possible in a round."""
     all_edges = stage(symmetric(edges), "gl-edges")
     order = _descending_ids(all_edges)
-    nodes = stage(
-        order.join(lengths, "v").select("v", F.struct("len", "_tie", "_down").alias("_p")), "gl-nodes"
-    )
+    nodes = stage(order.join(ranks, "v").select("v", F.struct("len", "_tie", "_down").alias("_p")), "gl-nodes")
     edges, alive, parts = all_edges, nodes, []
     while not alive.isEmpty():
         top = _highest_near(edges, alive, "_p", "_p1")
@@ -284,18 +306,22 @@ def reassign(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: Clusterings by name: functions of edges and lengths that give ``member, rep`` of all nodes with edges.
+MODES = {
+    SET_COVER: lambda edges, lengths: set_cover(edges),
+    COMPONENTS: lambda edges, lengths: connected_components(edges),
+    BY_LENGTH: greedy_by_length,
+    BY_CLASS: greedy_by_class,
+}
+
+
 def cluster(
     edges: DataFrame, items: DataFrame, mode: str = SET_COVER, lengths: DataFrame | None = None, reassign_members: bool = False
 ) -> DataFrame:
     """``member, rep`` for all ``items`` (column ``member``)."""
-    if mode == SET_COVER:
-        found = set_cover(edges)
-    elif mode == COMPONENTS:
-        found = connected_components(edges)
-    elif mode == BY_LENGTH:
-        found = greedy_by_length(edges, lengths)
-    else:
-        raise ValueError(f"unknown cluster mode {mode!r}")
+    if mode not in MODES:
+        raise ValueError(f"unknown cluster mode {mode!r}; known: {sorted(MODES)}")
+    found = MODES[mode](edges, lengths)
     if reassign_members:
         found = reassign(found, edges)
     return items.join(found, "member", "left").withColumn("rep", F.coalesce("rep", "member"))

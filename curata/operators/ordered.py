@@ -13,11 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curata.functions.hashing import col, sort_hash
+from curata.session import stage
 
 # Spark limits each group before the shuffle when the wanted rank is at most
 # spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
 GROUP_LIMIT = 1000
 SALTS = 256
+#: Rows of a range that one task orders.
+PIECE_ROWS = 100_000
 
 
 def _ranked(df: DataFrame, by, order, k: int, rank: str) -> DataFrame:
@@ -71,22 +74,38 @@ def running_total(df: DataFrame, by, axis: str, value: str, out: str, width: int
     )
 
 
-def previous_value(df: DataFrame, by, axis: str, tie, value: str, out: str, width: int) -> DataFrame:
-    """``lag(value)`` per group ordered by (axis, tie), cut into segments of the axis."""
+def in_pieces(df: DataFrame, order, rows: int = PIECE_ROWS) -> DataFrame:
+    """Add ``_piece``: numbers of ranges of about ``rows`` rows in this order, whatever the values are.
+
+    Written once, so every reader sees the same pieces.  Rows that are equal
+    in all of ``order`` may fall to neighbouring pieces.
+    """
+    pieces = df.count() // rows + 1
+    ranged = df.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id())
+    return stage(ranged, "pieces")
+
+
+def previous_value(df: DataFrame, by, axis: str, tie, value: str, out: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """``lag(value)`` per group ordered by (axis, tie).
+
+    Rows are cut into ranges bounded by their number, so a group, or one value
+    of the axis, with a third of all rows is many tasks; the last row of each
+    group in a range is carried to the next range that has the group.
+    """
     by, tie = list(by), list(tie)
-    df = df.withColumn("_segment", F.floor(F.col(axis) / F.lit(width)))
-    last = df.groupBy(*by, "_segment").agg(
+    df = in_pieces(df, [*by, axis, *tie], rows)
+    last = df.groupBy(*by, "_piece").agg(
         F.max(F.struct(axis, *tie, F.col(value).alias("_last"))).alias("_end")
     )
     previous = last.withColumn(
-        "_carried", F.lag("_end._last").over(W.partitionBy(*by).orderBy("_segment"))
+        "_carried", F.lag("_end._last").over(W.partitionBy(*by).orderBy("_piece"))
     ).drop("_end")
-    local = W.partitionBy(*by, "_segment").orderBy(axis, *tie)
+    local = W.partitionBy(*by, "_piece").orderBy(axis, *tie)
     return (
-        attach_by_key(df, previous, [*by, "_segment"])
+        attach_by_key(df, previous, [*by, "_piece"])
         .withColumn("_row", F.row_number().over(local))
         .withColumn(out, F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.lag(value).over(local)))
-        .drop("_segment", "_carried", "_row")
+        .drop("_piece", "_carried", "_row")
     )
 
 

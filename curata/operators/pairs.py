@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from curata.functions.hashing import col
 from curata.session import stage
@@ -112,49 +113,94 @@ def overlap_score(a, b, over: int = UNION) -> Column:
     return shared / [x + y - shared, F.least(x, y), F.greatest(x, y)][over]
 
 
+#: Holders of a token that one task pairs; a token with more is cut into salts.
+HOT = 2_000
+
+
+def needed(large, small, at_least: float, over: int) -> Column:
+    """How many tokens two sets of these sizes must share."""
+    t = F.lit(at_least)
+    share = [t / (1 + t) * (large + small), t * small, t * large][over]
+    return F.ceil(share - 1e-9)
+
+
+def occurrences(sets: DataFrame, by, at_least: float, over: int = UNION) -> DataFrame:
+    """``_id, _n, _token, _df, _left`` of the tokens through which a set can meet another.
+
+    ``sets`` has ``_id, _n, _tokens``.  Tokens stand in order of rarity, and
+    tokens of one set only are left out: nothing meets there.  ``_left`` counts
+    the shared tokens from this one on.  A pair whose first common token is
+    this one shares at most ``_left`` tokens, so a token stays only while that
+    is enough for the smallest partner that a set may have.
+    """
+    by = list(by)
+    rows = sets.select(*by, "_id", "_n", F.explode("_tokens").alias("_token"))
+    counts = rows.groupBy(*by, "_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    ordered = rows.join(counts, [*by, "_token"]).groupBy(*by, "_id", "_n").agg(
+        F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_sorted")
+    )
+    # The rank of a token in its own set: bounded by the set.
+    placed = ordered.select(*by, "_id", "_n", F.size("_sorted").alias("_k"), F.posexplode("_sorted").alias("_rank", "_p"))
+    left = F.col("_k") - F.col("_rank")
+    least = F.lit(1) if over == SMALLER else F.ceil(F.lit(at_least) * F.col("_n") - 1e-9)
+    return placed.select(
+        *by, "_id", "_n", F.col("_p._token").alias("_token"), F.col("_p._df").alias("_df"), left.alias("_left")
+    ).filter(left >= least)
+
+
+def candidate_pairs(large: DataFrame, small: DataFrame, by, at_least: float, over: int = UNION) -> DataFrame:
+    """``_x, _y``: pairs of ``occurrences`` rows of one token that may qualify, the larger set first, repeats included.
+
+    The smaller set of a pair needs a shorter prefix than the larger: its own
+    size twice, not the sum, bounds what must be shared.  So a token that comes
+    late in every set meets nothing.  Each met pair also has to share enough
+    by the tokens left on both sides.  Rows of a frequent token are cut by salt
+    on the larger side and repeated for each salt on the smaller.
+    """
+    by = list(by)
+    salts = F.ceil(F.col("_df") / HOT).cast("int")
+    probing = large.select(
+        *by, "_token", F.col("_id").alias("_x"), F.col("_n").alias("_nx"), F.col("_left").alias("_lx"),
+        F.pmod(F.xxhash64("_id"), salts).cast("int").alias("_salt"),
+    )
+    shortest = small.filter(F.col("_left") >= needed(F.col("_n"), F.col("_n"), at_least, over))
+    filed = shortest.select(
+        *by, "_token", F.col("_id").alias("_y"), F.col("_n").alias("_ny"), F.col("_left").alias("_ly"),
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"),
+    )
+    enough = F.least("_lx", "_ly") >= needed(F.col("_nx"), F.col("_ny"), at_least, over)
+    ordered = (F.col("_ny") < F.col("_nx")) | ((F.col("_ny") == F.col("_nx")) & (F.col("_y") < F.col("_x")))
+    return probing.join(filed, [*by, "_token", "_salt"]).filter(ordered & enough)
+
+
 def similar_pairs(df: DataFrame, by, item: str, tokens: str, at_least: float, over: int = UNION) -> DataFrame:
     """Pairs ``a < b`` within a group whose token sets overlap by at least ``at_least``.
 
     ``over`` names the denominator (``overlap_score``); the union makes it the Jaccard.
 
-    Exact: with tokens in order of rarity, sets A and B of the wanted
-    similarity share one of the first ``|A| - ceil(t |A|) + 1`` tokens of A and
-    likewise of B.  (Over the smaller set only the smaller one has that prefix;
-    it meets every token of the larger.)  Frequent tokens come last, so a token held by a third of
-    all rows joins only where a set has hardly any other.  Give distinct
-    entities (see ``collapse_copies``), or copies meet pairwise.
+    Exact: with tokens in order of rarity, the first common token of a pair
+    that qualifies has at least the needed number of tokens from it on, in both
+    sets.  ``occurrences`` and ``candidate_pairs`` keep what that leaves;
+    frequent tokens come last, so one held by a third of all rows joins only
+    where a set has hardly any other.  Give distinct entities (see
+    ``collapse_copies``), or copies meet pairwise.
     """
     if not 0 < at_least <= 1:
         raise ValueError("similar_pairs needs a threshold above 0")
     by = list(by)
     sets = df.select(*by, F.col(item).alias("_id"), F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"))
-    rows = sets.select(*by, "_id", "_n", F.explode("_tokens").alias("_token"))
-    counts = rows.groupBy(*by, "_token").agg(F.count(F.lit(1)).alias("_df"))
-    # A prefix position is the rank of a token in its own set: bounded by the set.
-    ordered = rows.join(counts, [*by, "_token"]).groupBy(*by, "_id", "_n").agg(
-        F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_sorted")
-    )
-    keep = (F.col("_n") - F.ceil(F.lit(at_least) * F.col("_n") - 1e-9) + 1).cast("int")
-    prefix = ordered.select(
-        *by, "_id", "_n", F.explode(F.slice("_sorted", F.lit(1), keep)).alias("_p")
-    ).filter("_p._df > 1")
-    prefix = stage(prefix.select(*by, "_id", "_n", F.col("_p._token").alias("_token")), "prefix")
-    left = prefix.select(*by, "_token", F.col("_id").alias("a"), F.col("_n").alias("_na"))
-    right = (rows if over == SMALLER else prefix).select(*by, "_token", F.col("_id").alias("b"), F.col("_n").alias("_nb"))
-    met = left.join(right, [*by, "_token"])
-    if over == SMALLER:
-        met = met.filter("a <> b AND _na <= _nb").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    else:
-        met = (
-            met.filter("a < b")
-            .filter((F.col("_na") >= F.lit(at_least) * F.col("_nb") - 1e-9))
-            .filter((F.col("_nb") >= F.lit(at_least) * F.col("_na") - 1e-9))
-        )
-    candidates = met.select(*by, "a", "b").distinct()
-    side = lambda name, t: sets.select(*by, F.col("_id").alias(name), F.col("_tokens").alias(t))
+    rows = stage(occurrences(sets, by, at_least, over), "prefix")
+    met = candidate_pairs(rows, rows, by, at_least, over)
+    candidates = met.select(*by, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    return scored_pairs(candidates, sets, sets, by, at_least, over)
+
+
+def scored_pairs(candidates: DataFrame, left: DataFrame, right: DataFrame, by, at_least: float, over: int = UNION) -> DataFrame:
+    """Candidates ``a, b`` with their exact ``score``, where it reaches the threshold."""
+    side = lambda sets, name, t: sets.select(*by, F.col("_id").alias(name), F.col("_tokens").alias(t))
     return (
-        candidates.join(side("a", "_ta"), [*by, "a"])
-        .join(side("b", "_tb"), [*by, "b"])
+        candidates.join(side(left, "a", "_ta"), [*by, "a"])
+        .join(side(right, "b", "_tb"), [*by, "b"])
         .withColumn("score", overlap_score("_ta", "_tb", over))
         .filter(F.col("score") >= at_least)
         .select(*by, "a", "b", "score")
@@ -213,13 +259,13 @@ def record_matrix(directed: DataFrame, members: DataFrame, by) -> DataFrame:
     return joined.select(*by, bind(pairs, build).alias("matrix"))
 
 
-def shape_tokens(trace, bin_width: float = 2.0, reach: int = 4) -> Column:
-    """Hashes of the local shape at each position of a flat CA trace.
+def shape_words(trace, bin_width: float = 2.0, reach: int = 4) -> Column:
+    """Hashes of the local shape at each position of a flat CA trace, in order, two a position.
 
     The shape at a residue is its distances to the next ``reach`` residues but
     the first, in bins.  Two grids, half a bin apart, are used, so that a small
-    shift changes one token of a residue but seldom both.  Traces of up to
-    ``reach`` residues have no token.
+    change of coordinates changes one word of a residue but seldom both.
+    Traces of up to ``reach`` residues have no word.
     """
     def at(t, i, axis):
         return F.get(t, i * 3 + axis)
@@ -229,7 +275,7 @@ def shape_tokens(trace, bin_width: float = 2.0, reach: int = 4) -> Column:
         for step in range(2, reach + 1):
             square = sum((at(t, i + step, x) - at(t, i, x)) * (at(t, i + step, x) - at(t, i, x)) for x in range(3))
             bins.append(F.floor(F.sqrt(square) / F.lit(bin_width) + F.lit(grid / 2)))
-        return F.xxhash64(i, F.lit(grid), *bins)
+        return F.xxhash64(F.lit(grid), *bins)
 
     def build(t):
         places = F.sequence(F.lit(0), F.floor(F.size(t) / 3).cast("int") - reach - 1)
@@ -239,6 +285,57 @@ def shape_tokens(trace, bin_width: float = 2.0, reach: int = 4) -> Column:
     return bind(trace, build)
 
 
+def shape_sets(worded: DataFrame, by, item: str, words: str) -> DataFrame:
+    """``tokens`` of each item: its words, each with a running number among equal ones.
+
+    So two traces share as many tokens as they share words with their
+    multiplicity, wherever the words stand.
+    """
+    by = [*by, item]
+    counted = worded.select(*by, F.explode(words).alias("_w")).groupBy(*by, "_w").agg(F.count(F.lit(1)).cast("int").alias("_k"))
+    single = counted.select(*by, F.explode(F.transform(F.sequence(F.lit(1), "_k"), lambda k: F.xxhash64("_w", k))).alias("_t"))
+    return single.groupBy(*by).agg(F.collect_list("_t").alias("tokens"))
+
+
+@F.pandas_udf(IntegerType())
+def best_offset(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The shift of ``b`` against ``a`` at which most words are equal; ties: the least shift, then the lower.
+
+    A vote for each diagonal; all words of a diagonal are compared at once.
+    """
+    def one(x, y) -> int:
+        x, y = (np.asarray(w, dtype=np.int64).reshape(-1, 2) for w in (x, y))
+        best = (0, 0, 0)
+        for shift in range(1 - len(x), len(y)):
+            low = max(0, -shift)
+            high = min(len(x), len(y) - shift)
+            votes = int((x[low:high] == y[low + shift : high + shift]).sum())
+            best = min(best, (-votes, abs(shift), shift))
+        return best[2]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def with_offsets(pairs: DataFrame, worded: DataFrame, by, item: str, words: str) -> DataFrame:
+    """Add ``offset``: position i of ``a`` answers position i + offset of ``b``."""
+    side = lambda name, t: worded.select(*by, F.col(item).alias(name), F.col(words).alias(t))
+    both = pairs.join(side("a", "_wa"), [*by, "a"]).join(side("b", "_wb"), [*by, "b"])
+    return both.withColumn("offset", best_offset("_wa", "_wb")).drop("_wa", "_wb")
+
+
+def shifted_pairs(worded: DataFrame, by, item: str, words: str, at_least: float) -> DataFrame:
+    """``a, b, offset`` of items that share enough of their words, wherever these stand."""
+    found = similar_pairs(shape_sets(worded, by, item, words), by, item, "tokens", at_least)
+    return with_offsets(found.drop("score"), worded, by, item, words)
+
+
+def aligned(trace, offset) -> Column:
+    """A flat trace moved so that its residue ``offset`` comes first; missing ones are NaN."""
+    t, o = col(trace), col(offset)
+    later = F.slice(t, 3 * o + 1, F.greatest(F.size(t) - 3 * o, F.lit(0)))
+    return F.when(o >= 0, later).otherwise(F.concat(F.array_repeat(F.lit(float("nan")), -3 * o), t))
+
+
 def lddt_kernel(radius: float = 15.0, block: int = 512):
     """An Arrow function: superposition-free similarity of two CA traces.
 
@@ -279,6 +376,7 @@ def structure_scores(
 
     Pairs whose cheap ``score`` reaches ``skip_at`` count as 1.0 both ways;
     only the others, those without a ``score`` too, meet their coordinates.
+    Where ``pairs`` have an ``offset`` (null counts as 0), the chains are compared at it.
     """
     scorer = scorer or lddt_kernel(radius)
     alike = F.coalesce(F.col("score") >= skip_at, F.lit(False))
@@ -286,12 +384,15 @@ def structure_scores(
         {"score_ab": F.lit(1.0), "score_ba": F.lit(1.0)}
     )
     side = lambda name, t: chains.select(*by, F.col(item).alias(name), F.col(trace).alias(t))
+    both = pairs.filter(~alike).join(side("a", "_xa"), [*by, "a"]).join(side("b", "_xb"), [*by, "b"])
+    moved = {"_ya": F.col("_xa"), "_yb": F.col("_xb")}
+    if "offset" in pairs.columns:
+        shift = F.coalesce("offset", F.lit(0))
+        moved = {"_ya": aligned("_xa", -shift), "_yb": aligned("_xb", shift)}
     hard = (
-        pairs.filter(~alike)
-        .join(side("a", "_xa"), [*by, "a"])
-        .join(side("b", "_xb"), [*by, "b"])
-        .withColumn("score_ab", scorer("_xa", "_xb"))
-        .withColumn("score_ba", scorer("_xb", "_xa"))
-        .drop("_xa", "_xb")
+        both.withColumns(moved)
+        .withColumn("score_ab", scorer("_xa", "_yb"))
+        .withColumn("score_ba", scorer("_xb", "_ya"))
+        .drop("_xa", "_xb", "_ya", "_yb")
     )
     return easy.unionByName(hard)

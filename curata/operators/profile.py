@@ -165,9 +165,9 @@ def concurrency_timeline(
     # At most one row per stage and second; written, as four passes read it.
     deltas = stage_table(edges.groupBy(stage, "second").agg(F.sum("_d").alias("_d")), "edges")
     levels = running_total(deltas, [stage], "second", "_d", "active", width)
-    # The level holds until the next edge; segments make the lookahead bounded.
+    # The level holds until the next edge.
     backwards = levels.withColumn("_back", -F.col("second"))
-    until = previous_value(backwards, [stage], "_back", [], "second", "_next", width)
+    until = previous_value(backwards, [stage], "_back", [], "second", "_next")
     return until.filter("active > 0").select(
         stage, F.explode(F.sequence(F.col("second"), F.col("_next") - 1)).alias("second"), "active"
     )
@@ -180,7 +180,7 @@ def timeline_pivot(timeline: DataFrame, stage: str, stages) -> DataFrame:
 
 
 def rate_per_second(
-    df: DataFrame, by, time: str, value: str, tie=(), interval=None, scale: float = 1.0, width: int = 86_400
+    df: DataFrame, by, time: str, value: str, tie=(), interval=None, scale: float = 1.0
 ) -> DataFrame:
     """Change against the previous sample of a series, per unit of time.
 
@@ -188,7 +188,7 @@ def rate_per_second(
     samples.  The first sample of a series has no rate.
     """
     now = F.struct(F.col(value).alias("value"), F.col(time).alias("time"))
-    df = previous_value(df.withColumn("_now", now), by, time, tie, "_now", "_last", width)
+    df = previous_value(df.withColumn("_now", now), by, time, tie, "_now", "_last")
     change = F.col(value) - F.col("_last.value")
     if interval is None:
         span = F.nullif(F.col(time) - F.col("_last.time"), F.lit(0))

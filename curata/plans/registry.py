@@ -1,4 +1,4 @@
-"""Named functions a user can extend: constructs, metrics, masks and schedules.
+"""Named functions a user can extend: constructs, metrics, masks, schedules, clusterings and sources.
 
 Names are checked when a plan is built.  Nothing is global state: registering
 a function adds a name, and a plan that names it uses it.
@@ -10,13 +10,17 @@ from collections.abc import Callable
 
 from curata.functions.noise import SCHEDULES
 from curata.operators.assembly import CONSTRUCTS
+from curata.operators.clustering import MODES
 from curata.operators.metrics import MASKS, METRICS
+from curata.sources.mmcif import SOURCES
 
 KINDS: dict[str, dict[str, Callable]] = {
     "construct": CONSTRUCTS,  # DataFrame of placed residues -> DataFrame of inputs
     "metric": METRICS,  # column names -> Column
     "mask": MASKS,  # column names -> MaskGroup
     "schedule": SCHEDULES,  # (t, max_t, rate) -> Column
+    "cluster": MODES,  # (edges, lengths) -> DataFrame of member, rep
+    "source": SOURCES,  # (session, location) -> DataFrame of path, content, is_refined
 }
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curata.functions.hashing import below
 from curata.operators import clustering as C
+from curata.operators import growing as G
 from curata.operators import pairs as S
 from curata.queries.common import table, wide_table
 from curata.session import stage, staging_path
@@ -12,43 +14,48 @@ from curata.session import stage, staging_path
 WORDS = 3
 SELECT = 20
 LINK = 0.5
+LOOSE = 0.1
 OVERLAP = 0.3
 SWEEP = (0.3, 0.5, 0.8)
 POINTS = 21
 SCALE = 20.0
 RADIUS = 6.0
 SKIP = 0.6
+CUT = 5
 
 
-def _prepared(spark, folder):
-    """Documents with hashed word shingles and the selected ones, shingled once."""
-    docs = wide_table(spark, folder, "documents").select("doc_id", "source", S.word_shingles("text", WORDS).alias("_t"))
-    rows = docs.select(
-        "doc_id",
-        "source",
-        S.token_hashes("_t").alias("tokens"),
-        F.size("_t").alias("size"),
-        C.selected_tokens("_t", SELECT, "md5").alias("selected"),
-    )
-    return stage(rows, "shingles")
-
-
-def _star_pairs(docs):
-    return C.star_candidates(docs, "doc_id", "selected", "size")
+def _shingled(spark, folder):
+    """Documents with hashed word shingles."""
+    docs = wide_table(spark, folder, "documents").select("doc_id", S.word_shingles("text", WORDS).alias("_t"))
+    return docs.select("doc_id", "_t", S.token_hashes("_t").alias("tokens"), F.size("_t").alias("size"))
 
 
 def star_candidates(spark, folder):
     """Each document with the largest document of every shingle it selects."""
-    return _star_pairs(_prepared(spark, folder))
+    docs = _shingled(spark, folder).withColumn("selected", C.selected_tokens("_t", SELECT, "md5"))
+    return C.star_candidates(stage(docs.select("doc_id", "size", "selected"), "selected"), "doc_id", "selected", "size")
+
+
+def _distinct(spark, folder):
+    """Shingles of the first document of each text, and all documents with that one as ``rep``."""
+    named = stage(collapse_copies(spark, folder), "named")
+    firsts = named.filter("doc_id = rep").select("doc_id")
+    docs = _shingled(spark, folder).drop("_t").join(firsts, "doc_id", "left_semi")
+    return stage(docs, "shingles"), named
+
+
+def _edges(docs, at_least=LINK):
+    """All pairs of documents that share enough shingles."""
+    return S.similar_pairs(docs, [], "doc_id", "tokens", at_least)
 
 
 def _scored(spark, folder):
-    docs = _prepared(spark, folder)
-    return C.shared_tokens(_star_pairs(docs), docs, "doc_id", "tokens")
+    docs, _ = _distinct(spark, folder)
+    return C.shared_tokens(_edges(docs, LOOSE).select("a", "b"), docs, "doc_id", "tokens")
 
 
 def candidate_scores(spark, folder):
-    """Identity by three denominators and coverage in three modes."""
+    """Identity by three denominators and coverage in three modes, of distinct texts that overlap."""
     scored = _scored(spark, folder)
     return scored.select(
         "a",
@@ -60,46 +67,77 @@ def candidate_scores(spark, folder):
 
 
 def top_candidates(spark, folder):
-    """The three best candidates of each document."""
+    """The three best partners of each distinct text."""
     scored = _scored(spark, folder).withColumn("score", C.identity_score())
-    return C.cap_candidates(scored, 3).select("a", "b", "shared")
+    swapped = scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "score")
+    return C.cap_candidates(scored.select(*swapped.columns).unionByName(swapped), 3).select("a", "b", "shared")
 
 
-def _edges(spark, folder, at_least=LINK):
-    scored = _scored(spark, folder).withColumn("score", C.identity_score())
-    return scored.filter(F.col("score") >= at_least).select("a", "b", "score")
+def _items(docs):
+    return docs.select(F.col("doc_id").alias("member"))
 
 
-def _items(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("member"))
+def _with_copies(clusters, named):
+    """Copies go where the first document of their text goes."""
+    found = clusters.withColumnRenamed("member", "first")
+    return named.select(F.col("doc_id").alias("member"), F.col("rep").alias("first")).join(found, "first").drop("first")
 
 
 def dedup_components(spark, folder):
-    return C.cluster(_edges(spark, folder), _items(spark, folder), C.COMPONENTS)
+    docs, named = _distinct(spark, folder)
+    return _with_copies(C.cluster(_edges(docs), _items(docs), C.COMPONENTS), named)
+
+
+def curate_resume(spark, folder):
+    """``dedup_components`` of documents that arrive in two batches: pairs from a stored index, components merged."""
+    index, labels, given = G.TokenIndex(staging_path(spark, "grown"), LINK), None, []
+    first = below(0.5, 7, "doc_id", mode="md5")
+    for arrived in (first, ~first):
+        docs = wide_table(spark, folder, "documents").filter(arrived)
+        shingles = docs.select("doc_id", C.content_key("text").alias("content"), S.word_shingles("text", WORDS).alias("_t"))
+        batch = stage(shingles.select("doc_id", "content", S.token_hashes("_t").alias("tokens")), "arrived")
+        given.append(batch.select("doc_id", "content"))
+        new = batch.dropDuplicates(["content"])
+        if labels is not None:
+            new = new.join(index.known(spark).withColumnRenamed("_id", "content"), "content", "left_anti")
+        labels = stage(G.merged_components(labels, index.add(new, "content", "tokens")), "labels")
+    docs = given[0].unionByName(given[1])
+    labelled = docs.join(labels, F.col("content") == F.col("member"), "left").withColumn("label", F.coalesce("rep", "content"))
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("first"))
+    return labelled.select("doc_id", "label").join(smallest, "label").select(F.col("doc_id").alias("member"), F.col("first").alias("rep"))
+
+
+def greedy_by_class(spark, folder):
+    """Longest class of lengths first, any of a class."""
+    docs, named = _distinct(spark, folder)
+    lengths = table(spark, folder, "documents").select(F.col("doc_id").alias("v"), F.col("n_chars").alias("len"))
+    return _with_copies(C.cluster(_edges(docs), _items(docs), C.BY_CLASS, lengths), named)
 
 
 def set_cover(spark, folder):
-    return C.cluster(_edges(spark, folder), _items(spark, folder), C.SET_COVER)
+    docs, named = _distinct(spark, folder)
+    return _with_copies(C.cluster(_edges(docs), _items(docs), C.SET_COVER), named)
 
 
 def greedy_by_length(spark, folder):
+    docs, named = _distinct(spark, folder)
     lengths = table(spark, folder, "documents").select(F.col("doc_id").alias("v"), F.col("n_chars").alias("len"))
-    return C.cluster(_edges(spark, folder), _items(spark, folder), C.BY_LENGTH, lengths)
+    return _with_copies(C.cluster(_edges(docs), _items(docs), C.BY_LENGTH, lengths), named)
 
 
 def reassigned(spark, folder):
     """Components at a loose threshold, members moved to the representative they match best."""
-    edges = stage(_edges(spark, folder, 0.1), "edges")
-    return C.reassign(C.cluster(edges, _items(spark, folder), C.COMPONENTS), edges)
+    docs, named = _distinct(spark, folder)
+    edges = stage(_edges(docs, LOOSE), "edges")
+    return _with_copies(C.reassign(C.cluster(edges, _items(docs), C.COMPONENTS), edges), named)
 
 
 def threshold_sweep(spark, folder):
     """Scored once, one cluster column per threshold, finished steps kept and reused."""
     path = staging_path(spark, "sweep")
-    items = _items(spark, folder)
-    return C.resumable_sweep(
-        spark, path, lambda: _edges(spark, folder, SWEEP[0]), items, SWEEP, "mmseqs", C.COMPONENTS
-    )
+    docs, named = _distinct(spark, folder)
+    swept = C.resumable_sweep(spark, path, lambda: _edges(docs, SWEEP[0]), _items(docs), SWEEP, "mmseqs", C.COMPONENTS)
+    return _with_copies(swept, named)
 
 
 def cluster_thresholds(spark, folder):
@@ -123,7 +161,7 @@ def collapse_copies(spark, folder):
 
 def similar_pairs(spark, folder):
     """Distinct documents of one language whose shingle sets overlap."""
-    docs = _prepared(spark, folder).join(collapse_copies(spark, folder), "doc_id").filter("doc_id = rep")
+    docs, _ = _distinct(spark, folder)
     lang = table(spark, folder, "documents").select("doc_id", "lang")
     pairs = S.similar_pairs(docs.join(lang, "doc_id"), ["lang"], "doc_id", "tokens", OVERLAP)
     return pairs.withColumn("score", F.round("score", 6))
@@ -188,13 +226,34 @@ def lddt_pairs(spark, folder):
     return scored.select("a", "b", *[F.round(c, 6).alias(c) for c in ("score", "score_ab", "score_ba")])
 
 
+def shifted_structures(spark, folder):
+    """Every vector as a trace, and once more without its first points: pairs of like shape, wherever it stands.
+
+    The last number of a vector, which fills no point, scales its trace.
+    """
+    scale = (F.element_at("embedding", -1).cast("double") + 1) * SCALE
+    points = F.slice("embedding", 1, POINTS * 3)
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", F.zip_with(points, F.array_repeat(scale, POINTS * 3), lambda x, s: x.cast("double") * s).alias("trace")
+    )
+    cut = vectors.select((F.col("vec_id") * 2 + 1).alias("chain"), F.slice("trace", 3 * CUT + 1, POINTS * 3).alias("trace"))
+    chains = stage(vectors.select((F.col("vec_id") * 2).alias("chain"), "trace").unionByName(cut), "traces")
+    worded = stage(chains.select("chain", S.shape_words("trace").alias("words")), "words")
+    pairs = S.shifted_pairs(worded, [], "chain", "words", OVERLAP).withColumn("score", F.lit(None).cast("double"))
+    scored = S.structure_scores(pairs, chains, [], "chain", "trace", radius=RADIUS)
+    return scored.select("a", "b", "offset", *[F.round(c, 6).alias(c) for c in ("score_ab", "score_ba")])
+
+
 QUERIES = {
+    "shifted_structures": shifted_structures,
     "star_candidates": star_candidates,
     "candidate_scores": candidate_scores,
     "top_candidates": top_candidates,
     "dedup_components": dedup_components,
     "set_cover": set_cover,
     "greedy_by_length": greedy_by_length,
+    "greedy_by_class": greedy_by_class,
+    "curate_resume": curate_resume,
     "reassigned_clusters": reassigned,
     "threshold_sweep": threshold_sweep,
     "cluster_thresholds": cluster_thresholds,
@@ -214,9 +273,11 @@ _stars = f"""{_docs},
 sel AS MATERIALIZED (SELECT doc_id AS a, len(tokens) AS size, unnest(list_sort(list_transform(tokens, lambda t: md5(t)))[1:{SELECT}]) AS tok FROM docs),
 centre AS (SELECT tok, a AS b FROM sel QUALIFY row_number() OVER (PARTITION BY tok ORDER BY size DESC, a) = 1),
 cand AS MATERIALIZED (SELECT DISTINCT sel.a, centre.b FROM sel JOIN centre USING (tok) WHERE sel.a <> centre.b)"""
-_scores = f"""{_stars},
-sc AS MATERIALIZED (SELECT a, b, len(x.tokens) AS size_a, len(y.tokens) AS size_b, len(list_intersect(x.tokens, y.tokens)) AS shared
-  FROM cand JOIN docs x ON x.doc_id = a JOIN docs y ON y.doc_id = b)"""
+_named = "named AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM documents)"
+_scores = f"""{_docs}, {_named},
+tok AS MATERIALIZED (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS tok FROM docs WHERE doc_id IN (SELECT rep FROM named)),
+sc AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS size_a, any_value(y.n) AS size_b, count(*) AS shared
+  FROM tok x JOIN tok y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)"""
 
 
 def _components(name: str, at_least: float) -> str:
@@ -224,13 +285,13 @@ def _components(name: str, at_least: float) -> str:
     return f"""
 {name}_e AS MATERIALIZED (SELECT a, b FROM sc WHERE shared / (size_a + size_b - shared) >= {at_least}::DOUBLE
   UNION SELECT b, a FROM sc WHERE shared / (size_a + size_b - shared) >= {at_least}::DOUBLE),
-{name}_r AS (SELECT doc_id AS member, doc_id AS seen FROM documents
+{name}_r AS (SELECT DISTINCT rep AS member, rep AS seen FROM named
   UNION SELECT r.member, e.b FROM {name}_r r JOIN {name}_e e ON e.a = r.seen),
 {name} AS MATERIALIZED (SELECT member, min(seen) AS rep FROM {name}_r GROUP BY member)"""
 
 
 _spanned = rf"""
-named AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM documents),
+{_named},
 parts AS (SELECT doc_id, regexp_split_to_array(trim(lower(text)), '\s+') AS w FROM documents WHERE doc_id IN (SELECT rep FROM named)),
 stream AS (SELECT doc_id, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) AS i, w FROM parts),
 place AS (SELECT doc_id, i, array_to_string(w[i:i + {WORDS - 1}], ' ') AS tok FROM stream),
@@ -290,30 +351,58 @@ run AS (
       row_number() OVER (PARTITION BY run.step ORDER BY {order}) AS place
     FROM run JOIN e ON NOT list_contains(run.done, e.a) AND NOT list_contains(run.done, e.b)
     JOIN documents d ON d.doc_id = e.a GROUP BY run.step, run.done, e.a, d.n_chars) WHERE place = 1)
-SELECT doc_id AS member, coalesce(rep, doc_id) AS rep FROM documents
-LEFT JOIN (SELECT rep, unnest(taken) AS member FROM run WHERE step > 0) ON member = doc_id"""
-
+SELECT doc_id AS member, coalesce(t.rep, named.rep) AS rep FROM named
+LEFT JOIN (SELECT rep, unnest(taken) AS member FROM run WHERE step > 0) t ON t.member = named.rep"""
+
+
+_shapes = f"""
+tr AS (SELECT vec_id, i, embedding[3 * i + 1]::DOUBLE * sc AS x, embedding[3 * i + 2]::DOUBLE * sc AS y, embedding[3 * i + 3]::DOUBLE * sc AS z
+  FROM (SELECT *, (embedding[64]::DOUBLE + 1) * {SCALE} AS sc FROM embeddings), range({POINTS}) AS r(i)),
+ch AS MATERIALIZED (SELECT vec_id * 2 AS c, i, x, y, z FROM tr UNION ALL SELECT vec_id * 2 + 1, i - {CUT}, x, y, z FROM tr WHERE i >= {CUT}),
+ds AS MATERIALIZED (SELECT p.c, p.i, q.i AS j, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS d
+  FROM ch p JOIN ch q ON p.c = q.c AND p.i <> q.i),
+wd AS MATERIALIZED (SELECT x.c, x.i, g, concat_ws(':', g, floor(x.d / 2 + g / 2), floor(y.d / 2 + g / 2), floor(z.d / 2 + g / 2)) AS w
+  FROM ds x JOIN ds y ON y.c = x.c AND y.i = x.i AND y.j = x.i + 3 JOIN ds z ON z.c = x.c AND z.i = x.i AND z.j = x.i + 4, range(2) AS r(g)
+  WHERE x.j = x.i + 2),
+mt AS MATERIALIZED (SELECT c, w, row_number() OVER (PARTITION BY c, w ORDER BY i) AS k, count(*) OVER (PARTITION BY c) AS n FROM wd),
+lk AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM mt x JOIN mt y ON x.w = y.w AND x.k = y.k AND x.c < y.c GROUP BY x.c, y.c
+  HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= {OVERLAP}::DOUBLE),
+vt AS MATERIALIZED (SELECT a, b, y.i - x.i AS o FROM lk JOIN wd x ON x.c = a JOIN wd y ON y.c = b AND y.w = x.w GROUP BY a, b, y.i - x.i
+  QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY count(*) DESC, abs(y.i - x.i), y.i - x.i) = 1)"""
+_kept = lambda one, two, sign: f"""(SELECT CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE coalesce(sum((abs(s.d - t.d) < 0.5)::INT + (abs(s.d - t.d) < 1)::INT
+    + (abs(s.d - t.d) < 2)::INT + (abs(s.d - t.d) < 4)::INT), 0) / (4.0::DOUBLE * count(*)) END
+  FROM ds s LEFT JOIN ds t ON t.c = vt.{two} AND t.i = s.i {sign} vt.o AND t.j = s.j {sign} vt.o WHERE s.c = vt.{one} AND s.d < {RADIUS})"""
 
 SQL = {
+    "shifted_structures": f"""WITH {_shapes}
+SELECT a, b, CAST(o AS INTEGER) AS "offset", round({_kept("a", "b", "+")}, 6) AS score_ab, round({_kept("b", "a", "-")}, 6) AS score_ba FROM vt""",
     "set_cover": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("count(*) DESC, md5('0:' || e.a) DESC, e.a")}",
     "greedy_by_length": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("d.n_chars DESC, md5('0:' || e.a) DESC, e.a")}",
+    "greedy_by_class": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("CASE WHEN d.n_chars >= 1 THEN floor(log2(d.n_chars)) ELSE -1 END DESC, md5('0:' || e.a) DESC, e.a")}",
     "star_candidates": f"WITH {_stars} SELECT a, b FROM cand",
     "candidate_scores": f"""WITH {_scores}
 SELECT a, b, CAST(shared AS INTEGER) AS shared, round(shared / (size_a + size_b - shared), 6) AS identity_0,
   round(shared / least(size_a, size_b), 6) AS identity_1, round(shared / greatest(size_a, size_b), 6) AS identity_2,
   shared / size_a >= 0.8::DOUBLE AND shared / size_b >= 0.8::DOUBLE AND shared >= 5 AS covered_0,
-  shared / size_b >= 0.8::DOUBLE AND shared >= 5 AS covered_1, shared / size_a >= 0.8::DOUBLE AND shared >= 5 AS covered_2 FROM sc""",
-    "top_candidates": f"""WITH {_scores}
-SELECT a, b, CAST(shared AS INTEGER) AS shared FROM sc
-QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared / (size_a + size_b - shared) DESC, b) <= 3""",
-    "dedup_components": f"WITH RECURSIVE {_scores}, {_components('c', LINK)} SELECT member, rep FROM c",
-    "reassigned_clusters": f"""WITH RECURSIVE {_scores}, {_components('c', 0.1)},
+  shared / size_b >= 0.8::DOUBLE AND shared >= 5 AS covered_1, shared / size_a >= 0.8::DOUBLE AND shared >= 5 AS covered_2
+FROM sc WHERE shared / (size_a + size_b - shared) >= {LOOSE}::DOUBLE""",
+    "top_candidates": f"""WITH {_scores},
+dir AS (SELECT a, b, shared, shared / (size_a + size_b - shared) AS score FROM sc UNION ALL SELECT b, a, shared, shared / (size_a + size_b - shared) FROM sc)
+SELECT a, b, CAST(shared AS INTEGER) AS shared FROM dir WHERE score >= {LOOSE}::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 3""",
+    "dedup_components": f"""WITH RECURSIVE {_scores}, {_components('c', LINK)}
+SELECT doc_id AS member, c.rep FROM named JOIN c ON c.member = named.rep""",
+    "curate_resume": f"""WITH RECURSIVE {_scores}, {_components('c', LINK)}
+SELECT doc_id AS member, c.rep FROM named JOIN c ON c.member = named.rep""",
+    "reassigned_clusters": f"""WITH RECURSIVE {_scores}, {_components('c', LOOSE)},
 dir AS (SELECT a, b, shared / (size_a + size_b - shared) AS score FROM sc UNION ALL SELECT b, a, shared / (size_a + size_b - shared) FROM sc),
-best AS (SELECT a, b FROM dir WHERE score >= 0.1::DOUBLE AND b IN (SELECT rep FROM c) QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
-SELECT member, CASE WHEN member = rep THEN rep ELSE coalesce(best.b, rep) END AS rep FROM c LEFT JOIN best ON best.a = member""",
+best AS (SELECT a, b FROM dir WHERE score >= {LOOSE}::DOUBLE AND b IN (SELECT rep FROM c) QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+SELECT doc_id AS member, CASE WHEN c.member = c.rep THEN c.rep ELSE coalesce(best.b, c.rep) END AS rep
+FROM named JOIN c ON c.member = named.rep LEFT JOIN best ON best.a = c.member""",
     "threshold_sweep": "WITH RECURSIVE "
     + ", ".join([_scores, *[_components(f"c{round(t * 100)}", t) for t in SWEEP]])
-    + " SELECT c30.member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80 FROM c30 JOIN c50 USING (member) JOIN c80 USING (member)",
+    + " SELECT doc_id AS member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80 FROM named JOIN c30 ON c30.member = named.rep"
+    + " JOIN c50 ON c50.member = named.rep JOIN c80 ON c80.member = named.rep",
     "cluster_thresholds": "WITH RECURSIVE "
     + ", ".join([_spanned, *[_linked_at(f"c{round(t * 100)}", t) for t in SWEEP]])
     + " SELECT doc_id AS member, c30.rep AS mmseqs_30, c50.rep AS mmseqs_50, c80.rep AS mmseqs_80"

@@ -39,8 +39,8 @@ def stream_running_metrics(spark, folder):
         F.lit(2).cast("bigint").alias("n"),
         F.col("event_id").alias("batch_id"),
     )
-    I.run_available(I.start_updates(I.running_metrics(rows), path))
-    out = I.latest(spark, path, ["key", "reduction"])
+    I.run_available(I.start_updates(I.running_metrics(rows), path, ["key", "reduction"]))
+    out = I.latest(spark, path)
     return out.select("key", "reduction", F.round("value", 6).alias("value"))
 
 
@@ -54,9 +54,11 @@ def stream_activity(spark, folder):
     spans = _timed(spark, folder).withColumn(
         "until", F.timestamp_micros(F.unix_micros("ts") + F.floor("value") * F.lit(1_000_000))
     )
-    I.run_available(I.start_append(I.stage_activity(spans, "event_type", "ts", "until", f"{DELAY} seconds"), path))
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.select("event_type", epoch_seconds(F.col("second").cast("timestamp_ntz")).alias("second"), "active")
+    edges = I.stage_activity(spans, "event_type", "ts", "until", f"{DELAY} seconds")
+    done = I.run_available(I.start_append(edges, path))
+    rows = I.activity_levels(spark.read.parquet(f"{path}/data"), "event_type", I.watermark(done) or 0)
+    wall = epoch_seconds(F.timestamp_seconds("second").cast("timestamp_ntz"))
+    return rows.select("event_type", wall.alias("second"), "active")
 
 
 def stream_bursts(spark, folder):

@@ -42,6 +42,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _labelled(refined: bool):
+    return lambda spark, location: read_text(spark, location).withColumn("is_refined", F.lit(refined))
+
+
+#: Readers of structure files by name: functions of the session and a location.
+SOURCES = {"deposited": _labelled(False), "refined": _labelled(True)}
+
+
 def _tokens(line: Column) -> Column:
     """Fields of a line; the quote-aware pattern only runs on lines with quotes."""
     quoted = F.transform(
