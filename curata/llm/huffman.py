@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 
-#: Ids packed at a time; bits start anew on a byte after so many.
+#: Ids packed at a time.
 PIECE = 1 << 20
 
 
@@ -75,50 +75,77 @@ class Code:
     def checksum(self) -> int:
         return zlib.crc32(np.trim_zeros(self.bits, "b").tobytes())
 
-    def pack(self, ids: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
-        """The bits of ``ids`` and the bit offset of each block of ``block`` ids."""
+    def pack(self, ids: np.ndarray, totals: np.ndarray, block: int) -> list[tuple[bytes, np.ndarray]]:
+        """The bits of each text of ``totals`` ids, and the bit offset of each block of ``block`` ids in them."""
         step = max(1, PIECE // block) * block
-        parts, offsets, before = [], [], 0
-        for first in range(0, len(ids), step):
-            part = ids[first : first + step]
-            width = self.bits[part].astype(np.int64)
-            if not width.all():
-                raise ValueError("an id without a code")
-            ends = np.cumsum(width)
-            starts = ends - width
-            offsets.append(starts[::block] + before)
-            words = int(ends[-1]) + 63 >> 5
-            shifted = self.codes[part].astype(np.uint64) << (64 - width - (starts & 31)).astype(np.uint64)
-            at = starts >> 5
-            #: Bits of different codes never meet, and sums below 2**53 are exact.
-            high = np.bincount(at, (shifted >> np.uint64(32)).astype(np.float64), words + 1)
-            low = np.bincount(at + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)
-            size = int(ends[-1]) + 7 >> 3
-            parts.append((high + low).astype(np.uint64).astype(">u4").tobytes()[:size])
-            before += 8 * size
-        return b"".join(parts), np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
+        totals = np.asarray(totals, np.int64)
+        pieces = np.maximum(1, -(-totals // step))
+        text = np.repeat(np.arange(len(totals)), pieces)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        sizes = np.minimum(step, totals[text] - place * step)
+        until = np.cumsum(sizes)
+        out: list[tuple[bytes, np.ndarray]] = []
+        first = 0
+        while first < len(text):
+            begin = int(until[first] - sizes[first])
+            last = max(first + 1, int(np.searchsorted(until, begin + PIECE, "right")))
+            packed = self._packed(ids[begin : int(until[last - 1])], sizes[first:last], block)
+            for number, (bits, offsets) in zip(place[first:last].tolist(), packed):
+                if number:
+                    head, before = out[-1]
+                    out[-1] = head + bits, np.concatenate([before, offsets + 8 * len(head)])
+                else:
+                    out.append((bits, offsets))
+            first = last
+        return out
+
+    def _packed(self, ids: np.ndarray, sizes: np.ndarray, block: int) -> list[tuple[bytes, np.ndarray]]:
+        """Pieces side by side, each from a byte of its own."""
+        width = self.bits[ids].astype(np.int64)
+        if not width.all():
+            raise ValueError("an id without a code")
+        ends = np.concatenate([[0], np.cumsum(width)])
+        begins = np.cumsum(sizes) - sizes
+        used = ends[begins + sizes] - ends[begins] + 7 >> 3
+        bases = np.cumsum(used) - used
+        starts = ends[:-1] + np.repeat(8 * bases - ends[begins], sizes)
+        shifted = self.codes[ids].astype(np.uint64) << (64 - width - (starts & 31)).astype(np.uint64)
+        at, words = starts >> 5, int(used.sum()) + 7 >> 2
+        # Bits of different codes never meet, and sums below 2**53 are exact.
+        high = np.bincount(at, (shifted >> np.uint64(32)).astype(np.float64), words)
+        low = np.bincount(at + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
+        data = (high + low).astype(np.uint64).astype(">u4").tobytes()
+        blocks = -(-sizes // block)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        offsets = starts[begins[owner] + inside * block] - 8 * bases[owner]
+        cut = np.split(offsets, np.cumsum(blocks)[:-1])
+        return [(data[b : b + n], o) for b, n, o in zip(bases.tolist(), used.tolist(), cut)]
 
-    def unpack(self, data: bytes, offsets: np.ndarray, n: int, block: int) -> np.ndarray:
-        """The ``n`` ids behind ``offsets``: all blocks advance together, one lookup an id and step."""
+    def unpack(self, data, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids of blocks at these bit offsets (rising), ``counts`` of each: all advance together, one lookup an id."""
         raw = np.frombuffer(data, np.uint8)
-        out = np.zeros(n, np.uint32)
-        lanes = max(1, PIECE // block)
+        lanes = max(1, 4 * PIECE // max(1, int(counts.max(initial=1))))
+        out = [np.zeros(0, np.uint32)]
         for first in range(0, len(offsets), lanes):
-            own = offsets[first : first + lanes]
+            own, size = offsets[first : first + lanes], counts[first : first + lanes]
             low = int(own[0]) >> 3
             high = int(offsets[first + lanes]) + 7 >> 3 if first + lanes < len(offsets) else len(raw)
             part = np.concatenate([raw[low:high], np.zeros(8, np.uint8)]).astype(np.uint32)
             window = part[:-3] << 24 | part[1:-2] << 16 | part[2:-1] << 8 | part[3:]
-            position = own.astype(np.int64) - 8 * low
-            count = min(n - first * block, len(own) * block)
-            rows = np.zeros((len(own), block), np.uint32)
-            last = count - (len(own) - 1) * block
-            for i in range(min(block, count)):
-                if i == last:
-                    position = position[:-1]
+            order = np.argsort(-size, kind="stable")
+            position = own[order].astype(np.int64) - 8 * low
+            most = int(size.max())
+            active = len(own) - np.searchsorted(size[order][::-1], np.arange(most), "right")
+            found = np.zeros((most, len(own)), np.uint32)
+            for i, n in enumerate(active.tolist()):
+                position = position[:n]
                 shift = (32 - self.limit - (position & 7)).astype(np.uint32)
                 index = window[position >> 3] >> shift & np.uint32((1 << self.limit) - 1)
-                rows[: len(position), i] = self.symbols[index]
+                found[i, :n] = self.symbols[index]
                 position = position + self.widths[index]
-            out[first * block : first * block + count] = rows.reshape(-1)[:count]
-        return out
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            rows = found.T[back]
+            out.append(rows[np.arange(most) < size[:, None]])
+        return np.concatenate(out)
