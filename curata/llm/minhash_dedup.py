@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from curata.llm.kernels import (
     NOT_BLANK, U64, Block, Rolling, blocks, longs, lowered, mix, per_text, record, word_bounds,
 )
-from curata.llm.tables import NULL_ID, fresh, identified, keys, packed, settle, unpacked, whole_text
+from curata.llm.tables import NULL_IDS, identified, keys, packed, settle, unpacked, whole_text
 from curata.operators.clustering import connected_components
 
 WORDS = 4
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = connected_components(links(docs, digest))
     named = digest.select("_doc", "_tag", "n", "node")
     lowest = (
-        named.filter(f"n > 0 AND _doc <> {NULL_ID}").groupBy("node").agg(F.min("_doc").alias("lo"))
+        named.filter(f"n > 0 AND _doc >= {NULL_IDS}").groupBy("node").agg(F.min("_doc").alias("lo"))
         .join(joined.select(F.col("member").alias("node"), "rep"), "node", "left")
         .withColumn("rep", F.coalesce("rep", "node"))
     )
@@ -264,11 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = lowest.join(linked, "rep").groupBy("rep").agg(F.min("lo").alias("least"))
     answer = lowest.join(least, "rep", "left").select("node", F.coalesce("least", "lo").alias("component_id"))
     return named.join(answer, "node", "left").select(
-        F.when(F.col("_doc") != NULL_ID, F.col("_doc")).alias("doc_id"),
+        F.when(F.col("_doc") >= NULL_IDS, F.col("_doc")).alias("doc_id"),
         "_tag",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id"))
-        .otherwise(F.when(F.col("_doc") != NULL_ID, F.col("_doc")))
+        .otherwise(F.when(F.col("_doc") >= NULL_IDS, F.col("_doc")))
         .alias("component_id"),
     )
 
@@ -283,32 +283,23 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """All rows of the documents to keep; equal rows, and rows without a doc_id, all stay."""
-    found = near_duplicates(docs)
-    keep = found.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    keep = keep.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept_doc"), F.col("_tag").alias("_kept_tag")).distinct()
-    names, (doc, tag) = [fresh(docs, "_doc"), fresh(docs, "_tag")], keys()
-    tagged = docs.withColumns(dict(zip(names, (doc, tag))))
-    same = (tagged[names[0]] == keep["_kept_doc"]) & (tagged[names[1]] == keep["_kept_tag"])
-    return tagged.join(keep, same, "left_semi").drop(*names)
-
-
 def one_row_of_each(docs: DataFrame) -> DataFrame:
     """Exactly one row of each component: the smallest by doc_id (null last), tag of the text, and all values.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay.  A column of maps
+    does not count among the values; of rows equal but for it, any one stays.
     """
     digest = settle(digests(docs), "minhash-digests")
     joined = connected_components(links(docs, digest)).select(F.col("member").alias("node"), "rep")
-    first = F.struct((F.col("_doc") == NULL_ID).alias("without_id"), "_doc", "_tag")
+    first = F.struct((F.col("_doc") < NULL_IDS).alias("without_id"), "_doc", "_tag")
     lowest = digest.filter("n > 0").groupBy("node").agg(F.min(first).alias("r")).join(joined, "node", "left")
     keep = lowest.groupBy(F.coalesce("rep", "node").alias("rep")).agg(F.min("r").alias("r"))
     keep = keep.select(F.col("r._doc").alias("_kept_doc"), F.col("r._tag").alias("_kept_tag"))
     # The bytes of NOT_BLANK; a character beyond ASCII has none of the others.
     worded = whole_text().rlike(r"[^\x20\x09-\x0D]")
     (doc, tag), row = keys(), F.struct(*[docs[c] for c in docs.columns])
+    ordered = F.struct(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind])
     # Repeats of a row meet inside tasks first, so a hot one is one row per task.
-    rows = docs.filter(worded).groupBy(doc.alias("_doc"), tag.alias("_tag")).agg(F.min(row).alias("row"))
+    rows = docs.filter(worded).groupBy(doc.alias("_doc"), tag.alias("_tag")).agg(F.min_by(row, ordered).alias("row"))
     same = (F.col("_doc") == F.col("_kept_doc")) & (F.col("_tag") == F.col("_kept_tag"))
     return docs.filter(~worded).unionByName(rows.join(keep, same, "left_semi").select("row.*"))

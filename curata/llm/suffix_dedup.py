@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.kernels import U64, Rolling, blocks, longs, record, sliding_min
-from curata.llm.tables import NULL_ID, fresh, identified, keys, packed, settle, unpacked
+from curata.llm.tables import NULL_IDS, fresh, identified, keys, packed, settle, unpacked
 
 LENGTH = 100
 SEED = 32
@@ -424,7 +424,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
 def digest(removed: DataFrame) -> DataFrame:
     """The registered form of ``remove_repeats``: counts and a checksum."""
     return removed.select(
-        F.when(F.col("_doc") != NULL_ID, F.col("_doc")).alias("doc_id"),
+        F.when(F.col("_doc") >= NULL_IDS, F.col("_doc")).alias("doc_id"),
         "n_bytes",
         F.coalesce(
             F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0)

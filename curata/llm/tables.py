@@ -12,8 +12,9 @@ from curata.session import stage
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: A null doc_id sorts before every other one.
+#: Rows without a doc_id stand below this number, before every other one.
 NULL_ID = -(1 << 63)
+NULL_IDS = NULL_ID + (1 << 55)
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,18 +51,19 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def keys() -> tuple[Column, Column]:
-    """The id (null as the smallest) and 28 bits of the text's crc32."""
+    """The id and 28 bits of the text's crc32; for a null id, 55 bits of another hash from the smallest number on."""
+    without = F.xxhash64(whole_text()).bitwiseAND(F.lit((1 << 55) - 1)) + F.lit(NULL_ID)
     return (
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+        F.coalesce(F.col("doc_id").cast("long"), without),
         F.crc32(whole_text().cast("binary")).bitwiseAND(F.lit((1 << 28) - 1)),
     )
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``_doc, _tag, text``: the id (null as the smallest) and 28 bits of the text's crc32.
+    """``_doc, _tag, text``: see ``keys``.
 
-    The pair tells rows that repeat a doc_id with another text apart; equal
-    rows share it and get equal results.
+    The pair tells rows apart that repeat a doc_id with another text (by 28
+    bits) or have none (by 83); equal rows share it and get equal results.
     """
     doc, tag = keys()
     return docs.select(doc.alias("_doc"), tag.alias("_tag"), whole_text().alias("text"))
