@@ -89,17 +89,20 @@ def _candidates(rows: DataFrame, sizes: list[int], hashes: list[int] | None) ->
     )
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def hits(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, row: str | None = None
+) -> DataFrame:
     """``_row, doc_id, n_words, at, size, items``: the verified windows of each document.
 
-    Every document also has one row with null ``at``.
+    Every document also has one row with null ``at``.  ``row`` names a column
+    that numbers the rows; without it they are numbered here.
     """
     known = settle(benchmark_windows(items, window), "benchmark-windows")
     sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").limit(window).collect()]
     small = known.limit(max_set + 1).count() <= max_set
     hashes = [r["probe"] for r in known.select("probe").distinct().limit(max_set).collect()] if small else None
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), words(whole_text()).alias("w")
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.col("doc_id"), words(whole_text()).alias("w")
     )
     found = _candidates(rows, sizes, hashes)
     side = known.select("size", "window", "items")
@@ -145,11 +148,13 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a hit word, with all their columns.
 
     The test runs inside each row where the set of windows is small, so texts
-    do not move; the ids of hit rows, not the texts, are what is joined.
+    do not move; the numbers of hit rows, not the texts, are what is joined.
+    Rows are numbered once, in a staged table, as two readings of an input may
+    number them differently.
     """
     name = fresh(docs, "_row")
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    hit = contamination(docs, items, **options).filter("n_hit > 0").select(F.col("_row").alias(name))
+    numbered = settle(docs.withColumn(name, F.monotonically_increasing_id()), "decontaminate-rows")
+    hit = contamination(numbered, items, row=name, **options).filter("n_hit > 0").select(F.col("_row").alias(name))
     return numbered.join(hit, name, "left_anti").select(*docs.columns)
 
 

@@ -135,7 +135,7 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = minhash_dedup.digest(minhash_dedup.near_duplicates(docs)).collect()
     assert {r.doc_id: tuple(r)[1:] for r in found} == components(rows)
-    kept = {r.doc_id for r in minhash_dedup.one_of_each(docs).collect()}
+    kept = {r.doc_id for r in minhash_dedup.one_row_of_each(docs).collect()}
     assert kept == {r.doc_id for r in found if r.kept}
 
 
@@ -467,7 +467,7 @@ def test_odd_rows(spark, odd, labels, items):
     assert len(cut) == n and all(r.n_removed == 0 for r in cut if r.doc_id != 4)
     near = minhash_dedup.digest(minhash_dedup.near_duplicates(odd)).collect()
     assert len(near) == n and all(r.kept for r in near)
-    assert minhash_dedup.one_of_each(odd).count() == n
+    assert minhash_dedup.one_row_of_each(odd).count() == n - 1
     shards = sharding.digest(sharding.assign(odd)).collect()
     assert len(shards) == n and sum(r["size"] for r in shards) == sum(len((r[1] or "").encode()) + 1 for r in ODD)
     scored = lm_score.scores(odd, PATH, PATTERN).collect()
@@ -484,7 +484,7 @@ def test_odd_rows(spark, odd, labels, items):
 def test_clashing_columns_survive_the_stages(spark, odd, labels, items):
     model = toxicity.fit(odd, labels)
     for out in (
-        toxicity.without_toxic(odd, model), minhash_dedup.one_of_each(odd), suffix_dedup.without_repeats(odd),
+        toxicity.without_toxic(odd, model), minhash_dedup.one_row_of_each(odd), suffix_dedup.without_repeats(odd),
         decontaminate.clean_documents(odd, items),
     ):
         assert out.columns == odd.columns
@@ -538,3 +538,57 @@ def test_pipeline_equals_brute_force(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
         assert docs.columns == names
+
+
+# --- identity of rows ---------------------------------------------------------
+
+
+def clashing(n=90_000):
+    """Texts of five words of which some pairs share 28 bits of their crc32."""
+    seen, pairs = {}, []
+    for i in range(n):
+        text = f"word{i} second{i} third{i} fourth{i} fifth{i}"
+        tag = zlib.crc32(text.encode()) & ((1 << 28) - 1)
+        if tag in seen:
+            pairs.append((seen[tag], text))
+        seen[tag] = text
+    return pairs
+
+
+def test_unlike_rows_without_an_id_are_told_apart(spark):
+    pairs = clashing()
+    assert pairs
+    rows = [(None, t, "en", "s", len(t)) for pair in pairs for t in pair]
+    df = frame(spark, rows)
+    assert minhash_dedup.one_row_of_each(df).count() == len(rows)
+    found = minhash_dedup.digest(minhash_dedup.near_duplicates(df)).collect()
+    assert len(found) == len(rows) and all(r.n_shingles == 2 and r.doc_id is None for r in found)
+    cut = suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()
+    assert sorted(r.n_bytes for r in cut) == sorted(len(r[1]) for r in rows) and all(r.doc_id is None for r in cut)
+
+
+def test_contaminated_rows_go_however_the_input_is_dealt(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(i, f"{passage} and {i}" if i in (17, 200) else f"plain text number {i} of many", "en", "s", 1) for i in range(300)]
+    items = spark.createDataFrame([("b", passage)], "item_id string, text string")
+    kept = decontaminate.clean_documents(frame(spark, rows).repartition(3), items)
+    assert {r.doc_id for r in kept.collect()} == set(range(300)) - {17, 200}
+
+
+def test_near_dedup_keeps_map_columns(spark):
+    df = frame(spark, [(1, "one two three four five", "en", "s", 1), (2, "one two three four five", "en", "s", 1)])
+    kept = minhash_dedup.one_row_of_each(df.withColumn("extra", F.create_map(F.lit("a"), F.col("doc_id"))))
+    assert [(r.doc_id, r.extra) for r in kept.collect()] == [(1, {"a": 1})]
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_take_empty_tables_and_odd_rows(spark, odd, tmp_path, kind):
+    docs = odd if kind == "odd" else odd.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "nothing of this stands in any text at all today")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == (0 if kind == "empty" else len({r for r in out}))
+    if kind == "odd":
+        # The rows of document 3 with the listed word go; all others are unlike, and three have no words.
+        assert sorted(str(r.doc_id) for r in out) == ["1", "2", "3", "4", "5", "None"]
