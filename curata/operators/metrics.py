@@ -27,7 +27,10 @@ METRICS: dict[str, Callable[..., Column]] = {
         L.label_probability(logits, label, mask)
     ),
     "identity": lambda x="x", mask="loss_mask": F.col(x).cast("double"),
+    "entries": lambda x="logits", mask="loss_mask": F.transform(x, lambda v: v.cast("double")),
 }
+#: Functions that give an array per token: only their extremes over all entries are reported.
+ARRAYS = ("entries",)
 
 MASKS: dict[str, Callable[..., M.MaskGroup]] = {
     "pass_mask": M.pass_mask,
@@ -67,6 +70,8 @@ class Term:
         unknown = set(self.reductions) - set(REDUCTIONS)
         if unknown:
             raise ValueError(f"unknown reductions {sorted(unknown)}")
+        if self.fn in ARRAYS and set(self.reductions) - {"max", "min"}:
+            raise ValueError(f"{self.fn!r} has a max and a min only")
 
 
 def sequence_terms(*masks: Mask) -> list[Term]:
@@ -78,18 +83,39 @@ def sequence_terms(*masks: Mask) -> list[Term]:
     ]
 
 
+MAGNITUDES = "magnitudes"
+
+
 def presets(max_seq_size: int = 1024, max_t: int = 1024) -> dict[str, list[Term]]:
+    """Terms by name.  ``combined`` puts several together; ``magnitudes`` has none of its own."""
+    per_label, masked = Mask("per_label_masks"), Mask("pass_mask")
+    by_length = Mask("binned_masks", {"max_seq_len": max_seq_size, "num_bins": 4})
+    by_time = Mask("timestep_binned_masks", {"max_timestep": max_t, "num_bins": 4})
     return {
         "plain": sequence_terms(),
-        "per_label": sequence_terms(Mask("per_label_masks")),
-        "seq_len_binned": sequence_terms(Mask("binned_masks", {"max_seq_len": max_seq_size, "num_bins": 4})),
-        "timestep_binned": sequence_terms(
-            Mask("timestep_binned_masks", {"max_timestep": max_t, "num_bins": 4})
-        ),
-        "masked": sequence_terms(Mask("pass_mask")),
+        "per_label": sequence_terms(per_label),
+        "seq_len_binned": sequence_terms(by_length),
+        "timestep_binned": sequence_terms(by_time),
+        "masked": sequence_terms(masked),
+        "per_label_seq_len_binned": sequence_terms(per_label, by_length),
+        "masked_timestep_binned": sequence_terms(masked, by_time),
+        "outliers": [Term("logits", "entries", ("max", "min"))],
+        MAGNITUDES: [],
     }
 
 
+def combined(names: str, **sizes) -> tuple[list[Term], bool]:
+    """The terms of presets joined by ``+``, and whether magnitudes are among them."""
+    known, parts = presets(**sizes), names.split("+")
+    unknown = sorted(set(parts) - set(known))
+    if unknown:
+        raise ValueError(f"unknown presets {unknown}; known: {sorted(known)}")
+    terms = [t for part in parts for t in known[part]]
+    if len({t.name for t in terms}) < len(terms):
+        raise ValueError(f"presets {names!r} repeat a term")
+    return terms, MAGNITUDES in parts
+
+
 def masked_reduction(value, mask, reduction: str) -> tuple[Column, Column]:
     """Aggregates ``(stored value, count)`` of one reduction over the masked rows.
 
@@ -150,9 +176,9 @@ def batch_metrics(
     aggregates = [F.count(F.lit(1)).alias("_tokens")]
     for t in terms:
         used = {"sum" if r == "mean" else r for r in t.reductions}
-        for how, agg in (("sum", F.sum), ("max", F.max), ("min", F.min)):
+        for how, agg, entry in (("sum", F.sum, None), ("max", F.max, F.array_max), ("min", F.min, F.array_min)):
             if how in used:
-                aggregates.append(agg(t.name).alias(f"{t.name}__{how}"))
+                aggregates.append(agg(entry(t.name) if t.fn in ARRAYS else t.name).alias(f"{t.name}__{how}"))
         if "last" in used:
             if not order:
                 raise ValueError("the reduction 'last' needs an order column")

@@ -336,6 +336,17 @@ def aligned(trace, offset) -> Column:
     return F.when(o >= 0, later).otherwise(F.concat(F.array_repeat(F.lit(float("nan")), -3 * o), t))
 
 
+def matrix_pairs(records: DataFrame, matrix: str, chains: str, by=("pdb",)) -> DataFrame:
+    """The directed pairs ``chain_a, chain_b, score`` of a record's matrix; the diagonal and pairs not compared are left out.
+
+    ``chains`` names the array of chain ids in the order of the matrix.
+    """
+    lines = records.select(*by, chains, F.posexplode(matrix).alias("_i", "_line"))
+    cells = lines.select(*by, chains, "_i", F.posexplode("_line").alias("_j", "score"))
+    named = [F.get(chains, F.col(at)).alias(name) for at, name in (("_i", "chain_a"), ("_j", "chain_b"))]
+    return cells.filter("_i <> _j AND score IS NOT NULL").select(*by, *named, "score")
+
+
 def lddt_kernel(radius: float = 15.0, block: int = 512):
     """An Arrow function: superposition-free similarity of two CA traces.
 

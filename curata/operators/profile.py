@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curata.operators.ordered import previous_value, running_total
+from curata.operators.ordered import PIECE_ROWS, previous_value, running_total
 from curata.session import stage as stage_table
 
 ACCURACY = 10_000
@@ -14,6 +14,7 @@ ACCURACY = 10_000
 # The stages and the profiled metrics that are summarised, and
 # the number of samples from which a p95 differs from the maximum.
 STAGES = ("fetch", "cpu_wait", "write_lock_wait", "write", "total")
+SIZES = ("raw_kb", "blob_kb", "pool_active")
 PROFILE_METRICS = (
     "sys_cpu_pct",
     "proc_cpu_pct",
@@ -99,6 +100,20 @@ def stage_summary(df: DataFrame, stage: str, value: str, exact: bool = True) ->
     ).drop("_p95")
 
 
+def stage_report(log: DataFrame) -> DataFrame:
+    """A stage log in short: ``metric, n, min_value, avg_value, p95_value, max_value``.
+
+    One row for each of ``STAGES`` with its p95, and one for each of
+    ``SIZES``; a negative size was not measured and does not count.
+    """
+    timed = stage_summary(unpivot(log, STAGES, "metric", "value").filter("value IS NOT NULL"), "metric", "value")
+    sizes = unpivot(log, [c for c in SIZES if c in log.columns], "metric", "value").filter("value >= 0")
+    basic = sizes.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.avg("value").alias("avg_value"), F.max("value").alias("max_value")
+    )
+    return timed.unionByName(basic.withColumn("p95_value", F.lit(None).cast("double")))
+
+
 def metric_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
     """Min, average and max per metric."""
     return df.groupBy(metric).agg(
@@ -180,15 +195,16 @@ def timeline_pivot(timeline: DataFrame, stage: str, stages) -> DataFrame:
 
 
 def rate_per_second(
-    df: DataFrame, by, time: str, value: str, tie=(), interval=None, scale: float = 1.0
+    df: DataFrame, by, time: str, value: str, tie=(), interval=None, scale: float = 1.0, width: int = PIECE_ROWS
 ) -> DataFrame:
     """Change against the previous sample of a series, per unit of time.
 
     Divides by ``interval`` if it is given, otherwise by the time between the
-    samples.  The first sample of a series has no rate.
+    samples.  The first sample of a series has no rate.  ``width`` rows are
+    ordered by one task.
     """
     now = F.struct(F.col(value).alias("value"), F.col(time).alias("time"))
-    df = previous_value(df.withColumn("_now", now), by, time, tie, "_now", "_last")
+    df = previous_value(df.withColumn("_now", now), by, time, tie, "_now", "_last", width)
     change = F.col(value) - F.col("_last.value")
     if interval is None:
         span = F.nullif(F.col(time) - F.col("_last.time"), F.lit(0))

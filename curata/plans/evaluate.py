@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from curata.operators import metrics as M
 
 
-def evaluate(predictions: DataFrame, preset: str | list[M.Term] = "plain", batch: str = "batch_id", order=None) -> DataFrame:
-    """One value per metric key over all batches, ``full_loss/sum`` included."""
-    terms = M.presets()[preset] if isinstance(preset, str) else preset
-    return M.accumulate(M.with_total(M.batch_metrics(predictions, terms, batch, order=order), batch), batch)
+def evaluate(
+    predictions: DataFrame, preset: str | list[M.Term] = "plain", batch: str = "batch_id", order=None, magnitudes: DataFrame | None = None
+) -> DataFrame:
+    """One value per metric key over all batches, ``full_loss/sum`` included.
+
+    ``preset`` may join several by ``+``.  With ``magnitudes`` among them the
+    table of that name (``label, mag``) gives one more key for each label.
+    """
+    terms, wanted = M.combined(preset) if isinstance(preset, str) else (preset, False)
+    found = M.accumulate(M.with_total(M.batch_metrics(predictions, terms, batch, order=order), batch), batch)
+    if not wanted:
+        return found
+    if magnitudes is None:
+        raise ValueError(f"the preset {preset!r} needs a table of magnitudes")
+    rows = M.label_magnitudes(magnitudes)
+    key = F.concat(F.lit("label_magnitudes/last/"), "name")
+    return found.unionByName(rows.select(key.alias("key"), F.lit("last").alias("reduction"), "value"))
 
 
 def step_metrics(accumulated: DataFrame, batches: DataFrame, seconds: float, prefix: str, accumulation_steps: int = 1, steps=None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import residues as R
-from curata.operators import assembly, packing, sampling
+from curata.operators import assembly, packing, pairs, sampling
 from curata.operators.ordered import dense_index
 from curata.session import stage
 
@@ -72,3 +72,20 @@ def build(
     homologs = None if chain_pairs is None else assembly.homologs(chain_pairs, cfg.homolog_threshold)
     rows = assembly.construct_samples(placed, residue_table(chains), homologs, cfg.min_seq_size, cfg.construct)
     return packed, rows
+
+
+def homolog_pairs(records: DataFrame, matrix: str = "chain_tm_scores") -> DataFrame:
+    """``chain_pairs`` of ``build`` from the score matrices of records."""
+    return pairs.matrix_pairs(records, matrix, "chain_ids")
+
+
+def batches(packed: DataFrame, rows: DataFrame, arrays) -> DataFrame:
+    """The batches of ``build``, collated: one row each, with the residue columns ``arrays`` end to end.
+
+    A sample is gathered in the order of its residues; it has ``max_seq_size``
+    of them at most, and a batch has its token budget.
+    """
+    arrays = list(arrays)
+    listed = rows.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("idx", *arrays))).alias("_r"))
+    samples = listed.select("sample_id", *[F.col("_r")[a].alias(a) for a in arrays])
+    return packing.collate(packed, samples, arrays)

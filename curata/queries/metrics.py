@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curata.functions.residues import label_names
 from curata.operators import metrics as M
 from curata.operators import packing as K
+from curata.plans.evaluate import evaluate
 from curata.queries.common import table
 
 N_LABELS = 10
@@ -14,12 +15,12 @@ BATCH = 64
 
 
 def predictions(spark, folder):
-    """Vectors as tokens: ten logits and a label, masks, timestep and sequence length."""
+    """Vectors as tokens: a logit a number and a label, masks, timestep and sequence length."""
     v = F.col("vec_id")
     return table(spark, folder, "embeddings").select(
         F.floor(v / BATCH).alias("batch_id"),
         v.alias("pos"),
-        F.slice("embedding", 1, N_LABELS).alias("logits"),
+        F.col("embedding").alias("logits"),
         F.when(v % 3 == 0, F.lit(27)).otherwise(F.col("label")).alias("label"),
         (v % 3 != 0).alias("loss_mask"),
         (v % 2 == 0).alias("is_masked"),
@@ -37,7 +38,7 @@ def _tidy(metrics):
 
 def token_values(spark, folder):
     """Per-token values of every metric function."""
-    values = {name: fn() for name, fn in M.METRICS.items()}
+    values = {name: fn() for name, fn in M.METRICS.items() if name not in M.ARRAYS}
     return predictions(spark, folder).filter("loss_mask").select(
         "pos", *[F.round(c, 6).alias(n) for n, c in values.items()]
     )
@@ -109,10 +110,19 @@ def data_ratios(spark, folder):
 
 
 def label_magnitudes(spark, folder):
-    params = table(spark, folder, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("mag"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    params = table(spark, folder, "embeddings").select("label", (total / F.size("embedding")).alias("mag"))
     return M.label_magnitudes(params).select("label", "name", F.round("value", 7).alias("value"))
 
 
+def preset_metrics(spark, folder):
+    """Three presets together: two mask groups on each term, extremes of all logits, magnitudes of labels."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    sizes = table(spark, folder, "embeddings").select("label", (total / F.size("embedding")).alias("mag"))
+    found = evaluate(predictions(spark, folder), "masked_timestep_binned+outliers+magnitudes", magnitudes=sizes)
+    return found.select("key", "reduction", F.round("value", 6).alias("value"))
+
+
 def batch_summary(spark, folder):
     """Batch descriptors of documents, ten to a batch, with labels as loss mask."""
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
@@ -147,6 +157,7 @@ QUERIES = {
     "event_reductions": event_reductions,
     "data_ratios": data_ratios,
     "label_magnitudes": label_magnitudes,
+    "preset_metrics": preset_metrics,
     "batch_summary": batch_summary,
     "prefix_lengths": prefix_lengths,
 }
@@ -175,7 +186,7 @@ SELECT *, exp(-cel) AS probs, (1 - exp(-cel)) ** 2 * cel AS focal_loss FROM (
   SELECT *, ln(list_sum(list_transform(lg, lambda v: exp(v - list_max(lg))))) + list_max(lg)
             - lg[(CASE WHEN loss_mask THEN label ELSE 0 END) + 1] AS cel,
          CASE WHEN list_position(lg, list_max(lg)) - 1 = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS matches
-  FROM (SELECT vec_id // {BATCH} AS batch_id, vec_id AS pos, list_transform(embedding[1:{N_LABELS}], lambda v: v::DOUBLE) AS lg,
+  FROM (SELECT vec_id // {BATCH} AS batch_id, vec_id AS pos, list_transform(embedding, lambda v: v::DOUBLE) AS lg,
           CASE WHEN vec_id % 3 = 0 THEN 27 ELSE label END AS label, vec_id % 3 <> 0 AS loss_mask,
           vec_id % 2 = 0 AS is_masked, vec_id * 7 % 1024 AS timestep, vec_id * 37 % 1200 AS seq_len,
           embedding[21]::DOUBLE AS x FROM embeddings))"""
@@ -254,6 +265,13 @@ SELECT key, reduction, round(CASE reduction WHEN 'max' THEN max(value) WHEN 'min
 FROM ({' UNION ALL '.join(_acc)}
   UNION ALL SELECT batch_id, '', 'sum', '', 'full_loss/sum', coalesce(cel_sum, 0) / greatest(1, c), 1 FROM fl WHERE sub = '')
 GROUP BY key, reduction""",
+    "preset_metrics": f"""{_stats(['pass', 'times'], ['cel', 'probs', 'matches', 'hi', 'lo']).replace('focal_loss FROM (', 'focal_loss, list_max(lg) AS hi, list_min(lg) AS lo FROM (', 1)}
+SELECT key, reduction, round(CASE reduction WHEN 'max' THEN max(value) WHEN 'min' THEN min(value) ELSE sum(value) / greatest(1, sum(n)) END, 6) AS value
+FROM ({_plain_rows} UNION ALL {_row("logits", "hi", "max", "sub = ''")} UNION ALL {_row("logits", "lo", "min", "sub = ''")}
+  UNION ALL SELECT batch_id, '', 'sum', '', 'full_loss/sum', coalesce(cel_sum, 0) / greatest(1, c), 1 FROM fl WHERE sub = '')
+GROUP BY key, reduction
+UNION ALL SELECT 'label_magnitudes/last/' || {_label_case}, 'last', round(avg(list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / len(embedding)), 6)
+FROM embeddings GROUP BY label""",
     "event_reductions": """
 SELECT strftime(ts, '%Y-%m-%d %H') AS hour, round(coalesce(sum(value) FILTER (WHERE m), 0), 6) AS sum_value, CAST(1 AS BIGINT) AS sum_n,
   round(coalesce(sum(value) FILTER (WHERE m), 0), 6) AS mean_value, count(*) FILTER (WHERE m) AS mean_n,
@@ -269,7 +287,7 @@ SELECT event_type, round(t / greatest(1, b / 4), 6) AS toks_per_batch, round(l /
 FROM (SELECT event_type, sum(floor(value * 10)) AS t, sum(floor(value * 3)) AS l, CAST(sum(event_id % 5) AS DOUBLE) AS s,
   CAST(count(*) AS DOUBLE) AS b FROM events GROUP BY event_type)""",
     "label_magnitudes": f"""
-SELECT label, {_label_case} AS name, round(avg(embedding[1]::DOUBLE), 7) AS value FROM embeddings GROUP BY label""",
+SELECT label, {_label_case} AS name, round(avg(list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / len(embedding)), 7) AS value FROM embeddings GROUP BY label""",
     "batch_summary": """
 SELECT d.doc_id // 10 AS batch_id, max(n_chars) AS max_seqlen, count(*) AS samples, CAST(sum(n_chars) AS BIGINT) AS tokens,
   CAST(sum(CASE WHEN quality = 1 THEN n_chars ELSE 0 END) AS BIGINT) AS loss_tokens

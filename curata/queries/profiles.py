@@ -74,6 +74,21 @@ def stage_intervals(spark, folder):
     return O.peak_topk(O.concurrency_timeline(spans, "stage", "t0", "t1"), "stage", "active", 3)
 
 
+def stage_report(spark, folder):
+    """Every stage and size of a stage log; one size in three was not measured."""
+    log = _events(spark, folder).select(
+        (F.col("value") / 4).alias("fetch"),
+        F.col("value").alias("cpu_wait"),
+        F.lit(0.5).alias("write_lock_wait"),
+        (F.col("event_id") % 8).cast("double").alias("write"),
+        (F.col("value") * 1.25 + F.lit(0.5) + F.col("event_id") % 8).alias("total"),
+        (F.col("user_id") * 2).alias("raw_kb"),
+        F.col("user_id").alias("blob_kb"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("event_id") % 16).alias("pool_active"),
+    )
+    return O.stage_report(log).withColumn("avg_value", F.round("avg_value", 5))
+
+
 def rate_from_lag(spark, folder):
     rates = O.rate_per_second(
         _events(spark, folder), ["user_id"], "second", "value", tie=["event_id"], scale=1 / 1024
@@ -129,6 +144,7 @@ QUERIES = {
     "concurrency_timeline": concurrency_timeline,
     "timeline_pivot": timeline_pivot,
     "stage_intervals": stage_intervals,
+    "stage_report": stage_report,
     "rate_from_lag": rate_from_lag,
     "rate_fixed_interval": rate_fixed_interval,
 }
@@ -157,7 +173,25 @@ _metric_sql = {
     "net_send_mbps": "value + 3", "cores_active": "event_id % 8",
 }
 
+_report = {
+    "fetch": "value / 4", "cpu_wait": "value", "write_lock_wait": "0.5::DOUBLE", "write": "event_id % 8",
+    "total": "value * 1.25::DOUBLE + 0.5::DOUBLE + event_id % 8",
+}
+_sizes = {"raw_kb": "user_id * 2", "blob_kb": "user_id", "pool_active": "CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 16 END"}
+
 SQL = {
+    "stage_report": " UNION ALL ".join(
+        [
+            f"SELECT '{m}' AS metric, count(*) AS n, min(v) AS min_value, round(avg(v), 5) AS avg_value, "
+            "CASE WHEN count(*) >= 20 THEN list_sort(list(v))[CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1] ELSE max(v) END AS p95_value, "
+            f"max(v) AS max_value FROM (SELECT ({e})::DOUBLE AS v FROM events)"
+            for m, e in _report.items()
+        ]
+        + [
+            f"SELECT '{m}', count(*), min(v), round(avg(v), 5), NULL::DOUBLE, max(v) FROM (SELECT ({e})::DOUBLE AS v FROM events) WHERE v >= 0"
+            for m, e in _sizes.items()
+        ]
+    ),
     "profile_log_summary": " UNION ALL ".join(
         f"SELECT '{m}' AS metric, min(v) AS min_value, round(avg(v), 5) AS avg_value, max(v) AS max_value FROM (SELECT ({e})::DOUBLE AS v FROM events)"
         for m, e in _metric_sql.items()

@@ -199,6 +199,17 @@ def chain_matrix(spark, folder):
     return matrix.select("pdb", F.array_join(text, ";").alias("matrix"))
 
 
+def matrix_pairs(spark, folder):
+    """The matrices of ``chain_matrix`` turned back into directed pairs."""
+    chains = _vector_tokens(spark, folder)
+    pairs = S.similar_pairs(chains, ["pdb"], "vec_id", "tokens", 0.2)
+    members = chains.select("pdb", F.col("vec_id").alias("chain_no"), F.col("vec_id").alias("rep"))
+    matrix = S.record_matrix(S.both_directions(pairs, ["pdb"]), members, ["pdb"])
+    listed = chains.groupBy("pdb").agg(F.sort_array(F.collect_list("vec_id")).alias("chain_ids"))
+    found = S.matrix_pairs(matrix.join(listed, "pdb"), "matrix", "chain_ids")
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
 def score_rows(spark, folder):
     """Scored partners of every vector, itself included, and the best score."""
     chains = _vector_tokens(spark, folder)
@@ -207,6 +218,18 @@ def score_rows(spark, folder):
     return S.score_rows(full, ["pdb"]).withColumn("best", F.round("best", 6))
 
 
+def _shares():
+    """Both scores to ten digits: no share of so few distances lies halfway between two such numbers."""
+    return [F.round(c, 10).alias(c) for c in ("score_ab", "score_ba")]
+
+
+def _trace():
+    """A vector as points; its last number, which fills none, scales them."""
+    scale = (F.element_at("embedding", -1).cast("double") + 1) * SCALE
+    points = F.slice("embedding", 1, POINTS * 3)
+    return F.zip_with(points, F.array_repeat(scale, POINTS * 3), lambda x, s: x.cast("double") * s)
+
+
 def lddt_pairs(spark, folder):
     """Every vector against the first of its label as traces, both ways round.
 
@@ -220,28 +243,20 @@ def lddt_pairs(spark, folder):
         .filter(F.col("vec_id") != F.col("a"))
         .select("a", F.col("vec_id").alias("b"), S.cosine("ea", "embedding").alias("score"))
     )
-    trace = F.transform(F.slice("embedding", 1, POINTS * 3), lambda x: x.cast("double") * SCALE)
-    chains = vectors.select("vec_id", trace.alias("trace"))
+    chains = vectors.select("vec_id", _trace().alias("trace"))
     scored = S.structure_scores(pairs, chains, [], "vec_id", "trace", SKIP, RADIUS)
-    return scored.select("a", "b", *[F.round(c, 6).alias(c) for c in ("score", "score_ab", "score_ba")])
+    return scored.select("a", "b", F.round("score", 6).alias("score"), *_shares())
 
 
 def shifted_structures(spark, folder):
-    """Every vector as a trace, and once more without its first points: pairs of like shape, wherever it stands.
-
-    The last number of a vector, which fills no point, scales its trace.
-    """
-    scale = (F.element_at("embedding", -1).cast("double") + 1) * SCALE
-    points = F.slice("embedding", 1, POINTS * 3)
-    vectors = table(spark, folder, "embeddings").select(
-        "vec_id", F.zip_with(points, F.array_repeat(scale, POINTS * 3), lambda x, s: x.cast("double") * s).alias("trace")
-    )
+    """Every vector as a trace, and once more without its first points: pairs of like shape, wherever it stands."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", _trace().alias("trace"))
     cut = vectors.select((F.col("vec_id") * 2 + 1).alias("chain"), F.slice("trace", 3 * CUT + 1, POINTS * 3).alias("trace"))
     chains = stage(vectors.select((F.col("vec_id") * 2).alias("chain"), "trace").unionByName(cut), "traces")
     worded = stage(chains.select("chain", S.shape_words("trace").alias("words")), "words")
     pairs = S.shifted_pairs(worded, [], "chain", "words", OVERLAP).withColumn("score", F.lit(None).cast("double"))
     scored = S.structure_scores(pairs, chains, [], "chain", "trace", radius=RADIUS)
-    return scored.select("a", "b", "offset", *[F.round(c, 6).alias(c) for c in ("score_ab", "score_ba")])
+    return scored.select("a", "b", "offset", *_shares())
 
 
 QUERIES = {
@@ -261,6 +276,7 @@ QUERIES = {
     "similar_pairs": similar_pairs,
     "seq_similarity": seq_similarity,
     "chain_matrix": chain_matrix,
+    "matrix_pairs": matrix_pairs,
     "score_rows": score_rows,
     "lddt_pairs": lddt_pairs,
 }
@@ -317,8 +333,8 @@ def _kmers(c, k):
 
 
 _points = f"""
-pt AS (SELECT vec_id, i, embedding[3 * i + 1]::DOUBLE * {SCALE} AS x, embedding[3 * i + 2]::DOUBLE * {SCALE} AS y, embedding[3 * i + 3]::DOUBLE * {SCALE} AS z
-  FROM embeddings, range({POINTS}) AS r(i)),
+pt AS (SELECT vec_id, i, embedding[3 * i + 1]::DOUBLE * sc AS x, embedding[3 * i + 2]::DOUBLE * sc AS y, embedding[3 * i + 3]::DOUBLE * sc AS z
+  FROM (SELECT *, (embedding[64]::DOUBLE + 1) * {SCALE} AS sc FROM embeddings), range({POINTS}) AS r(i)),
 ds AS MATERIALIZED (SELECT p.vec_id, p.i, q.i AS j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d
   FROM pt p JOIN pt q ON p.vec_id = q.vec_id AND p.i <> q.i),
 pr AS (SELECT f.a, v.vec_id AS b, list_cosine_similarity(list_transform(f.ea, lambda t: t::DOUBLE), list_transform(v.embedding, lambda t: t::DOUBLE)) AS score
@@ -375,7 +391,7 @@ _kept = lambda one, two, sign: f"""(SELECT CASE WHEN count(*) = 0 THEN 1.0::DOUB
 
 SQL = {
     "shifted_structures": f"""WITH {_shapes}
-SELECT a, b, CAST(o AS INTEGER) AS "offset", round({_kept("a", "b", "+")}, 6) AS score_ab, round({_kept("b", "a", "-")}, 6) AS score_ba FROM vt""",
+SELECT a, b, CAST(o AS INTEGER) AS "offset", round({_kept("a", "b", "+")}, 10) AS score_ab, round({_kept("b", "a", "-")}, 10) AS score_ba FROM vt""",
     "set_cover": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("count(*) DESC, md5('0:' || e.a) DESC, e.a")}",
     "greedy_by_length": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("d.n_chars DESC, md5('0:' || e.a) DESC, e.a")}",
     "greedy_by_class": f"WITH RECURSIVE {_scores}, {_linked}, {_greedy("CASE WHEN d.n_chars >= 1 THEN floor(log2(d.n_chars)) ELSE -1 END DESC, md5('0:' || e.a) DESC, e.a")}",
@@ -423,10 +439,12 @@ SELECT a, b, round(s / (n - s), 6) AS kmer_similarity,
 FROM p WHERE s / (n - s) >= {LINK}::DOUBLE""",
     "score_rows": f"""{_vectors}
 SELECT pdb, a, count(*) AS partners, 1.0::DOUBLE AS best FROM p WHERE s >= 0.2::DOUBLE GROUP BY pdb, a""",
+    "matrix_pairs": f"""{_vectors}
+SELECT pdb, a AS chain_a, b AS chain_b, round(s::FLOAT::DOUBLE, 6) AS score FROM p WHERE a <> b AND s >= 0.2::DOUBLE""",
     "chain_matrix": f"""{_vectors},
 r AS (SELECT pdb, a, string_agg(CASE WHEN s >= 0.2::DOUBLE THEN printf('%.4f', s::FLOAT::DOUBLE) ELSE '-' END, ' ' ORDER BY b) AS line FROM p GROUP BY pdb, a)
 SELECT pdb, string_agg(line, ';' ORDER BY a) AS matrix FROM r GROUP BY pdb""",
     "lddt_pairs": f"""WITH {_points}
-SELECT a, b, round(score, 6) AS score, round(CASE WHEN score >= {SKIP} THEN 1.0::DOUBLE ELSE {_near('a', 'b')} END, 6) AS score_ab,
-  round(CASE WHEN score >= {SKIP} THEN 1.0::DOUBLE ELSE {_near('b', 'a')} END, 6) AS score_ba FROM pr""",
+SELECT a, b, round(score, 6) AS score, round(CASE WHEN score >= {SKIP} THEN 1.0::DOUBLE ELSE {_near('a', 'b')} END, 10) AS score_ab,
+  round(CASE WHEN score >= {SKIP} THEN 1.0::DOUBLE ELSE {_near('b', 'a')} END, 10) AS score_ba FROM pr""",
 }

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import sys
 from pathlib import Path
 
@@ -19,6 +20,22 @@ def spark():
     session.stop()
 
 
+LETTERS = "".join(letter for _, letter, _ in R.RESIDUES if letter.isalpha())
+
+
+def sequence(seed, n):
+    """A chain of ``n`` plain residues."""
+    return "".join(random.Random(seed).choices(LETTERS, k=n))
+
+
+CHAIN = sequence(17, 9)
+
+
+def spelled():
+    """Letter to residue name and atoms."""
+    return {letter: (name, R.ATOMS[parent]) for name, letter, parent in R.RESIDUES}
+
+
 def rendered(category, rows):
     """A category as name-value pairs (a dict) or as a loop (a list of dicts)."""
     if isinstance(rows, dict):
@@ -32,11 +49,11 @@ def position(residue, atom):
 
 
 def cif_text(
-    pdb="1abc", method="X-RAY DIFFRACTION", resolution=2.0, chains=(("A", "ACDEFG"),), date="2020-01-01",
+    pdb="1abc", method="X-RAY DIFFRACTION", resolution=2.0, chains=(("A", CHAIN),), date="2020-01-01",
     assemblies=(), extra_atoms=(),
 ):
     """Structure text; an assembly is a list of (chains, matrices), each matrix of 16 numbers."""
-    spelled = {letter: (name, R.ATOMS[parent]) for name, letter, parent in R.RESIDUES}
+    known = spelled()
     parts = {"entry": {"id": pdb.upper()}, "pdbx_database_status": {"recvd_initial_deposition_date": date}}
     if resolution is not None:
         parts["refine"] = {"ls_d_res_high": resolution, "pdbx_refine_id": "X"}
@@ -45,13 +62,13 @@ def cif_text(
     parts["atom_site"] = [
         {
             "group_PDB": "ATOM", "id": 100 * number + k, "type_symbol": atom[0], "label_atom_id": atom, "label_alt_id": ".",
-            "label_comp_id": spelled[letter][0], "label_asym_id": chain, "label_entity_id": 1, "label_seq_id": number,
+            "label_comp_id": known[letter][0], "label_asym_id": chain, "label_entity_id": 1, "label_seq_id": number,
             **dict(zip(("Cartn_x", "Cartn_y", "Cartn_z"), position(number, k))), "occupancy": 1.0,
             "B_iso_or_equiv": 25.5, "auth_seq_id": number, "auth_asym_id": chain, "pdbx_PDB_model_num": 1,
         }
         for chain, sequence in chains
         for number, letter in enumerate(sequence, 1)
-        for k, atom in enumerate(spelled[letter][1])
+        for k, atom in enumerate(known[letter][1])
     ]
     text = [f"data_{pdb.upper()}", *(line for name, rows in parts.items() for line in rendered(name, rows)), *extra_atoms]
     matrices = [m for generators in assemblies for _, own in generators for m in own]

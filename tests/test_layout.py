@@ -11,36 +11,16 @@ from curata.schema import RECORD
 from curata.sinks import writers
 
 
-def entries(spark, n, size):
-    return spark.createDataFrame([(f"p{i}", "experimental", size) for i in range(n)], "pdb string, source string, size bigint")
-
-
-def test_small_entries_share_a_shard(spark):
-    rows = L.exact_shards(entries(spark, 3, 100), "pdb", 1, target=10 << 20).collect()
-    assert {r.shard_id for r in rows} == {"experimental/000000"}
-    assert sorted(r.offset for r in rows) == [512, 1536, 2560]
-
-
-def test_a_tiny_target_closes_every_shard(spark):
-    rows = L.exact_shards(entries(spark, 3, 100), "pdb", 1, target=1).collect()
-    assert sorted(r.shard_id for r in rows) == [f"experimental/00000{i}" for i in range(3)]
-
-
-def test_numbers_continue_after_a_resume(spark):
-    row = L.exact_shards(entries(spark, 1, 100), "pdb", 1, target=1, first_shard=5).first()
-    assert row.shard_id == "experimental/000005"
-
-
-@pytest.mark.parametrize("lanes", [1, 4])
-def test_exact_shards_against_a_writer_per_lane(spark, lanes):
+@pytest.mark.parametrize(("lanes", "target", "first"), [(1, 20_000, 0), (4, 20_000, 3), (2, 1, 5), (3, 1 << 30, 0)])
+def test_exact_shards_against_a_writer_per_lane(spark, lanes, target, first):
     rng = random.Random(lanes)
     rows = [(f"k{i}", "hot" if i % 3 else f"s{i % 7}", rng.randrange(1, 5000)) for i in range(600)]
     df = spark.createDataFrame(rows, "pdb string, source string, size bigint").repartition(5)
-    target, want, counts = 20_000, {}, {}
+    want, counts = {}, {}
     digest = lambda k: hashlib.md5(f"0:{k}".encode()).hexdigest()
     lane_of = lambda k: int(digest(k)[:8], 16) % lanes
     for source in {r[1] for r in rows}:
-        shard_base = 0
+        shard_base = first
         for lane in range(lanes):
             shard, used = 0, 0
             mine = sorted(((digest(k), k, z) for k, s, z in rows if s == source and lane_of(k) == lane))
@@ -51,7 +31,7 @@ def test_exact_shards_against_a_writer_per_lane(spark, lanes):
                 used += 512 + -(-z // 512) * 512
             shard_base += (shard + 1) if mine else 0
         counts[source] = shard_base
-    got = {r.pdb: (r.shard_no, r.offset) for r in L.exact_shards(df, "pdb", target=target, lanes=lanes, mode="md5").collect()}
+    got = {r.pdb: (r.shard_no, r.offset) for r in L.exact_shards(df, "pdb", target=target, lanes=lanes, first_shard=first, mode="md5").collect()}
     assert got == want
 
 

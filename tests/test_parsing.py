@@ -1,18 +1,26 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import position
+from conftest import CHAIN, position, sequence, spelled
 from curata.operators import curate as C
 from curata.plans import curate as P
 from curata.sources import mmcif
 
-EYE = [float(i % 5 == 0) for i in range(16)]
-SHIFT_X = EYE[:3] + [10.0] + EYE[4:]
-SHIFT_Y = EYE[:7] + [10.0] + EYE[8:]
+LONG, OTHER, TINY = sequence(1, 12), sequence(2, 7), sequence(3, 3)
+END = len(CHAIN)
+
+
+def placed(seed):
+    """A rigid placement without rotation as 16 numbers, from a seed; 0 stays where it is."""
+    numbers = [float(i % 5 == 0) for i in range(16)]
+    for axis in range(3):
+        numbers[4 * axis + 3] = random.Random(f"{seed}/{axis}").randint(-40, 40) / 2 if seed else 0.0
+    return numbers
 
 
 def files(spark, *texts, refined=False):
@@ -34,7 +42,7 @@ def chains(spark, *texts, refined=False, **cfg):
         (dict(method="ELECTRON MICROSCOPY"), True),
         (dict(resolution=5.0), False),
         (dict(resolution=None), False),
-        (dict(chains=[("A", "ACD")]), False),
+        (dict(chains=[("A", TINY)]), False),
     ],
 )
 def test_gates(spark, cif, text, kept):
@@ -53,32 +61,36 @@ def test_short_limits_are_refused():
 
 
 def test_arrays(spark, cif):
-    row = chains(spark, cif()).first()
-    assert row.sequence == "ACDEFG"
-    assert len(row.coords) == 6 and len(row.coords[0]) == 14 and len(row.coords[0][0]) == 3
-    assert len(row.atom_mask) == 6 and len(row.atom_mask[0]) == 14
-    assert row.coords[0][1] == position(1, 1) and row.coords[0][5] == [0.0, 0.0, 0.0]
-    assert row.atom_mask[0] == [True] * 5 + [False] * 9
-    assert row.coords[1][0] == position(2, 0)
-    assert row.bfactor[5][:5] == [25.5] * 4 + [0.0] and row.occupancy[5][4] == 0.0
+    row = chains(spark, cif(chains=[("H", LONG)])).first()
+    assert (row.chain, row.sequence) == ("H", LONG)
+    for number, letter in enumerate(LONG, 1):
+        present = len(spelled()[letter][1])
+        coords, mask = row.coords[number - 1], row.atom_mask[number - 1]
+        assert coords == [position(number, k) for k in range(present)] + [[0.0] * 3] * (14 - present)
+        assert mask == [True] * present + [False] * (14 - present)
+        assert row.bfactor[number - 1] == [25.5] * present + [0.0] * (14 - present)
+        assert row.occupancy[number - 1] == [1.0] * present + [0.0] * (14 - present)
 
 
 def test_several_chains_and_files(spark, cif):
-    got = chains(spark, cif(chains=[("A", "ACDEF"), ("B", "GGGGG")]), cif(pdb="2xyz"))
-    assert sorted((r.pdb, r.chain, r.sequence) for r in got.collect()) == [
-        ("1abc", "A", "ACDEF"),
-        ("1abc", "B", "GGGGG"),
-        ("2xyz", "A", "ACDEFG"),
-    ]
+    given = {"4qrs": {"H": LONG, "L": OTHER}, "6tuv": {"A": CHAIN, "Z": TINY}}
+    got = chains(spark, *[cif(pdb=pdb, chains=list(own.items())) for pdb, own in given.items()])
+    assert {(r.pdb, r.chain, r.sequence) for r in got.collect()} == {
+        (pdb, chain, letters) for pdb, own in given.items() for chain, letters in own.items() if len(letters) > 3
+    }
+
+
+def atom(number, name, residue, place, occupancy=1.0, model=1, group="HETATM", at=1.0):
+    """A line of the atom loop in chain A; ``place`` is the residue number as it stands in the file."""
+    return f"{group} {number} {name[0]} {name} . {residue} A 1 {place} {at} {at} {at} {occupancy:.2f} 30.00 {END + 1} A {model}"
 
 
 def test_modified_and_unknown_residues(spark, cif):
-    water = "HETATM 999 O O . HOH A 1 7 1.0 1.0 1.0 1.00 30.00 7 A 1"
-    selenium = "HETATM 998 SE SE . MSE A 1 8 1.0 1.0 1.0 1.00 30.00 8 A 1"
-    second_model = "ATOM 997 N N . ALA A 1 9 1.0 1.0 1.0 1.00 30.00 9 A 2"
-    solvent = "HETATM 996 O O . ALA A 1 ? 1.0 1.0 1.0 1.00 30.00 10 A 1"
-    row = chains(spark, cif(extra_atoms=[water, selenium, second_model, solvent])).first()
-    assert row.sequence == "ACDEFG0"
+    extra = [
+        atom(999, "O", "HOH", END + 1), atom(998, "SE", "MSE", END + 2), atom(997, "N", "ALA", END + 3, model=2),
+        atom(996, "O", "ALA", "?"),
+    ]
+    assert chains(spark, cif(extra_atoms=extra)).first().sequence == CHAIN + "0"
 
 
 def test_first_of_equal_occupancies_wins(spark):
@@ -97,14 +109,16 @@ def test_first_of_equal_occupancies_wins(spark):
 
 
 def test_one_shuffle_form_equals_the_steps(spark, cif):
-    double = "ATOM 900 N N . SER A 1 2 9.0 9.0 9.0 2.00 30.00 2 A 1"
-    twice = "ATOM 901 CA CA . ALA A 1 1 8.0 8.0 8.0 1.50 30.00 1 A 1"
-    texts = [cif(extra_atoms=[double, twice]), cif(pdb="2xyz", chains=[("A", "ACDEF"), ("B", "ACD")])]
+    names = {letter: name for letter, (name, _) in spelled().items()}
+    second = next(x for x in "STV" if x != CHAIN[1])
+    double = atom(900, "N", names[second], 2, 2.0, group="ATOM", at=9.0)
+    twice = atom(901, "CA", names[CHAIN[0]], 1, 1.5, group="ATOM", at=8.0)
+    texts = [cif(extra_atoms=[double, twice]), cif(pdb="6tuv", chains=[("A", OTHER), ("B", TINY)])]
     atoms = mmcif.atom_rows(P.accept(files(spark, *texts), P.CurateConfig()))
     steps = C.residue_arrays(C.best_atoms(C.best_residues(C.known_residues(atoms))))
     want = C.chain_records(C.long_chains(steps)).orderBy("pdb", "chain").collect()
     got = C.resolve_chains(atoms).orderBy("pdb", "chain").collect()
-    assert str(got) == str(want) and [r.sequence for r in got] == ["ASDEFG", "ACDEF"]
+    assert str(got) == str(want) and [r.sequence for r in got] == [CHAIN[0] + second + CHAIN[2:], OTHER]
     assert got[0].coords[0][1] == [8.0, 8.0, 8.0]
 
 
@@ -118,27 +132,25 @@ def nested(spark, text):
     return row.assemblies if row else []
 
 
-TWO = [("A", "ACDEFG"), ("B", "GGGGG")]
-
-
-@pytest.mark.parametrize(
-    "assemblies, want",
-    [
-        ([[(["A", "B"], [EYE])]], [[(["A", "B"], 1)]]),
-        ([[(["A", "B"], [EYE, SHIFT_X, SHIFT_Y])]], [[(["A", "B"], 3)]]),
-        ([[(["A"], [EYE]), (["B"], [EYE, SHIFT_X])]], [[(["A"], 1), (["B"], 2)]]),
-        ([[(["Z"], [EYE])], [(["B", "B", "Z"], [SHIFT_X])]], [[(["B"], 1)]]),
-        ([], []),
-    ],
-)
-def test_assemblies(spark, cif, assemblies, want):
-    got = nested(spark, cif(chains=TWO, assemblies=assemblies))
-    assert [[(g.chains, len(g.asmb_xforms)) for g in a] for a in got] == want
+PAIR = [("H", LONG), ("L", OTHER)]
 
 
-def test_transforms_are_kept(spark, cif):
-    got = nested(spark, cif(chains=TWO, assemblies=[[(["A"], [EYE, SHIFT_X])]]))
-    assert got[0][0].asmb_xforms[1][0] == [1.0, 0.0, 0.0, 10.0]
+@pytest.mark.parametrize("seed", range(5))
+def test_assemblies(spark, cif, seed):
+    """Generators of listed chains and copies; chains that the file does not have are left out, and with them empty ones."""
+    r = random.Random(seed)
+    given = [
+        [(r.choices(["H", "L", "X"], k=r.randint(1, 3)), [placed(r.randint(0, 9)) for _ in range(r.randint(1, 3))]) for _ in range(r.randint(1, 2))]
+        for _ in range(seed)
+    ]
+    want = []
+    for generators in given:
+        own = [(sorted(set(members) - {"X"}, key=members.index), matrices) for members, matrices in generators]
+        own = [g for g in own if g[0]]
+        want += [own] if own else []
+    got = nested(spark, cif(chains=PAIR, assemblies=given))
+    flat = lambda m: [x for line in m for x in line]
+    assert [[(g.chains, [flat(m) for m in g.asmb_xforms]) for g in a] for a in got] == want
 
 
 @pytest.mark.parametrize(
@@ -150,10 +162,10 @@ def test_operator_expressions(spark, text, want):
 
 
 def test_values_over_several_lines(spark, cif):
-    text = cif(chains=[*TWO, ("C", "ACDEF")], assemblies=[[(["A", "B", "C"], [EYE, SHIFT_X])]])
-    assert "\nA,B,C 1 1,2" in text
-    got = nested(spark, text.replace("\nA,B,C 1 1,2", "\n;A,\nB,C\n; 1\n;1,2\n;"))
-    assert [[(g.chains, len(g.asmb_xforms)) for g in a] for a in got] == [[(["A", "B", "C"], 2)]]
+    text = cif(chains=[*PAIR, ("A", CHAIN)], assemblies=[[(["H", "L", "A"], [placed(0), placed(4)])]])
+    assert "\nH,L,A 1 1,2" in text
+    got = nested(spark, text.replace("\nH,L,A 1 1,2", "\n;H,\nL,A\n; 1\n;1,2\n;"))
+    assert [[(g.chains, len(g.asmb_xforms)) for g in a] for a in got] == [[(["H", "L", "A"], 2)]]
 
 
 def test_plain_and_gzipped_files(spark, cif, tmp_path):
@@ -165,7 +177,7 @@ def test_plain_and_gzipped_files(spark, cif, tmp_path):
 
 
 def test_quoted_names_and_unknown_values(spark, cif):
-    atom = """HETATM 999 O "O5'" . ALA A 1 7 1.0 ? 1.0 1.00 30.00 7 A 1"""
-    good = """HETATM 999 O "O5'" . ALA A 1 7 1.0 2.0 1.0 . ? 7 A 1"""
-    rows = mmcif.atom_rows(mmcif.entries(files(spark, cif(extra_atoms=[atom, good])))).filter("seq_id = 7").collect()
+    line = """HETATM 999 O "O5'" . ALA A 1 {0} 1.0 {1} 1.0 {2} {3} {0} A 1"""
+    extra = [line.format(END + 1, "?", "1.00", "30.00"), line.format(END + 1, "2.0", ".", "?")]
+    rows = mmcif.atom_rows(mmcif.entries(files(spark, cif(extra_atoms=extra)))).filter(F.col("seq_id") == END + 1).collect()
     assert [(r.atom, r.y, r.occ, r.b) for r in rows] == [("O5'", 2.0, 1.0, 0.0)]

@@ -123,6 +123,17 @@ def test_selection_and_samples(spark, job):
         alone, both = lens[row.sample_id], lens[f"{pdb}_A"] + lens[f"{pdb}_B"]
         want = alone if chain == "C" else (2 * both if 2 * both <= 64 else min(both, 64))
         assert row.len == want == sizes[row.sample_id]
+    shown = [c for c, kind in rows.dtypes if c not in ("sample_id", "idx") and "map<" not in kind][:2]
+    collated = samples.batches(packed, rows, shown).toPandas()
+    assert sorted(collated.cu_seqlens.map(lambda c: int(c[-1]))) == sorted(plan.groupby("batch_id").len.sum())
+    assert collated.samples.sum() == 36 and all(len(r[shown[0]]) == r.cu_seqlens[-1] for _, r in collated.iterrows())
+    records = spark.read.parquet(f"{out}/records")
+    found = {(r.pdb, r.chain_a, r.chain_b): r.score for r in samples.homolog_pairs(records).collect()}
+    matrices = {r.pdb: (r.chain_ids, r.chain_tm_scores) for r in records.collect()}
+    assert found == {
+        (pdb, a, b): m[i][j] for pdb, (ids, m) in matrices.items() for i, a in enumerate(ids) for j, b in enumerate(ids)
+        if i != j and m[i][j] is not None
+    }
     target = rows.filter("loss_mask").groupBy("sample_id").count().count()
     assert target == 36
     with pytest.raises(ValueError):
