@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators import clustering, pairs
@@ -28,22 +28,25 @@ from curata.session import stage, stage_once, table_exists
 BUCKETS = 64
 
 
-def _bucket(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-
-
 def _present(df: DataFrame) -> list[int]:
-    """The buckets of a table: at most ``BUCKETS`` numbers."""
+    """The buckets of a table: as many numbers at most."""
     return sorted(row.bucket for row in df.select("bucket").distinct().collect())
 
 
 @dataclass(frozen=True)
 class TokenIndex:
-    """Pairs at a threshold among all items ever added; ``over`` as in ``pairs.similar_pairs``."""
+    """Pairs at a threshold among all items ever added; ``over`` as in ``pairs.similar_pairs``.
+
+    ``buckets`` (``BUCKETS`` where it is None) must stay the same for a path.
+    """
 
     path: str
     at_least: float
     over: int = pairs.UNION
+    buckets: int | None = None
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets or BUCKETS)).cast("int")
 
     def batches(self, spark: SparkSession) -> int:
         """How many batches are finished."""
@@ -74,7 +77,7 @@ class TokenIndex:
         left = F.col("_n") - F.col("_place")
         least = F.lit(1) if self.over == pairs.SMALLER else F.ceil(F.lit(self.at_least) * F.col("_n") - 1e-9)
         kept = placed.select("_id", "_n", F.col("_p.t").alias("_token"), left.alias("_left")).filter(left >= least)
-        return kept.withColumn("bucket", _bucket("_token"))
+        return kept.withColumn("bucket", self._bucket("_token"))
 
     def add(self, items: DataFrame, item: str, tokens: str, batch: int | None = None) -> DataFrame:
         """File a batch and return its new pairs ``a < b, score``; ids must be new, contents distinct.
@@ -87,7 +90,7 @@ class TokenIndex:
         if table_exists(spark, f"{self.path}/done/batch={n}"):
             return spark.read.parquet(f"{self.path}/pairs/batch={n}")
         sets = items.select(F.col(item).alias("_id"), F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"))
-        new_sets = self._write(sets.withColumn("bucket", _bucket("_id")), "sets", n)
+        new_sets = self._write(sets.withColumn("bucket", self._bucket("_id")), "sets", n)
         stage_once(spark, f"{self.path}/ids/batch={n}", lambda: new_sets.select("_id"))
 
         def frequencies():
@@ -116,7 +119,7 @@ class TokenIndex:
         found = stage(met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct(), "index-candidates")
         sets = new_sets
         if n:
-            named = found.select(F.explode(F.array("a", "b")).alias("_id")).distinct().withColumn("bucket", _bucket("_id"))
+            named = found.select(F.explode(F.array("a", "b")).alias("_id")).distinct().withColumn("bucket", self._bucket("_id"))
             old = self._old(new_sets, "sets", n, _present(named)).join(named, ["_id", "bucket"], "left_semi")
             sets = new_sets.select("_id", "_tokens").unionByName(old.select("_id", "_tokens"))
         return pairs.scored_pairs(found, sets, sets, [], self.at_least, self.over)

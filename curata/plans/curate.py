@@ -109,9 +109,10 @@ def chain_scores(chains: DataFrame, cfg: CurateConfig) -> tuple[DataFrame, DataF
     """Directed structure and sequence scores between distinct sequences of a record.
 
     Returns ``members`` (pdb, chain, chain_no, rep) and ``pairs`` (pdb, a, b,
-    score, score_ab, score_ba).  Copies of a sequence share one entity.  A pair
-    is compared when its k-mers or its local shapes overlap enough; ``score``,
-    the overlap of the k-mers, is null where only the shapes do.  Coordinates
+    score, identity, score_ab, score_ba).  Copies of a sequence share one
+    entity.  A pair is compared when its k-mers or its local shapes overlap
+    enough; ``score``, the overlap of the k-mers, and ``identity``, the edit
+    similarity, are null where only the shapes do.  Coordinates
     are compared at the offset that most local shapes vote for.
     """
     copies = pairs.collapse_copies(chains.select("pdb", "chain", "sequence"), ["pdb"], "chain", "sequence")
@@ -126,7 +127,10 @@ def chain_scores(chains: DataFrame, cfg: CurateConfig) -> tuple[DataFrame, DataF
     shaped = pairs.similar_pairs(shapes, ["pdb"], "chain", "tokens", cfg.shape_similarity).select("pdb", "a", "b")
     either = pairs.with_offsets(found.join(shaped, ["pdb", "a", "b"], "full"), worded, ["pdb"], "chain", "words")
     scored = pairs.structure_scores(either, entities, ["pdb"], "chain", "trace", cfg.skip_structure_at, cfg.structure_radius)
-    return members, scored.drop("offset")
+    side = lambda name: entities.select("pdb", F.col("chain").alias(name), F.col("sequence").alias(f"_{name}"))
+    named = scored.drop("offset").join(side("a"), ["pdb", "a"]).join(side("b"), ["pdb", "b"])
+    identity = F.when(F.col("score").isNotNull(), pairs.edit_similarity("_a", "_b"))
+    return members, named.withColumn("identity", identity).drop("_a", "_b")
 
 
 def build_records(accepted: DataFrame, chains: DataFrame, cfg: CurateConfig) -> DataFrame:
@@ -147,7 +151,8 @@ def build_records(accepted: DataFrame, chains: DataFrame, cfg: CurateConfig) ->
     structure = pairs.both_directions(
         scored.select("pdb", "a", "b", "score_ab", "score_ba"), ["pdb"], score="score_ab", back="score_ba"
     ).withColumnRenamed("score_ab", "score")
-    sequence = pairs.both_directions(scored.filter("score IS NOT NULL"), ["pdb"])
+    sequence = pairs.both_directions(scored.filter("identity IS NOT NULL"), ["pdb"], score="identity")
+    sequence = sequence.withColumnRenamed("identity", "score")
     nan = F.lit(float("nan"))
     meta = accepted.select(
         "pdb", "resolution", "method", "deposit_date", "source", nan.alias("mean_plddt"), nan.alias("ptm")

@@ -90,7 +90,7 @@ def dedup_components(spark, folder):
 
 def curate_resume(spark, folder):
     """``dedup_components`` of documents that arrive in two batches: pairs from a stored index, components merged."""
-    index, labels, given = G.TokenIndex(staging_path(spark, "grown"), LINK), None, []
+    index, labels, given = G.TokenIndex(staging_path(spark, "grown"), LINK, buckets=8), None, []
     first = below(0.5, 7, "doc_id", mode="md5")
     for arrived in (first, ~first):
         docs = wide_table(spark, folder, "documents").filter(arrived)

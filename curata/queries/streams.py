@@ -18,10 +18,19 @@ def _stream(spark, folder, name):
     return I.file_stream(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
 
 
+def _in_parts(spark, folder, name, part, n):
+    """A table that arrives in ``n`` parts, one a micro-batch."""
+    rows, path = table(spark, folder, name), staging_path(spark, "arrivals")
+    for k in range(n):
+        rows.filter(part == k).coalesce(1).write.parquet(f"{path}/part={k}")
+    return I.file_stream(spark, f"{path}/*", rows.schema, files_per_batch=1)
+
+
 def stream_ingest(spark, folder):
-    """Order lines arrive, one per order is stored, and a second run adds nothing twice."""
+    """Order lines arrive in three batches, one per order is stored, and a second run adds nothing twice."""
     path = staging_path(spark, "ingest")
-    lines = _stream(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    part = F.least(F.floor((F.col("l_linenumber") - 1) / 2), F.lit(2))
+    lines = _in_parts(spark, folder, "lineitem", part, 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     I.run_available(I.start_ingest(lines, path, "l_orderkey", keys))
     I.run_available(I.start_ingest(lines, path, "l_orderkey", keys))
@@ -29,10 +38,10 @@ def stream_ingest(spark, folder):
 
 
 def stream_running_metrics(spark, folder):
-    """Event values as metric rows, every reduction, as last flushed."""
+    """Event values as metric rows in three batches, every reduction, as last merged."""
     path = staging_path(spark, "running")
     kinds = F.array(*[F.lit(r) for r in ("sum", "mean", "max", "min", "last")])
-    rows = _stream(spark, folder, "events").select(
+    rows = _in_parts(spark, folder, "events", F.col("event_id") % 3, 3).select(
         F.col("event_type").alias("key"),
         F.explode(kinds).alias("reduction"),
         "value",

@@ -62,6 +62,10 @@ def test_records(spark, job):
     assert sorted(row.chains) == ["A", "B", "C"] and row.chain_ids == ["A", "B", "C"]
     m = row.chain_seq_identity
     assert [m[i][i] for i in range(3)] == [1, 1, 1] and m[0][2] == 1 and m[0][1] == m[1][0]
+    a, b = row.chains["A"].sequence, row.chains["B"].sequence
+    if m[0][1] is not None:
+        distance = spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b))).first()[0]
+        assert abs(m[0][1] - (1 - distance / max(len(a), len(b)))) < 1e-6
     assert len(row.assemblies) == 1 and len(row.assemblies[0][0].asmb_xforms) == 2
     shards = spark.read.parquet(f"{out}/shards")
     assert shards.select("pdb").distinct().count() == shards.count() == 12
