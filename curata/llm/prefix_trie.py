@@ -92,7 +92,7 @@ def dealt(keyed: DataFrame, splits: list[bytes]) -> DataFrame:
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
-    """``conv, pos, hash, points, n``: each turn's place from 1, its hash and code points, staged."""
+    """``conv, pos, hash, points``: each turn's place from 1, its hash and code points, staged."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turn = F.col("turn").cast("long")
     conv = F.col("conv_id").cast("long")
