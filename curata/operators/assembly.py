@@ -180,6 +180,9 @@ def construct_samples(
     Copies run outside chains, chains outside residues.  Only the backbone
     atoms are carried, as no construct function reads more.  A sample is at
     most the crop size, so numbering it in one window is bounded.
+
+    Residues are often exploded from a small file, whose size Spark takes for
+    theirs; so their join is named, and they are never sent to every executor.
     """
     build = CONSTRUCTS[construct] if isinstance(construct, str) else construct
     valid = backbone_present(residues).select(
@@ -191,7 +194,7 @@ def construct_samples(
         placed = placed.join(marked, ["pdb", "target", "chain"], "left")
     else:
         placed = placed.withColumn("_homolog", F.lit(None).cast("boolean"))
-    rows = placed.join(valid, ["pdb", "chain"]).filter(F.col("pos") < F.col("used"))
+    rows = placed.join(valid.hint("merge"), ["pdb", "chain"]).filter(F.col("pos") < F.col("used"))
     is_target = F.col("chain") == F.col("target")
     rows = rows.select(
         "sample_id",
