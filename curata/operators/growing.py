@@ -121,8 +121,8 @@ class TokenIndex:
         if n:
             named = found.select(F.explode(F.array("a", "b")).alias("_id")).distinct().withColumn("bucket", self._bucket("_id"))
             old = self._old(new_sets, "sets", n, _present(named)).join(named, ["_id", "bucket"], "left_semi")
-            sets = new_sets.select("_id", "_tokens").unionByName(old.select("_id", "_tokens"))
-        return pairs.scored_pairs(found, sets, sets, [], self.at_least, self.over)
+            sets = new_sets.select("_id", "_n", "_tokens").unionByName(old.select("_id", "_n", "_tokens"))
+        return pairs.scored_pairs(found, sets, [], self.at_least, self.over).select("a", "b", "score")
 
     def _all(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(*[f"{self.path}/{name}/batch={k}" for k in range(self.batches(spark))])

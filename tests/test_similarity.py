@@ -275,3 +275,33 @@ def test_resumable_sweep_reuses_finished_steps(spark, tmp_path):
     again = C.resumable_sweep(spark, path, scored, items, (0.5, 0.9), "mmseqs", C.COMPONENTS)
     assert calls == [1] and first.columns == ["member", "mmseqs_50", "mmseqs_90"]
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+
+
+
+def test_pairs_of_copies_do_not_carry_their_tokens(spark):
+    """Near copies: each item goes to few blocks, however many partners it has."""
+    n, size = 150, 40
+    own = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.when(k == 1, -1 - F.col("id")).otherwise(k))
+    df = spark.range(n).select("id", own.alias("t"))
+    rows = S.overlapping_pairs(df, [], "id", "t", 0.5).collect()
+    assert {(r.a, r.b) for r in rows} == {(i, j) for j in range(n) for i in range(j)}
+    assert {(r.shared, r.size_a, r.size_b, r.score) for r in rows} == {(size - 1, size, size, (size - 1) / (size + 1))}
+    given = spark.createDataFrame([(r.a, r.b, "x") for r in rows], "a long, b long, more string")
+    items = df.select(F.col("id").alias("_id"), "t")
+    found = S.in_blocks(given, items, [], ["t"], lambda x, y: F.size(F.array_union(x["t"], y["t"])))
+    assert {(r.more, r.value) for r in found.collect()} == {("x", size + 1)} and found.count() == len(rows)
+    # The texts of a pair travel by block: one row for each two blocks, not for each pair.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan and "explode" in plan
+
+
+def test_tokens_are_shuffled_once_and_made_once(spark, tmp_path):
+    """Neither the counting of tokens nor their explosion asks for a second pass over the texts."""
+    spark.range(20).select(F.col("id"), F.concat_ws(" ", F.lit("a b c"), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    sets = docs.select(F.col("id").alias("_id"), S.token_hashes(S.word_shingles("text", 2)).alias("_tokens")).withColumn("_n", F.size("_tokens"))
+    shared = S.shared_sets(sets, [])
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert {(r["_n"], len(r["_tokens"])) for r in shared.collect()} == {(3, 2)}
+    assert plan.count("FileScan") == plan.count("hashpartitioning(_token") == 1
+    assert "Filter (size" not in plan
