@@ -305,3 +305,12 @@ def test_tokens_are_shuffled_once_and_made_once(spark, tmp_path):
     assert {(r["_n"], len(r["_tokens"])) for r in shared.collect()} == {(3, 2)}
     assert plan.count("FileScan") == plan.count("hashpartitioning(_token") == 1
     assert "Filter (size" not in plan
+
+
+def test_streams_of_a_pair_travel_by_block(spark):
+    items = spark.createDataFrame([(i, [i, 1, 2, 3, 4]) for i in range(20)], "id long, t array<int>")
+    found = spark.createDataFrame([(i, j, 4 / 6) for j in range(10, 20) for i in range(10)], "a long, b long, score double")
+    edges = C.covering(found, items, "id", "t", 1, 0.8)
+    assert "map_from_entries" in edges._jdf.queryExecution().optimizedPlan().toString()
+    # The items 1 to 4 repeat a word: their stretch with others is the whole.
+    assert {(r.a, r.b) for r in edges.collect()} == {(i, j) for j in range(10, 20) for i in range(10)}
