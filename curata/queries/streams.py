@@ -18,22 +18,27 @@ def _stream(spark, folder, name):
     return I.file_stream(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
 
 
-def _in_parts(spark, folder, name, part, n):
-    """A table that arrives in ``n`` parts, one a micro-batch."""
+def _run_in_parts(spark, folder, name, part, n, start):
+    """Let a table arrive in ``n`` parts and run ``start(stream)`` after each: one micro-batch a part.
+
+    A part arrives as the files that its tasks write, however many.  All runs
+    share the checkpoint of ``start``, so each one takes only what is new.
+    """
     rows, path = table(spark, folder, name), staging_path(spark, "arrivals")
     for k in range(n):
-        rows.filter(part == k).coalesce(1).write.parquet(f"{path}/part={k}")
-    return I.file_stream(spark, f"{path}/*", rows.schema, files_per_batch=1)
+        rows.filter(part == k).write.parquet(f"{path}/part={k}")
+        I.run_available(start(I.file_stream(spark, f"{path}/*", rows.schema)))
+    return I.file_stream(spark, f"{path}/*", rows.schema)
 
 
 def stream_ingest(spark, folder):
     """Order lines arrive in three batches, one per order is stored, and a second run adds nothing twice."""
     path = staging_path(spark, "ingest")
     part = F.least(F.floor((F.col("l_linenumber") - 1) / 2), F.lit(2))
-    lines = _in_parts(spark, folder, "lineitem", part, 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    I.run_available(I.start_ingest(lines, path, "l_orderkey", keys))
-    I.run_available(I.start_ingest(lines, path, "l_orderkey", keys))
+    ingest = lambda lines: I.start_ingest(lines.select(*keys), path, "l_orderkey", keys)
+    lines = _run_in_parts(spark, folder, "lineitem", part, 3, ingest)
+    I.run_available(ingest(lines))
     return I.ingested(spark, path, "index")
 
 
@@ -41,14 +46,18 @@ def stream_running_metrics(spark, folder):
     """Event values as metric rows in three batches, every reduction, as last merged."""
     path = staging_path(spark, "running")
     kinds = F.array(*[F.lit(r) for r in ("sum", "mean", "max", "min", "last")])
-    rows = _in_parts(spark, folder, "events", F.col("event_id") % 3, 3).select(
-        F.col("event_type").alias("key"),
-        F.explode(kinds).alias("reduction"),
-        "value",
-        F.lit(2).cast("bigint").alias("n"),
-        F.col("event_id").alias("batch_id"),
-    )
-    I.run_available(I.start_updates(I.running_metrics(rows), path, ["key", "reduction"]))
+
+    def merge(events):
+        rows = events.select(
+            F.col("event_type").alias("key"),
+            F.explode(kinds).alias("reduction"),
+            "value",
+            F.lit(2).cast("bigint").alias("n"),
+            F.col("event_id").alias("batch_id"),
+        )
+        return I.start_updates(I.running_metrics(rows), path, ["key", "reduction"])
+
+    _run_in_parts(spark, folder, "events", F.col("event_id") % 3, 3, merge)
     out = I.latest(spark, path)
     return out.select("key", "reduction", F.round("value", 6).alias("value"))
 
