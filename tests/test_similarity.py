@@ -314,3 +314,26 @@ def test_streams_of_a_pair_travel_by_block(spark):
     assert "map_from_entries" in edges._jdf.queryExecution().optimizedPlan().toString()
     # The items 1 to 4 repeat a word: their stretch with others is the whole.
     assert {(r.a, r.b) for r in edges.collect()} == {(i, j) for j in range(10, 20) for i in range(10)}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_dense_pairs_against_all_pairs(spark, monkeypatch, by):
+    """Several blocks and strips; no table of candidates is staged."""
+    monkeypatch.setattr(S, "DENSE", 40)
+    monkeypatch.setattr(S, "STRIP", 1_000)
+    rng = random.Random(8)
+    rows = []
+    for g in "ab":
+        for i in range(150):
+            kind = 100 * rng.randrange(4)
+            rows.append((g, i if by else 1000 * "ab".index(g) + i, sorted({7, *(kind + rng.randrange(30) for _ in range(rng.randrange(1, 25)))})))
+    rows += [("a", 5000, []), ("b", 5001, [])]
+    want = set()
+    for g, i, x in rows:
+        for h, j, y in rows:
+            both = len(set(x) & set(y))
+            if i < j and (not by or g == h) and both and both / len(set(x) | set(y)) >= 0.4:
+                want.add((*((g,) if by else ()), i, j, both, len(x), len(y), both / len(set(x) | set(y))))
+    df = spark.createDataFrame(rows, "g string, id int, tokens array<int>")
+    got = [tuple(r) for r in S.dense_pairs(df, by, "id", "tokens", 0.4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want != set()
