@@ -337,3 +337,15 @@ def test_dense_pairs_against_all_pairs(spark, monkeypatch, by):
     df = spark.createDataFrame(rows, "g string, id int, tokens array<int>")
     got = [tuple(r) for r in S.dense_pairs(df, by, "id", "tokens", 0.4).collect()]
     assert len(got) == len(set(got)) and set(got) == want != set()
+
+
+def test_edit_similarities_are_those_of_the_column(spark):
+    """Many pairs at once: empty, equal, short and long texts, letters of several bytes, a bound between them."""
+    rng = random.Random(4)
+    words = ["", "a", "é", "kitten", "sitting", *("".join(rng.choices("abcdé😀", k=rng.randrange(60))) for _ in range(40))]
+    rows = [(a, b) for a in words for b in words]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for at_least in (0.0, 0.5):
+        both = S.edit_similarities(df, "a", "b", "got", at_least).withColumn("want", S.edit_similarity("a", "b", at_least)).collect()
+        assert len(both) == len(rows) and all(r.got == r.want for r in both)
+    assert -1.0 in {r.got for r in both} and len({r.got for r in both}) > 2
