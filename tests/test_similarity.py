@@ -349,3 +349,11 @@ def test_edit_similarities_are_those_of_the_column(spark):
         both = S.edit_similarities(df, "a", "b", "got", at_least).withColumn("want", S.edit_similarity("a", "b", at_least)).collect()
         assert len(both) == len(rows) and all(r.got == r.want for r in both)
     assert -1.0 in {r.got for r in both} and len({r.got for r in both}) > 2
+
+
+def test_sets_without_enough_shared_tokens_are_not_staged(spark):
+    """An item of which too few tokens are anywhere else cannot qualify with any other."""
+    rows = [(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [1, 10, 11, 12]), (4, [20, 21])]
+    df = spark.createDataFrame(rows, "id int, tokens array<int>")
+    assert sorted(r._id for r in S.able_sets(df, [], "id", "tokens", 0.5).collect()) == [1, 2]
+    assert sorted(r._id for r in S.able_sets(df, [], "id", "tokens", 0.5, S.SMALLER).collect()) == [1, 2, 3]
