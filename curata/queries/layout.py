@@ -12,6 +12,7 @@ from curata.sinks import writers
 
 TARGET = 65_536
 LANES = 3
+TOGETHER = 256  # of these small shards; 16 MB
 
 
 def _documents(spark, folder):
@@ -38,7 +39,7 @@ def shard_round_trip(spark, folder):
     placed = byte_layout(spark, folder).select("doc_id", "shard_no", "offset")
     path = staging_path(spark, "shards")
     documents = table(spark, folder, "documents").join(placed, "doc_id")
-    writers.write_shards(documents, path, order=["offset"])
+    writers.write_shards(documents, path, order=["offset"], together=TOGETHER)
     back = spark.read.parquet(path)
     return back.groupBy("source", F.col("shard_no").cast("bigint").alias("shard_no")).agg(
         F.count(F.lit(1)).alias("entries"),

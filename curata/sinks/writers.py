@@ -47,17 +47,28 @@ def write_records(df: DataFrame, path: str, partition_by=(), level: int = ZSTD_L
 
 
 def write_shards(
-    records: DataFrame, path: str, source: str = "source", shard: str = "shard_no", order=(), level: int = ZSTD_LEVEL
-) -> None:
+    records: DataFrame, path: str, source: str = "source", shard: str = "shard_no", order=(), level: int = ZSTD_LEVEL,
+    together: int = 1,
+) -> None:
     """One folder per source and shard, each written by one task.
 
     The layout step has bounded the bytes of a shard, so this holds for hot
     sources too; a source is spread over its shards.
+
+    A file costs the same whatever it holds.  Of small shards, ``together``
+    neighbours of a source share a folder ``shards=<first of them>``; there
+    ``shard`` is a column of the file, whose rows stand shard by shard.
     """
-    placed = records.repartition(source, shard)
-    if order:
-        placed = placed.sortWithinPartitions(source, shard, *order)
-    write_records(placed, path, [source, shard], level)
+    if together < 1:
+        raise ValueError("a folder holds one shard at least")
+    folder = shard
+    if together > 1:
+        folder = "shards"
+        records = records.withColumn(folder, F.col(shard) - F.pmod(F.col(shard), F.lit(together)))
+    placed = records.repartition(source, folder)
+    if order or together > 1:
+        placed = placed.sortWithinPartitions(source, folder, *([shard] if together > 1 else []), *order)
+    write_records(placed, path, [source, folder], level)
 
 
 def append_checkpoint(rows: DataFrame, path: str) -> None:

@@ -89,3 +89,16 @@ def test_catalogues(spark):
     assert [r.pdb for r in R.search_ids(docs).collect()] == ["1abc"]
     held = spark.createDataFrame([('{"1ABC": {"a": 1}, "2DEF": {}}',)], "value string")
     assert sorted(r.pdb for r in R.holdings_ids(held).collect()) == ["1abc", "2def"]
+
+
+def test_small_shards_share_folders(spark, tmp_path):
+    rows = [(f"k{i}", f"s{i % 2}", i // 10, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "pdb string, source string, shard_no bigint, offset bigint").repartition(7)
+    writers.write_shards(df, f"{tmp_path}/s", order=["offset"], together=16)
+    folders = {str(p.parent.relative_to(tmp_path / "s")) for p in (tmp_path / "s").rglob("*.parquet")}
+    assert folders == {f"source=s{s}/shards={n}" for s in (0, 1) for n in (0, 16, 32)}
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(tuple(r) for r in back.select(df.columns).collect()) == sorted(rows)
+    for file in (tmp_path / "s").rglob("*.parquet"):
+        places = [(r.shard_no, r.offset) for r in spark.read.parquet(str(file)).collect()]
+        assert places == sorted(places)
