@@ -42,6 +42,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """The data blocks of ``writers.write_cif_bundles`` as ``path, content, pdb``, one row each."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path).filter(F.length("value") > 0)
+    return blocks.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("content"),
+        F.regexp_extract("value", r"(?m)^_entry\.id (.*)$", 1).alias("pdb"),
+    )
+
+
 def _labelled(refined: bool):
     return lambda spark, location: read_text(spark, location).withColumn("is_refined", F.lit(refined))
 

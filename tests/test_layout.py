@@ -102,3 +102,19 @@ def test_small_shards_share_folders(spark, tmp_path):
     for file in (tmp_path / "s").rglob("*.parquet"):
         places = [(r.shard_no, r.offset) for r in spark.read.parquet(str(file)).collect()]
         assert places == sorted(places)
+
+
+def test_chains_share_files(spark, tmp_path):
+    from curata.sources import mmcif
+
+    rows = [(f"{p}_x", c, r + 1, s, "ALA", a, p + r / 2, s / 4, -1.5, 2.5)
+            for p in range(30) for c in ("A", "b_C") for r in range(3) for s, a in enumerate(["N", "CA"])]
+    atoms = spark.createDataFrame(
+        rows, "pdb string, chain string, seq_no int, slot int, resname string, atom string, x double, y double, z double, b double"
+    )
+    writers.write_cif_bundles(writers.backbone_cif(atoms).coalesce(2), f"{tmp_path}/c")
+    assert len(list((tmp_path / "c").glob("*.gz"))) <= 2
+    blocks = mmcif.read_bundles(spark, f"{tmp_path}/c")
+    assert blocks.count() == 60
+    got = mmcif.atom_rows(blocks).select("pdb", "chain", "seq_id", "resname", "atom", "x", "y", "z", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((p, c, r, n, a, x, y, z, b) for p, c, r, _, n, a, x, y, z, b in rows)
