@@ -50,6 +50,7 @@ LENGTH = 100
 SEED = 32
 BATCHES = 8
 BUFFER = 1 << 19
+PIECE = 1 << 14
 
 REPEAT, PARTLY, ASK, TELL = 0, 1, 2, 3
 
@@ -121,6 +122,17 @@ def _batch(seed, reach, doc, at, n):
     return record(_FOUND, longs(seed), longs(reach), longs(doc), longs(at), longs(n))
 
 
+def _pieces(run):
+    """``run`` with its results in small batches: each is held whole by Python and, outside the heap, by the JVM."""
+
+    def small(batches):
+        for out in run(batches):
+            for first in range(0, out.num_rows, PIECE):
+                yield out.slice(first, PIECE)
+
+    return small
+
+
 def _repeats(doc, at, n):
     doc, at, n = joined_runs(doc, at, n)
     zero = np.zeros(len(doc), np.int64)
@@ -323,7 +335,7 @@ def _by_document(found: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
     """``_doc, _tag, runs``: windows that start earlier elsewhere, as runs of start positions."""
     rows = identified(docs)
-    found = rows.mapInArrow(_scan(length, seed), _FOUND_SQL)
+    found = rows.mapInArrow(_pieces(_scan(length, seed)), _FOUND_SQL)
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = max(1, ((hi or 0) - (lo or 0)) // batches + 1)
     number = F.when(F.col("doc") < F.lit(lo or 0), F.lit(0)).otherwise(
@@ -331,12 +343,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, ba
     )
     dealt = found.repartition("seed").withColumn("batch", number.cast("long"))
     indexed = settle(
-        dealt.sortWithinPartitions("batch", "seed", "reach", "doc", "at").mapInArrow(_index, _FOUND_SQL),
+        dealt.sortWithinPartitions("batch", "seed", "reach", "doc", "at").mapInArrow(_pieces(_index), _FOUND_SQL),
         "suffix-runs",
     )
     partly = _by_document(indexed.filter(F.col("n") % 4 == PARTLY))
     asked = partly.join(packed(docs), ["_doc", "_tag"]).select("_doc", "_tag", "runs", "packed")
-    windows = asked.mapInArrow(_windows(length), _FOUND_SQL).repartition("seed").mapInArrow(_compare, _FOUND_SQL)
+    windows = asked.mapInArrow(_pieces(_windows(length)), _FOUND_SQL).repartition("seed")
+    windows = windows.mapInArrow(_pieces(_compare), _FOUND_SQL)
     settled = settle(windows, "suffix-windows")
     return _by_document(indexed.filter(F.col("n") % 4 == REPEAT).unionByName(settled))
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -104,6 +105,14 @@ def test_levels_merge_geometrically():
     assert [rank for rank, _ in family.levels] == [3, 0]
 
 
+def test_suffix_results_leave_in_small_batches():
+    n = 2 * suffix_dedup.PIECE + 5
+    whole = suffix_dedup._batch(*(np.arange(n) + k for k in range(5)))
+    pieces = list(suffix_dedup._pieces(lambda batches: batches)([whole, whole.slice(0, 0), whole.slice(0, 3)]))
+    assert [p.num_rows for p in pieces] == [suffix_dedup.PIECE, suffix_dedup.PIECE, 5, 3]
+    assert pa.Table.from_batches(pieces[:3]).combine_chunks().equals(pa.Table.from_batches([whole]))
+
+
 def test_cut_text_keeps_rows_and_whole_characters(spark, docs):
     out = {r.doc_id: r for r in suffix_dedup.without_repeats(docs).collect()}
     want = suffix_dedup.brute_force([(r.doc_id, r.text.encode()) for r in docs.collect()])
