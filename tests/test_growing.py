@@ -14,7 +14,7 @@ from curata.operators import clustering as C
 from curata.operators import growing as G
 from curata.operators import ordered as O
 from curata.operators import pairs as S
-from curata.operators import profile
+from curata.operators import profile, sift
 from curata.plans import curate, registry
 from curata.streaming import ingest
 
@@ -172,6 +172,25 @@ def test_a_batch_reads_its_own_buckets_and_no_old_items(spark, tmp_path):
     assert again.count() == 3
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_without_enough_in_common_leave_before_their_tokens_are_moved(spark, monkeypatch, kind):
+    monkeypatch.setattr(sift, "SETS", 25)
+    monkeypatch.setattr(sift, "PACKED", 100)
+    own = lambda i: [1000 * i + j for j in range(3, 23)]
+    sets = {i: own(i) for i in range(100)}  # alone
+    sets |= {100 + i: own(i)[: 9 + i % 2] + own(1000 + i)[:10] for i in range(100)}  # 9 or 10 of a set above
+    sets |= {200: [], 201: [1], 202: [1], 203: [2]}
+    rows = [(i, t, i >= 100) for i, t in sets.items()]
+    df = spark.createDataFrame(rows, "id long, t array<long>, _new boolean").repartition(4)
+    df = df.select(F.col("id").cast(kind).alias("id"), S.token_hashes("t").alias("t"), "_new")
+    able = lambda d: sorted(int(r.id) for r in S.able_items(d, "id", "t", 0.5).collect())
+    assert able(df.drop("_new")) == able(df) == [*range(1, 200, 2), 201, 202]
+    # Nothing is new: nothing has a new partner.  New sets count old ones.
+    assert able(df.withColumn("_new", F.lit(False))) == []
+    assert able(df.withColumn("_new", F.col("id") == "201")) == [201, 202]
+    assert able(df.limit(0)) == []
+
+
 def test_components_merge(spark):
     r = random.Random(3)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(70)]
