@@ -13,6 +13,11 @@ and ``done``.  A batch reads only the buckets it has tokens or candidates in.
 order for ever, common ones last.  Any fixed order gives the same pairs; a
 better one only means fewer candidates, so an index whose data have changed
 much is worth building anew.
+
+An index whose batches are ``large`` has no ``prefix`` and no ``order``: a batch
+that has tokens in every bucket reads all of them anyway.  It reads the stored
+tokens once for short codes (``pairs.able_items``), which tell the items that can
+have a new partner at all, and only the tokens of those are moved and ordered.
 """
 
 from __future__ import annotations
@@ -37,13 +42,15 @@ def _present(df: DataFrame) -> list[int]:
 class TokenIndex:
     """Pairs at a threshold among all items ever added; ``over`` as in ``pairs.similar_pairs``.
 
-    ``buckets`` (``BUCKETS`` where it is None) must stay the same for a path.
+    ``buckets`` (``BUCKETS`` where it is None) and ``large`` must stay the same for a path;
+    ``large`` batches need tokens that are hashes of 64 bits.
     """
 
     path: str
     at_least: float
     over: int = pairs.UNION
     buckets: int | None = None
+    large: bool = False
 
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets or BUCKETS)).cast("int")
@@ -90,6 +97,12 @@ class TokenIndex:
         if table_exists(spark, f"{self.path}/done/batch={n}"):
             return spark.read.parquet(f"{self.path}/pairs/batch={n}")
         sets = items.select(F.col(item).alias("_id"), F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"))
+        if self.large:
+            new_sets = stage_once(spark, f"{self.path}/sets/batch={n}", lambda: sets)
+            stage_once(spark, f"{self.path}/ids/batch={n}", lambda: new_sets.select("_id"))
+            found = stage_once(spark, f"{self.path}/pairs/batch={n}", lambda: self._large_pairs(spark, n, new_sets))
+            stage_once(spark, f"{self.path}/done/batch={n}", lambda: spark.range(1))
+            return found
         new_sets = self._write(sets.withColumn("bucket", self._bucket("_id")), "sets", n)
         stage_once(spark, f"{self.path}/ids/batch={n}", lambda: new_sets.select("_id"))
 
@@ -124,6 +137,22 @@ class TokenIndex:
             sets = new_sets.select("_id", "_n", "_tokens").unionByName(old.select("_id", "_n", "_tokens"))
         return pairs.scored_pairs(found, sets, [], self.at_least, self.over).select("a", "b", "score")
 
+    def _large_pairs(self, spark: SparkSession, n: int, new: DataFrame) -> DataFrame:
+        sets = new.select("_id", "_n", "_tokens", F.lit(True).alias("_new"))
+        if n:
+            old = spark.read.schema(new.schema).parquet(*[f"{self.path}/sets/batch={k}" for k in range(n)])
+            sets = sets.unionByName(old.select("_id", "_n", "_tokens", F.lit(False).alias("_new")))
+        able = pairs.able_items(sets, "_id", "_tokens", self.at_least, self.over, self.buckets or BUCKETS)
+        shared = pairs.shared_sets(sets.join(able, "_id", "left_semi"), [])
+        shared = stage(pairs.enough(shared, self.at_least, self.over), "index-shared")
+        rows = stage(pairs.prefixes(shared, [], self.at_least, self.over), "index-met")
+        fresh, stored = rows.filter("_new"), rows.filter("NOT _new")
+        met = pairs.candidate_pairs(fresh, fresh, [], self.at_least, self.over)
+        for large, small in ((fresh, stored), (stored, fresh)) if n else ():
+            met = met.unionByName(pairs.candidate_pairs(large, small, [], self.at_least, self.over))
+        found = met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+        return pairs.scored_pairs(found, shared, [], self.at_least, self.over).select("a", "b", "score")
+
     def _all(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(*[f"{self.path}/{name}/batch={k}" for k in range(self.batches(spark))])
 

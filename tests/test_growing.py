@@ -172,6 +172,23 @@ def test_a_batch_reads_its_own_buckets_and_no_old_items(spark, tmp_path):
     assert again.count() == 3
 
 
+@pytest.mark.usefixtures("few_buckets")
+@pytest.mark.parametrize("over", [S.UNION, S.SMALLER, S.LARGER])
+def test_large_batches_give_the_pairs_of_one_run(spark, tmp_path, monkeypatch, over):
+    monkeypatch.setattr(sift, "SETS", 20)
+    monkeypatch.setattr(sift, "PACKED", 40)
+    sets = token_sets(40 + over, 150)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, t array<long>")
+    df = df.select("id", S.token_hashes("t").alias("t"))
+    index = G.TokenIndex(str(tmp_path / "index"), 0.5, over, large=True)
+    for k in range(3):
+        index.add(df.filter(F.col("id") % 3 == k), "id", "t")
+    index.add(df.limit(0), "id", "t")
+    found = sorted((r.a, r.b, r.score) for r in index.found(spark).collect())
+    assert found == sorted((r.a, r.b, r.score) for r in S.similar_pairs(df, [], "id", "t", 0.5, over).collect())
+    assert index.batches(spark) == 4 and index.known(spark).count() == 150
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_items_without_enough_in_common_leave_before_their_tokens_are_moved(spark, monkeypatch, kind):
     monkeypatch.setattr(sift, "SETS", 25)
