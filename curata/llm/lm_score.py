@@ -12,7 +12,8 @@ frequency; sorted by spelling inside a tier), each given the digits before it,
 with the frequencies of the training texts as a starting point.  So the
 probabilities of all ids sum to one at a small cost.
 
-The ids are those of the text's lower-cased words, each after one space.
+The ids are those of the text's lower-cased words, each after one space.  Texts
+are encoded once; ids spell out these words again where a text is scored.
 
 **Training.**  Training texts are dealt by a hash of the row to lanes of about
 ``LANE_BYTES`` of text, so there are more lanes for more text and what a lane
@@ -302,9 +303,8 @@ class Attention:
             if not (np.isfinite(total).all() and total.all()):
                 p = np.exp(z - z.max(1, keepdims=True))
                 total = p.sum(1, keepdims=True)
-            p /= total
-            p[each, digits[:, j]] -= 1
-            p /= len(p)
+            p /= total * np.float32(len(p))
+            p[each, digits[:, j]] -= np.float32(1 / len(p))
             g[f"digit{j}"] = states[j].T @ p
             back.append(p @ w[f"digit{j}"].T)
         one = np.eye(DIGIT, dtype=np.float32)
@@ -363,17 +363,46 @@ class Attention:
         return self
 
 
-def packed_lanes(training: DataFrame, path: str, pattern: str, lanes: int, kind: type) -> DataFrame:
-    """``lane, windows, ids, ends``: the texts dealt to each lane, as ids in one row."""
-    schema = pa.schema([("lane", pa.int64()), ("windows", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
+def encoded(docs: DataFrame, path: str, pattern: str, kind: type) -> DataFrame:
+    """``doc_id, key, ids``, staged: every text as ids between its marks, encoded once for learning and scoring."""
+    field = docs.select("doc_id").schema["doc_id"]
 
     def encode(batches):
         tokens = Tokens(path, pattern)
-        part = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
         for block in blocks(batches):
             ids, ends = tokens.sequences([spaced(block.raw(i)) for i in range(len(block.ends) - 1)])
             ids = ids.astype(kind)
-            yield record(part, block.rows.column("key"), [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+            rows = block.rows
+            schema = pa.schema([rows.schema.field("doc_id"), ("key", pa.int64()), ("ids", pa.binary())])
+            yield record(schema, rows.column("doc_id"), rows.column("key"), [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+
+    text = whole_text()
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    return settle(rows.mapInArrow(encode, f"doc_id {field.dataType.simpleString()}, key long, ids binary"), "lm-ids")
+
+
+def spelled_out(batches, tokens: Tokens, kind: type, limit: int):
+    """Blocks of the texts that ids stand for, about ``limit`` ids each, with the ids and their ends."""
+    flat = np.frombuffer(b"".join(tokens.spelled), np.uint8)
+    width = np.array([*map(len, tokens.spelled), 0, 0], np.int64)
+    at = np.cumsum(width) - width
+    for batch in batches:
+        column = batch.column("ids").cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // kind().itemsize
+        every, first = np.frombuffer(column.buffers()[2], kind) if len(column) else None, 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
+            ids, own = every[ends[first] : ends[last]].astype(np.int32), ends[first : last + 1] - ends[first]
+            wide = width[ids]
+            bytes_to = np.concatenate([[0], np.cumsum(wide)])
+            data = flat[np.repeat(at[ids] - bytes_to[:-1], wide) + np.arange(bytes_to[-1])]
+            yield Block(batch.slice(first, last - first), data, bytes_to[own]), ids, own
+            first = last
+
+
+def packed_lanes(coded: DataFrame, lanes: int, kind: type) -> DataFrame:
+    """``lane, windows, ids, ends``: the texts dealt to each lane, as ids in one row."""
+    schema = pa.schema([("lane", pa.int64()), ("windows", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
 
     def lay(key, table):
         order = np.argsort(np.asarray(table.column("key")), kind="stable")
@@ -382,9 +411,7 @@ def packed_lanes(training: DataFrame, path: str, pattern: str, lanes: int, kind:
         row = [key[0].as_py()], [len(windows(ends)[0])], [b"".join(own)], [ends.tobytes()]
         return pa.Table.from_batches([record(schema, *row)])
 
-    text = whole_text()
-    rows = training.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(encode, "key long, ids binary")
-    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane"), "key", "ids")
+    dealt = coded.select(F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane"), "key", "ids")
     return dealt.groupBy("lane").applyInArrow(lay, "lane long, windows long, ids binary, ends binary")
 
 
@@ -482,16 +509,21 @@ def one_round(lanes: DataFrame, model: Attention, part: int, passes: int, kind:
     return Attention(w, model.digits)
 
 
-def fit(docs: DataFrame, path: str, pattern: str, steps: int = STEPS) -> Attention:
-    """Train on all training texts, in Spark."""
+def id_kind(tokens: Tokens) -> type:
+    return np.uint16 if tokens.end < 1 << 16 else np.int32
+
+
+def fit(docs: DataFrame, path: str, pattern: str, steps: int = STEPS, coded: DataFrame | None = None) -> Attention:
+    """Train on all training texts, in Spark; ``coded`` are all texts ``encoded``, if they are already."""
     training = docs.filter(~held_out("doc_id", MODULUS, HELD))
     # An empty text counts for one byte: it has an end to be learned.
     size = training.agg(F.sum(F.octet_length(whole_text()) + 1)).first()[0] or 0
     tokens = Tokens(path, pattern)
     if not size:
         return Attention.start(np.zeros(tokens.size + 2), tokens.spelled)
-    kind = np.uint16 if tokens.end < 1 << 16 else np.int32
-    lanes = settle(packed_lanes(training, path, pattern, -(-size // LANE_BYTES), kind), "lm-lanes")
+    kind = id_kind(tokens)
+    coded = (encoded(training, path, pattern, kind) if coded is None else coded).filter(~held_out("doc_id", MODULUS, HELD))
+    lanes = settle(packed_lanes(coded, -(-size // LANE_BYTES), kind), "lm-lanes")
     model = Attention.start(id_counts(lanes, tokens.size + 2, kind), tokens.spelled)
     passes = max(1, -(-steps * BATCH // lanes.agg(F.sum("windows")).first()[0]))
     for part in range(ROUNDS):
@@ -510,7 +542,9 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     common = counts.filter(F.col("c") * PARTS >= F.lit(total)).orderBy("code").toArrow()
     code = np.asarray(common.column("code").combine_chunks(), np.int64)
     count = np.asarray(common.column("c").combine_chunks(), np.float64)
-    model = fit(docs, path, pattern)
+    packing = id_kind(Tokens(path, pattern))
+    coded = encoded(docs, path, pattern, packing)
+    model = fit(docs, path, pattern, coded=coded)
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((code, count, model))
     share_log = np.log10(total + distinct + 1)
@@ -520,7 +554,7 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         code, count, model = shared.value
         tokens, part, number = Tokens(path, pattern), TaskContext.get().partitionId(), 0
-        for block in blocks(batches, limit=1 << 19):
+        for block, ids, ends in spelled_out(batches, tokens, packing, 1 << 17):
             rows = len(block.ends) - 1
             word, text, length = word_codes(block)
             signed = word.view(np.int64)
@@ -536,7 +570,6 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             c, size = np.insert(c, last, texts), np.insert(length + 1, last, 1)
             before = np.arange(len(owner)) - np.repeat(last - per + np.arange(rows), n_tokens)
             again = np.insert(earlier(signed, text), last, 0)
-            ids, ends = tokens.sequences([spaced(block.raw(i)) for i in range(rows)])
             # An id belongs to the word that holds its first byte.
             first = np.cumsum(size) - size
             width = tokens.lengths[ids]
@@ -564,9 +597,8 @@ def scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             none = [pa.nulls(len(rare), schema.field(i).type) for i in range(1, 6)]
             yield record(schema, uid[text[rare]], *none, signed[rare], (share - without)[place])
 
-    rows = docs.select("doc_id", whole_text().alias("text"))
     out = settle(
-        rows.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, code long, odds double"),
+        coded.select("doc_id", "ids").mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, code long, odds double"),
         "lm-rows",
     )
     rare = out.filter("code IS NOT NULL").select("uid", "code", "odds")

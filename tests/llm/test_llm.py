@@ -311,6 +311,26 @@ def test_model_learns_from_every_training_row(spark, monkeypatch):
     assert all(np.allclose(model.w[n], again.w[n], atol=1e-5) for n in model.w)
 
 
+def test_texts_are_encoded_once(spark, tmp_path, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["", " \t ", "One\x0btwo  THREE\n", "a b a b " * 60, "Größe 中文 \U0001f600 x", None])]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    tokens, log = lm_score.Tokens(PATH, PATTERN), tmp_path / "encoded"
+    given = lm_score.Tokens.sequences
+
+    def noted(self, texts):
+        with open(log, "a") as file:
+            file.write("x" * len(texts))
+        return given(self, texts)
+
+    coded = lm_score.encoded(docs, PATH, PATTERN, np.uint16)
+    monkeypatch.setattr(lm_score.Tokens, "sequences", noted)
+    batches = coded.toArrow().to_batches()
+    blocks = [b for limit in (1, 20, 1000) for b in lm_score.spelled_out(batches, tokens, np.uint16, limit)]
+    want = {i: b"".join(b" " + w for w in (t or "").encode().lower().split()) for i, t in rows}
+    found = [(b.rows.column("doc_id")[i].as_py(), b.raw(i)) for b, _, _ in blocks for i in range(len(b.ends) - 1)]
+    assert sorted(found) == sorted([*want.items()] * 3) and not log.exists()
+
+
 # --- decontamination -------------------------------------------------------
 
 
