@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curata.operators import clustering as C
+from curata.operators import meeting as M
 from curata.operators import pairs as S
 from curata.session import stage
 
@@ -357,3 +358,58 @@ def test_sets_without_enough_shared_tokens_are_not_staged(spark):
     df = spark.createDataFrame(rows, "id int, tokens array<int>")
     assert sorted(r._id for r in S.able_sets(df, [], "id", "tokens", 0.5).collect()) == [1, 2]
     assert sorted(r._id for r in S.able_sets(df, [], "id", "tokens", 0.5, S.SMALLER).collect()) == [1, 2, 3]
+
+
+def token_rows(rng, n=300):
+    """Sets of families with a common line, and sets of their own, by group; some ids come twice."""
+    rows = []
+    for i in range(n):
+        family = rng.randrange(12)
+        own = {1000 * family + rng.randrange(25) for _ in range(rng.randrange(1, 20))} | {50_000 + 10 * i + k for k in range(rng.randrange(12))}
+        rows.append(("ab"[i % 2], i, sorted(own | ({1, 2, 3} if rng.random() < 0.6 else set()))))
+    return rows + rows[:20] + [("a", None, [1, 2, 3]), (None, 900, [1, 2, 3]), ("a", 901, []), ("b", 902, None)]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("at_least", [0.1, 0.5])
+def test_sets_meet_in_blocks(spark, monkeypatch, by, at_least):
+    """Many packs, buckets, blocks and homes with several blocks; each pair comes once, with all its columns."""
+    for name, value in (("SETS", 40), ("FIRST", 300), ("PACKED", 400), ("BLOCK", 64), ("FEWEST", 8)):
+        monkeypatch.setattr(M, name, value)
+    rows = token_rows(random.Random(at_least))
+    sets = {i: (g, set(t)) for g, i, t in rows if i is not None and g is not None and t}
+    want = set()
+    for i, (g, x) in sets.items():
+        for j, (h, y) in sets.items():
+            if i < j and (not by or g == h) and len(x & y) / len(x | y) >= at_least:
+                want.add((*((g,) if by else ()), i, j, len(x & y), len(x), len(y), len(x & y) / len(x | y)))
+    if not by:
+        rows = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame(rows, "g string, id int, tokens array<long>").repartition(5)
+    got = [tuple(r) for r in S.overlapping_pairs(df, by, "id", "tokens", at_least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want != set()
+
+
+def test_pairs_are_not_moved(spark):
+    """Sets with a common line: what is shuffled grows with the sets, no table of candidates or of both ends is staged."""
+    staged = []
+    n = 600
+    own = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.when(k > 7, F.col("id") * 10 + k).otherwise(-k).cast("long"))
+    df = spark.range(n).select("id", own.alias("t"))
+    for module in (S, M):
+        use = module.stage
+        module.stage = lambda frame, label, use=use: (staged.append(label), use(frame, label))[1]
+    try:
+        found = S.overlapping_pairs(df, [], "id", "t", 0.1)
+    finally:
+        S.stage = M.stage = stage
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == n * (n - 1) // 2 and staged == ["numbered", "homes"] and "Join Inner" not in plan
+
+
+def test_runs_of_words_are_equal_where_their_words_are(spark):
+    texts = ["a b c d", "A  b\nc d", "b c d e", "a b", "a b", "a", "", "b a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", S.shingle_stream("t", 3).alias("h")).collect()
+    h = {r.id: r.h for r in rows}
+    assert h[0] == h[1] and h[0][1] == h[2][0] and [len(h[i]) for i in range(8)] == [2, 2, 2, 1, 1, 1, 1, 1]
+    assert h[3] == h[4] and len({h[i][0] for i in (0, 2, 3, 5, 6, 7)}) == 6
