@@ -413,3 +413,32 @@ def test_runs_of_words_are_equal_where_their_words_are(spark):
     h = {r.id: r.h for r in rows}
     assert h[0] == h[1] and h[0][1] == h[2][0] and [len(h[i]) for i in range(8)] == [2, 2, 2, 1, 1, 1, 1, 1]
     assert h[3] == h[4] and len({h[i][0] for i in (0, 2, 3, 5, 6, 7)}) == 6
+
+
+def test_components_from_few_edges_of_each_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "TOGETHER", 100)
+    rng = random.Random(6)
+    edges = {(rng.randrange(150) * 2, rng.randrange(150) * 2) for _ in range(120)} | {(2 * i + 1, 2 * j + 1) for i in range(1000, 1040) for j in range(1000, i)}
+    for kind in ("bigint", "string"):
+        given = edge_table(spark, edges, kind).withColumns({"a": F.coalesce("a", F.lit(0).cast(kind)), "b": F.coalesce("b", F.lit(0).cast(kind))})
+        batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        try:
+            spark.conf.set(batches, "60")  # columns that cannot be null, and several reductions in a task
+            few = C.spanning(given.repartition(3)).collect()
+        finally:
+            spark.conf.unset(batches)
+        assert len(few) <= 3 * (len({v for e in edges for v in e}) - 1) < len(edges)
+        names = {v for e in edges for v in e}
+        name = (lambda v: v) if kind == "bigint" else (lambda v: "n" * (1 + v % 3) + f"{v:02d}")
+        want = component_rule({(a, b) for a, b in edges if a != b})
+        back = {name(v): v for v in names}
+        assert component_rule({(back[r.a], back[r.b]) for r in few}) == want
+
+
+def test_reassigned_from_one_reading_of_the_edges(spark):
+    """Members move to the representative they match best, items without an edge stay; representatives are written first."""
+    edges = spark.createDataFrame([(1, 2, 0.2), (2, 3, 0.9), (4, 5, 0.3)], "a bigint, b bigint, score double")
+    items = spark.createDataFrame([(i,) for i in range(1, 8)], "member bigint")
+    got = {r.member: r.rep for r in C.cluster(edges, items, C.COMPONENTS, reassign_members=True).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert C.symmetric(edges)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
