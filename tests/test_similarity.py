@@ -442,3 +442,22 @@ def test_reassigned_from_one_reading_of_the_edges(spark):
     got = {r.member: r.rep for r in C.cluster(edges, items, C.COMPONENTS, reassign_members=True).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
     assert C.symmetric(edges)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_similar_pairs_move_their_texts_once(spark, tmp_path):
+    """The language comes with the text: no table of tokens is joined to it."""
+    from curata.queries import similarity as Q
+
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[i : i + 30]), "en" if i % 3 else "fr") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    given = []
+    use = S.similar_pairs
+    try:
+        S.similar_pairs = lambda df, *more: (given.append(df), use(df, *more))[1]
+        got = {(r.lang, r.a, r.b) for r in Q.similar_pairs(spark, str(tmp_path)).collect()}
+    finally:
+        S.similar_pairs = use
+    langs = {i: lang for i, _, lang in rows}
+    assert got == {(langs[i], i, j) for i in range(8) for j in range(i + 1, 8) if langs[i] == langs[j]}
+    assert "tokens" in given[0].columns and "Join Inner" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
